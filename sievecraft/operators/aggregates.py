@@ -39,8 +39,8 @@ def requested(available: Column, wanted: Column) -> Column:
 
 def percentage(available: Column, wanted: Column) -> Column:
     """Wanted as a share of what is available, at most 100; 0 where nothing is."""
-    share = wanted.cast("double") / F.nullif(available, F.lit(0)) * 100.0
-    return F.coalesce(F.least(F.lit(100.0), share), F.lit(0.0))
+    share = wanted.cast("double") / available * 100.0
+    return F.when(available > 0, F.least(F.lit(100.0), share)).otherwise(F.lit(0.0))
 
 
 def distribution(base_df: DataFrame, spec: CollectionSpec, granularity: str) -> DataFrame:

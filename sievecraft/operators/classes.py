@@ -36,14 +36,25 @@ def with_typed_columns(catalog: DataFrame) -> DataFrame:
     return catalog.withColumns(typed) if typed else catalog
 
 
-def in_window(df: DataFrame, spec: CollectionSpec) -> DataFrame:
-    """Rows whose scan date lies in the closed window; prunes year partitions where there are any."""
-    dtype = df.schema["scan_ts"].dataType
+def in_window(catalog: DataFrame, spec: CollectionSpec) -> DataFrame:
+    """Rows whose scan date lies in the closed window, with ``det`` and ``scan_ts``.
+
+    With a typed ``scan_ts`` the bounds go to the scan, and prune year partitions where there are any. With raw text
+    only, the text is compared first: a date of the right shape sorts like the time it stands for, so the bounds
+    go to the scan just as well, and only rows inside them are parsed.
+    """
+    if "scan_ts" not in catalog.columns:
+        text = F.col("vt_scan_date")
+        near = catalog.where((text >= spec.date_start) & (text <= spec.date_end))
+        return with_typed_columns(near).where(F.col("scan_ts").isNotNull())
+    if "scan_year" in catalog.columns:
+        catalog = catalog.where(F.col("scan_year").between(*spec.year_bounds))
+    dtype = catalog.schema["scan_ts"].dataType
     ts = F.col("scan_ts")
-    if "scan_year" in df.columns:
-        df = df.where(F.col("scan_year").between(*spec.year_bounds))
-    return df.where(
-        (ts >= C.timestamp_like(spec.date_start, dtype)) & (ts <= C.timestamp_like(spec.date_end, dtype))
+    return with_typed_columns(
+        catalog.where(
+            (ts >= C.timestamp_like(spec.date_start, dtype)) & (ts <= C.timestamp_like(spec.date_end, dtype))
+        )
     )
 
 
@@ -73,7 +84,7 @@ def base(
         raise ValueError("on_bad_date must be 'drop' or 'fail'")
     if on_bad_date == "fail":
         check_scan_dates(catalog)
-    df = in_window(with_typed_columns(catalog), spec)
+    df = in_window(catalog, spec)
     if mode == "collect":
         df = df.where(F.col("det").isNotNull() & F.col("markets").isNotNull())
     return df

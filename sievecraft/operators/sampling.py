@@ -37,7 +37,9 @@ def score(seed: int, key: str) -> Column:
     """Place of a row in the draw: hex SHA-256 over ``seed:key``, with ``:copy`` from the second copy on."""
     text = F.concat(F.lit(f"{seed}:"), key_text(key))
     copy = F.col("_copy")
-    return F.sha2(F.when(copy == 0, text).otherwise(F.concat(text, F.lit(":"), copy.cast("string"))), 256)
+    place = F.sha2(F.when(copy == 0, text).otherwise(F.concat(text, F.lit(":"), copy.cast("string"))), 256)
+    # Never NULL, but sha2 counts as nullable: without this, joins on it would test every row for NULL first.
+    return F.coalesce(place, F.lit(""))
 
 
 def _bucket_starts(scored: DataFrame, wanted: dict[str, int]) -> DataFrame:

@@ -7,7 +7,7 @@ the whole class, copies a row number over the key, audits a join.
 from __future__ import annotations
 
 from sievecraft.spec import CollectionSpec
-from workload.registry import ALL_MARKETS, SHORT, SMALLER, SPEC, THRESHOLD_0
+from workload.registry import ALL_MARKETS, LATER, SHORT, SMALLER, SPEC, THRESHOLD_0
 
 RAW = """
 raw AS (
@@ -232,6 +232,7 @@ def oracle_sql() -> dict[str, str]:
         "summary_collect": _summary(SPEC, "collect"),
         "summary_threshold0": _summary(THRESHOLD_0, "survey"),
         "summary_all_markets": _summary(ALL_MARKETS, "survey"),
+        "summary_nothing": _summary(LATER, "collect"),
         "shortage": _summary(SHORT, "collect"),
         "size_estimate": f"""{_totals(SPEC, 'survey')}
 SELECT class, round(avg_bytes, 4) AS avg_bytes, round({_EST}, 4) AS est_total_mb FROM totals

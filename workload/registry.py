@@ -33,6 +33,8 @@ THRESHOLD_0 = replace(SPEC, malware_threshold=0)
 ALL_MARKETS = replace(SPEC, google_play_only=False)
 # More than there is of the clean class, and less than there is of the other.
 SHORT = replace(SPEC, n_malware=2000, n_cleanware=1_000_000)
+# A window after the last scan.
+LATER = replace(SPEC, date_start="2030-01-01 00:00:00", date_end="2031-01-01 00:00:00")
 SMALLER = replace(SPEC, n_malware=120, n_cleanware=30)
 
 
@@ -101,7 +103,7 @@ def both_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scalar_columns(spark: SparkSession, sf: str) -> DataFrame:
-    df = classes.with_typed_columns(adapters.catalog_raw(spark, sf))
+    df = classes.with_typed_columns(adapters.catalog(spark, sf))
     ts = F.col("scan_ts")
     return df.select(
         "sha256",
@@ -118,7 +120,7 @@ def scalar_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lenient_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    raw = adapters.catalog_raw(spark, sf)
+    raw = adapters.catalog(spark, sf)
     detection, date = F.col("vt_detection"), F.col("vt_scan_date")
     return raw.agg(
         F.count_if(C.has_detection(detection)).alias("has_detection"),
@@ -128,7 +130,7 @@ def lenient_predicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_edge(spark: SparkSession, sf: str) -> DataFrame:
-    raw = adapters.catalog_raw(spark, sf)
+    raw = adapters.catalog(spark, sf)
     detection, date = F.col("vt_detection"), F.col("vt_scan_date")
     return raw.agg(
         F.count_if(detection.isNotNull() & C.parse_detection(detection).isNull()).alias("bad_detections"),
@@ -230,7 +232,7 @@ def run_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _write_csv(spark: SparkSession, sf: str, folder: str) -> None:
-    raw = adapters.catalog_raw(spark, sf)
+    raw = adapters.catalog(spark, sf)
     missing = [f for f in source.RAW_SCHEMA.fields if f.name not in raw.columns]
     raw = raw.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
     raw.select(*source.CATALOG_FIELDS).write.option("header", True).option("escape", '"').option(
@@ -322,6 +324,7 @@ def queries() -> dict[str, Query]:
         "summary_collect": _summary(SPEC, "collect"),
         "summary_threshold0": _summary(THRESHOLD_0, "survey"),
         "summary_all_markets": _summary(ALL_MARKETS, "survey"),
+        "summary_nothing": _summary(LATER, "collect"),
         "shortage": _summary(SHORT, "collect"),
         "size_estimate": size_estimate,
         "survey_overview": survey_overview,
