@@ -34,8 +34,8 @@ from sievecraft.sources.schema import (
 # Fixed value: two modification times closer than this (in seconds) are the same.
 MTIME_TOLERANCE = 0.1
 
-# Catalogue bytes behind one write task: some 100-200 MB of Parquet.
-TARGET_BYTES = 512 * 1024 * 1024
+# Catalogue bytes behind one write task: some 100 MB of Parquet.
+TARGET_BYTES = 256 * 1024 * 1024
 _SMALL_BYTES = 16 * 1024 * 1024
 
 
@@ -112,7 +112,7 @@ def write_generation(raw: DataFrame, table_dir: str, gen: str, n_bytes: int) ->
 
     Ranges over source, year and time give every task one stretch of one year, so that each year has few files
     and row groups can be skipped by time. The row id as last key lets a year, or a pile of equal dates (all the
-    never-scanned rows), spread over as many tasks as it fills.
+    never-scanned rows), spread over as many tasks as it fills. Hex hashes are most of a row, and zstd halves them.
     """
     spark = raw.sparkSession
     n_tasks = max(
@@ -128,6 +128,7 @@ def write_generation(raw: DataFrame, table_dir: str, gen: str, n_bytes: int) ->
         .sortWithinPartitions("source_id", "scan_year", "scan_ts")
         .select(*CATALOG_FIELDS, "det", "scan_ts", "source_id", "scan_year")
         .write.mode("overwrite")
+        .option("compression", "zstd")
         .partitionBy("source_id", "scan_year")
         .parquet(f"{table_dir}/data/gen={gen}")
     )
