@@ -45,57 +45,83 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def number_copies(df: DataFrame, key: str, identity: list[str]) -> DataFrame:
-    """Add ``_copy``: 0 for a key that occurs once, else 0..m-1 over its m rows.
+def split(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key occurs once, and rows whose key repeats (None where there are none).
 
-    Runs one job to count the repeated keys; that count decides whether any numbering is needed and which keys
-    may be broadcast. With too many keys for that, those above an even share of the repeated rows still are: by
-    that rule there can be no more than ``BROADCAST_KEYS`` of them. The others are joined by a shuffle, in which
-    none of them can weigh much.
+    Runs one job over the key column to find the repeated keys; how many there are decides which may be
+    broadcast. With too many, those above an even share of the repeated rows still are: by that rule there can
+    be no more than ``BROADCAST_KEYS`` of them. The others are joined by a shuffle, in which none can weigh much.
     """
-    keys = repeated_keys(df, key)
-    n_keys, n_rows = keys.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).head()
-    if n_keys == 0:
-        return df.withColumn("_copy", F.lit(0).cast("bigint"))
-    keyed = df.withColumn("_key", key_text(key)).withColumn("_hash", F.xxhash64("_key"))
-    if n_keys <= BROADCAST_KEYS:
-        many, few = keys, None
-    else:
-        share = n_rows // BROADCAST_KEYS
-        many, few = keys.where(F.col("_n") > share), keys.where(F.col("_n") <= share)
-    many = F.broadcast(many.select("_hash"))
-    once = keyed.join(many, "_hash", "left_anti")
-    repeated = keyed.join(many, "_hash", "left_semi")
-    if few is not None:
-        few = few.select("_hash")
+    keys = repeated_keys(df, key).persist()
+    try:
+        n_keys, n_rows = keys.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).head()
+        if n_keys == 0:
+            return df, None
+        share = n_rows // BROADCAST_KEYS if n_keys > BROADCAST_KEYS else 0
+        # No more than BROADCAST_KEYS hashes, as counted just now.
+        heavy = keys.where(F.col("_n") > share).select("_hash").toArrow()
+    finally:
+        keys.unpersist()
+    many = F.broadcast(df.sparkSession.createDataFrame(heavy, "_hash bigint"))
+    hashed = df.withColumn("_hash", F.xxhash64(key_text(key)))
+    once, repeated = hashed.join(many, "_hash", "left_anti"), hashed.join(many, "_hash", "left_semi")
+    if share:
+        few = repeated_keys(df, key).where(F.col("_n") <= share).select("_hash")
         repeated = repeated.unionByName(once.join(few, "_hash", "left_semi"))
         once = once.join(few, "_hash", "left_anti")
-    once = once.withColumn("_copy", F.lit(0).cast("bigint"))
-    return once.unionByName(_number(repeated, identity)).drop("_key", "_hash")
+    return once.drop("_hash"), repeated.drop("_hash")
 
 
-def _number(keyed: DataFrame, identity: list[str]) -> DataFrame:
-    columns = keyed.columns
+def _lay_out(piles: DataFrame, columns: list[str]) -> DataFrame:
+    """One row, numbered in ``_copy``, for each of the ``_rows`` rows of a pile, from ``_first`` on.
+
+    Piles are cut into slices that go round robin over all tasks, as one pile may make up a third of all rows. The
+    number of tasks is given outright: slices are small until they are laid out, and adaptive execution would
+    merge them into a task or two.
+    """
+    n_tasks = int(piles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = piles.select(
+        *columns, "_first", "_rows", F.explode(F.sequence(F.lit(0), F.expr(f"(_rows - 1) div {SLICE}"))).alias("_slice")
+    )
+    low = F.col("_first") + F.col("_slice") * SLICE
+    high = F.col("_first") + F.least(F.col("_slice") * SLICE + SLICE, F.col("_rows")) - 1
+    return slices.repartition(n_tasks).select(*columns, F.explode(F.sequence(low, high)).alias("_copy"))
+
+
+def places(repeated: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` (which hold the key) and the copy numbers that their rows have among them.
+
+    Which row has which number does not matter here, so counting rows is enough and no other column is read.
+    """
+    piles = repeated.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+    return _lay_out(piles.withColumn("_first", F.lit(0).cast("bigint")), columns)
+
+
+def number(repeated: DataFrame, key: str, identity: list[str]) -> DataFrame:
+    """Add ``_copy`` to rows that share keys."""
+    columns = repeated.columns
+    # sha2 counts as nullable, and a join on a nullable bucket would have every row hashed to test it for NULL
+    content = F.coalesce(F.sha2(content_text(identity), 256), F.lit(""))
     piles = (
-        keyed.groupBy(*columns)
+        repeated.groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_content", F.sha2(content_text(identity), 256))
+        .withColumns({"_key": key_text(key), "_content": content})
         .withColumn("_bucket", F.substring("_content", 1, _BUCKET_DIGITS))
     )
     # at most 16**3 rows per key
     bucket_starts = (
         piles.groupBy("_key", "_bucket")
         .agg(F.sum("_rows").alias("_in_bucket"))
-        .withColumn(
-            "_bucket_start",
+        .select(
+            "_key",
+            "_bucket",
             F.coalesce(
                 F.sum("_in_bucket").over(
                     Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
                 ),
                 F.lit(0),
-            ),
+            ).alias("_bucket_start"),
         )
-        .drop("_in_bucket")
     )
     in_bucket = (
         Window.partitionBy("_key", "_bucket")
@@ -107,14 +133,4 @@ def _number(keyed: DataFrame, identity: list[str]) -> DataFrame:
         .join(bucket_starts, ["_key", "_bucket"])
         .withColumn("_first", F.col("_start") + F.col("_bucket_start"))
     )
-    slices = numbered.select(
-        *columns, "_first", "_rows", F.explode(F.sequence(F.lit(0), F.expr(f"(_rows - 1) div {SLICE}"))).alias("_slice")
-    )
-    low = F.col("_first") + F.col("_slice") * SLICE
-    high = F.col("_first") + F.least(F.col("_slice") * SLICE + SLICE, F.col("_rows")) - 1
-    # Round robin over all tasks, as one pile may make up a third of the slices. The number is given outright: the
-    # slices are small until they are laid out, and adaptive execution would merge them into a task or two.
-    n_tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return slices.repartition(n_tasks).select(
-        *columns, F.explode(F.sequence(low, high)).alias("_copy")
-    )
+    return _lay_out(numbered, columns)

@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievecraft.operators.copies import key_text, number_copies
+from sievecraft.operators import copies
+from sievecraft.operators.copies import key_text
 
 # The columns of a catalogue that make up a row.
 CATALOG_COLUMNS = (
@@ -42,6 +43,12 @@ def score(seed: int, key: str) -> Column:
     return F.coalesce(place, F.lit(""))
 
 
+def _scored(rows: DataFrame, seed: int, key: str) -> DataFrame:
+    return rows.withColumn("_score", score(seed, key)).withColumn(
+        "_bucket", F.substring("_score", 1, _BUCKET_DIGITS)
+    )
+
+
 def _bucket_starts(scored: DataFrame, wanted: dict[str, int]) -> DataFrame:
     """Needed buckets per class, with the number of candidates before each (``_before``) and the class's n."""
     counts = scored.groupBy("class", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -77,18 +84,24 @@ def draw(
     """
     columns = [c for c in candidates.columns if c != "class"]
     identity = identity or [c for c in CATALOG_COLUMNS if c in columns] or columns
+    first = F.lit(0).cast("bigint").alias("_copy")
     if keys_unique:
-        numbered = candidates.withColumn("_copy", F.lit(0).cast("bigint"))
+        once, repeated = candidates, None
     else:
-        pair = F.concat_ws(":", "class", key_text(key))
-        numbered = number_copies(candidates.withColumn("_pair", pair), "_pair", identity).drop("_pair")
-    scored = numbered.withColumn("_score", score(seed, key)).withColumn(
-        "_bucket", F.substring("_score", 1, _BUCKET_DIGITS)
-    )
-    starts = _bucket_starts(scored, wanted)
+        paired = candidates.withColumn("_pair", F.concat_ws(":", "class", key_text(key)))
+        once, repeated = copies.split(paired, "_pair")
+    places = once.select("class", key, first)
+    rows = once.select("class", *columns, first)
+    if repeated is not None:
+        keys = repeated.select("class", key_text(key).alias(key))
+        places = places.unionByName(copies.places(keys, ["class", key]))
+        numbered = copies.number(repeated, "_pair", identity)
+        rows = rows.unionByName(numbered.select("class", *columns, "_copy"))
+    starts = _bucket_starts(_scored(places, seed, key), wanted)
     in_bucket = Window.partitionBy("class", "_bucket").orderBy("_score", *columns)
     return (
-        scored.join(F.broadcast(starts), ["class", "_bucket"])
+        _scored(rows, seed, key)
+        .join(F.broadcast(starts), ["class", "_bucket"])
         .withColumn("sample_rank", F.col("_before") + F.row_number().over(in_bucket))
         .where(F.col("sample_rank") <= F.col("_wanted"))
         .select("class", "sample_rank", *columns)

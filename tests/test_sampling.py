@@ -83,11 +83,11 @@ def test_uniform(spark):
     df = catalog(spark, [row(i, det="9") for i in range(50)])
     rows = collect.candidates(df, SPEC).cache()
     hits = Counter()
-    for seed in range(60):
+    for seed in range(30):
         hits.update(r.sha256 for r in sampling.draw(rows, {"malware": 10}, seed, keys_unique=True).collect())
     rows.unpersist()
-    # 60 draws with p = 0.2: chi-square over 50 rows, 0.999 quantile for 49 degrees of freedom is 85
-    chi2 = sum((hits[f"{i:064X}"] - 12) ** 2 / (60 * 0.2 * 0.8) for i in range(50))
+    # 30 draws with p = 0.2: chi-square over 50 rows, 0.999 quantile for 49 degrees of freedom is 85
+    chi2 = sum((hits[f"{i:064X}"] - 6) ** 2 / (30 * 0.2 * 0.8) for i in range(50))
     assert chi2 < 85
 
 
@@ -113,10 +113,10 @@ def brute_force(rows, n, seed=42):
     return [r for _, r in sorted(scored)[:n]]
 
 
-@pytest.mark.parametrize("limit, length", [(500_000, 100_000), (1, 100_000), (500_000, 7), (0, 7)])
+@pytest.mark.parametrize("limit, length", [(500_000, 100_000), (1, 7)])
 def test_copies_against_brute_force(spark, monkeypatch, limit, length):
-    """With all repeated keys broadcast, with some, with none; with piles laid out whole and in slices."""
-    monkeypatch.setattr(copies, "BROADCAST_KEYS", max(limit, 1))
+    """With all repeated keys broadcast and piles laid out whole; with one key broadcast and piles in slices."""
+    monkeypatch.setattr(copies, "BROADCAST_KEYS", limit)
     monkeypatch.setattr(copies, "SLICE", length)
     df = crowded(spark)
     want = brute_force([tuple(r) for r in df.collect()], 300)
@@ -135,12 +135,19 @@ def test_all_copies_come_back_when_all_are_taken(spark):
 
 
 def test_copy_numbers(spark):
-    df = crowded(spark, 50).withColumn("k", F.col("sha256"))
-    numbers = {}
-    for r in copies.number_copies(df, "k", list(df.columns)).collect():
-        numbers.setdefault(r.sha256, []).append(r["_copy"])
-    for key, got in numbers.items():
-        assert sorted(got) == list(range(50 if int(key, 16) < 3 else 1))
+    once, repeated = copies.split(crowded(spark, 50), "sha256")
+    assert once.count() == 50
+    columns = repeated.columns
+    for numbered in (copies.number(repeated, "sha256", columns), copies.places(repeated, ["sha256"])):
+        got = {}
+        for r in numbered.collect():
+            got.setdefault(r.sha256, []).append(r["_copy"])
+        assert {k: sorted(v) for k, v in got.items()} == {f"{k:064X}": list(range(50)) for k in (1, 2)}
+
+
+def test_no_repeated_keys(spark):
+    once, repeated = copies.split(many(spark, 20), "sha256")
+    assert repeated is None and once.count() == 20
 
 
 def test_rows_without_a_key(spark):
@@ -151,6 +158,12 @@ def test_rows_without_a_key(spark):
     assert len(set(nulls)) == len(nulls) > 5
 
 
+def test_null_and_empty_keys_are_one_key(spark):
+    rows = [row(None, size=i, det="9") for i in range(20)] + [row("", size=i, det="9") for i in range(20)]
+    got = collect.collect_sample(catalog(spark, rows), CollectionSpec(n_malware=25))
+    assert sorted(r.sample_rank for r in got.collect()) == list(range(1, 26))
+
+
 def test_many_buckets(spark):
     """Ranks run on through the buckets of the score."""
     df = spark.range(20000).select(F.lit("malware").alias("class"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
