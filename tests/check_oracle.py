@@ -46,7 +46,7 @@ def check(spark, con, name, sf_dir):
 
 
 if __name__ == "__main__":
-    sf_dir, names = sys.argv[1], sys.argv[2:] or list(E.queries())
+    sf_dir, names = sys.argv[1], sys.argv[2:] or list(E.oracle_sql())
     spark, con, bad = make_session(), duck(sf_dir), 0
     for name in names:
         started = time.time()

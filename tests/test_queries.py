@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.check_oracle import check, duck
+from workload import oracle, registry
 
 SF = "/root/testdata/sf0.001"
 WRITES = {"typed_table", "refresh_twice", "streamed_table", "stored_sample", "hash_export", "live_totals"}
@@ -15,10 +16,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(registry.queries()) == set(oracle.oracle_sql())
+    assert set(registry.queries()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", list(E.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query(spark, con, name):
     assert check(spark, con, name, SF) is None
 
@@ -27,7 +29,7 @@ def test_entry(spark):
     assert E.entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if n not in WRITES])
+@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in WRITES])
 def test_plan(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval", "MapInPandas", "Scan ExistingRDD"):
