@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.llm.components import components
-from sievecraft.llm.text import lower_ascii, shingle_set, table, texts_of
+from sievecraft.llm.text import lower_ascii, runs, shingle_set, table, texts_of
 from sievecraft.scratch import staged
 from sievecraft.shipping import ship
 
@@ -116,32 +116,6 @@ def tiled(rows: DataFrame, key: str, counts: DataFrame, block: int, by: str) ->
     return rows.withColumns(tiles).withColumnRenamed("_block", "mine").drop("_n", "_other", "n")
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables that end with a whole run of equal keys, and where runs begin; the input is sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-
-    def starts_of(part: pa.Table) -> np.ndarray:
-        change = np.zeros(part.num_rows, bool)
-        change[0] = True
-        for k in keys:
-            values = part.column(k).to_numpy()
-            change[1:] |= values[1:] != values[:-1]
-        return np.flatnonzero(change)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        part = pa.Table.from_batches(held)
-        starts = starts_of(part)
-        if len(starts) > 1:
-            yield part.slice(0, starts[-1]), starts[:-1]
-            held = part.slice(starts[-1]).combine_chunks().to_batches()
-    if held:
-        part = pa.Table.from_batches(held)
-        yield part, starts_of(part)
-
-
 def alike_groups(low: np.ndarray) -> np.ndarray:
     """Labels of rows that hang together by enough equal low bytes; each row is compared with rows not yet reached."""
     label = np.full(len(low), -1)

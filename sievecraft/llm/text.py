@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,3 +102,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts; a missing one is empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that end with a whole run of equal keys, and where runs begin; the input is sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+
+    def starts_of(part: pa.Table) -> np.ndarray:
+        change = np.zeros(part.num_rows, bool)
+        change[0] = True
+        for k in keys:
+            values = part.column(k).to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(change)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        part = pa.Table.from_batches(held)
+        starts = starts_of(part)
+        if len(starts) > 1:
+            yield part.slice(0, starts[-1]), starts[:-1]
+            held = part.slice(starts[-1]).combine_chunks().to_batches()
+    if held:
+        part = pa.Table.from_batches(held)
+        yield part, starts_of(part)
