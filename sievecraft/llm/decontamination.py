@@ -241,6 +241,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     return both.groupBy("doc_id", "item_id").agg(*[F.max(v).alias(v) for v in values])
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without those that hold an item."""
+    column = "_contaminated_by"
+    for index in indexes(benchmark):
+        docs = with_matches(docs, index, threshold, column).where(F.size(column) == 0).drop(column)
+    return docs
+
+
 def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every contaminated document with the item that it holds."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

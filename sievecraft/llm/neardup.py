@@ -254,9 +254,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = rows.where("n_shingles = 0 or doc_id is null").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
     )
-    return placed.unionByName(alone).withColumn(
+    groups = placed.unionByName(alone).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+    return staged(groups, "groups")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each group: the one with the smallest id; rows equal in id and text count as one document."""
+    groups = near_duplicates(docs.select("doc_id", "text"))
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    repeated = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
+    if not repeated.isEmpty():
+        with_id = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        docs = with_id.unionByName(docs.where("doc_id is null"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def op4_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

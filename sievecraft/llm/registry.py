@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from sievecraft.llm import chat, decontamination, neighbours, packing, quality, sharding, toxicity
+from sievecraft.llm import (
+    chat,
+    decontamination,
+    language_model,
+    neardup,
+    neighbours,
+    packing,
+    quality,
+    sharding,
+    substrings,
+    toxicity,
+)
 
 QUERIES = (
     packing.op1_vector_packing,
     toxicity.op2_crf_toxicity,
+    language_model.op3_elias_fano_lm,
+    neardup.op4_setsketch_neardup,
     neighbours.op5_int8_block_neighbours,
+    substrings.op6_substring_dedup,
     chat.op7_perspective_rotation,
     sharding.op8_rendezvous_shards,
     decontamination.op9_bm25_decontamination,

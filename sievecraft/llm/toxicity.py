@@ -241,6 +241,19 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
     return docs.mapInArrow(score, schema)
 
 
+def without_toxic(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
+    """``docs`` that score below the threshold, with their own columns."""
+    columns, renamed = docs.columns, docs
+    for name in ("toxic_score", "toxic_spans"):
+        if name in columns:
+            renamed = renamed.withColumnRenamed(name, f"_own_{name}")
+    kept = scored(renamed, field).where(F.col("toxic_score") < threshold).drop("toxic_score", "toxic_spans")
+    for name in ("toxic_score", "toxic_spans"):
+        if name in columns:
+            kept = kept.withColumnRenamed(f"_own_{name}", name)
+    return kept.select(*columns)
+
+
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and number of toxic spans of every document."""
     docs = table(spark, sf_dir, "documents")
