@@ -243,7 +243,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that hold an item."""
-    column = "_contaminated_by"
+    column = "_sievecraft_matches"
     for index in indexes(benchmark):
         docs = with_matches(docs, index, threshold, column).where(F.size(column) == 0).drop(column)
     return docs

@@ -267,13 +267,13 @@ def kept_words(text: str, spans: list[dict] | None) -> tuple[list[bytes], int]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``, null where nothing goes."""
+    """``docs`` with ``_sievecraft_spans``, null where nothing goes."""
     spans = removals(docs.select("doc_id", "text")).select(
-        F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")
+        F.col("doc").alias("_sievecraft_doc"), F.col("text_key").alias("_sievecraft_key"), F.col("spans").alias("_sievecraft_spans")
     )
-    docs = docs.withColumn("_text_key", F.xxhash64("text"))
-    on = (docs["doc_id"].cast("long") == spans["_doc"]) & (docs["_text_key"] == spans["_key"])
-    return docs.join(spans, on, "left").drop("_doc", "_key", "_text_key")
+    docs = docs.withColumn("_sievecraft_text_key", F.xxhash64("text"))
+    on = (docs["doc_id"].cast("long") == spans["_sievecraft_doc"]) & (docs["_sievecraft_text_key"] == spans["_sievecraft_key"])
+    return docs.join(spans, on, "left").drop("_sievecraft_doc", "_sievecraft_key", "_sievecraft_text_key")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
+            texts, spans = batch.column("text").to_pylist(), batch.column("_sievecraft_spans").to_pylist()
             new = [b" ".join(kept_words(t, s)[0]).decode("utf-8", "replace") if s else t for t, s in zip(texts, spans)]
             arrays = [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns)
@@ -300,7 +300,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, sums = [], [], []
-            for text, spans in zip(texts_of(batch), batch.column("_spans").to_pylist()):
+            for text, spans in zip(texts_of(batch), batch.column("_sievecraft_spans").to_pylist()):
                 kept, n = kept_words(text, spans)
                 sizes.append(n)
                 removed.append(n - len(kept))
@@ -310,6 +310,6 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "_spans").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), "text", "_sievecraft_spans").mapInArrow(
         digest, "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )

@@ -246,11 +246,11 @@ def without_toxic(docs: DataFrame, field: Field, threshold: float = 0.5) -> Data
     columns, renamed = docs.columns, docs
     for name in ("toxic_score", "toxic_spans"):
         if name in columns:
-            renamed = renamed.withColumnRenamed(name, f"_own_{name}")
+            renamed = renamed.withColumnRenamed(name, f"_sievecraft_{name}")
     kept = scored(renamed, field).where(F.col("toxic_score") < threshold).drop("toxic_score", "toxic_spans")
     for name in ("toxic_score", "toxic_spans"):
         if name in columns:
-            kept = kept.withColumnRenamed(f"_own_{name}", name)
+            kept = kept.withColumnRenamed(f"_sievecraft_{name}", name)
     return kept.select(*columns)
 
 
