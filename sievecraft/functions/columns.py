@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 # Fixed values.
 SCAN_DATE_PATTERN = "yyyy-MM-dd HH:mm:ss"
 SCAN_DATE_REGEX = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\z"
+LENIENT_DATE_REGEX = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\z"
 PLAY_MARKET = "play.google.com"
 KB, MB, GB = 1024, 1024**2, 1024**3
 # The characters that Unicode counts as white space.
@@ -79,7 +80,7 @@ def target_path(cls: Column, sha256: Column) -> Column:
 
 
 def content_hash(content: Column) -> Column:
-    """SHA-256 of file content, lower-case hex; the empty string where the content is not readable."""
+    """SHA-256 of file content, lower-case hex; the empty string where there is no content to hash."""
     return F.coalesce(F.sha2(content, 256), F.lit(""))
 
 
@@ -105,7 +106,10 @@ def is_malware_lenient(raw: Column, threshold: int) -> Column:
 
 
 def is_within_date_range(raw: Column, date_start: str, date_end: str) -> Column:
-    """Row predicate on raw text: false where the date is missing or does not parse."""
-    ts = parse_scan_date(raw)
+    """Row predicate on raw text: false where the date is missing or does not parse.
+
+    Unlike the column parser it takes months, days and times of one digit.
+    """
+    ts = F.when(raw.rlike(LENIENT_DATE_REGEX), F.try_to_timestamp(raw, F.lit("yyyy-M-d H:m:s")))
     low, high = F.lit(date_start).cast("timestamp"), F.lit(date_end).cast("timestamp")
     return F.coalesce(ts.between(low, high), F.lit(False))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievecraft.sources.schema import require_utc
 from sievecraft.functions import columns as C
 from sievecraft.spec import CLEANWARE, MALWARE, CollectionSpec
 
@@ -28,6 +29,7 @@ class BadScanDateError(ValueError):
 
 def with_typed_columns(catalog: DataFrame) -> DataFrame:
     """Add ``det`` and ``scan_ts`` where the catalogue still holds the raw text only."""
+    require_utc(catalog.sparkSession)
     typed = {}
     if "det" not in catalog.columns:
         typed["det"] = C.parse_detection(F.col("vt_detection"))

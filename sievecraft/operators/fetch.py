@@ -40,8 +40,9 @@ def fetch_plan(sample: DataFrame, inventory: DataFrame, verify: bool = True) ->
     """Sample rows still to be fetched, with target path and size.
 
     ``verify`` asks for ``content_sha256`` in the inventory and plans files with the wrong content again. A row
-    without a hash stays in the plan, with no path. Rows that repeat a key make no hot task: the anti join splits
-    their side when it is skewed, and the inventory side is distinct.
+    without a hash stays in the plan, with no path, and takes no part in the join: it matches nothing, and all such rows
+    would meet in one task. Rows that repeat a key make no hot task: the anti join splits their side when it is skewed,
+    and the inventory side is distinct.
     """
     keep = [c for c in ("class", "sample_rank", "sha256", "apk_size") if c in sample.columns]
     wanted = sample.select(
@@ -49,7 +50,9 @@ def fetch_plan(sample: DataFrame, inventory: DataFrame, verify: bool = True) ->
         C.target_path(F.col("class"), F.col("sha256")).alias("path"),
         F.lower("sha256").alias("_sha256"),
     )
-    return wanted.join(present_files(inventory, verify), ["class", "_sha256"], "left_anti").select(*keep, "path")
+    hashed = wanted.where("_sha256 is not null and class is not null")
+    missing = hashed.join(present_files(inventory, verify), ["class", "_sha256"], "left_anti")
+    return missing.unionByName(wanted.where("_sha256 is null or class is null")).select(*keep, "path")
 
 
 def planned_bytes(plan: DataFrame) -> DataFrame:
@@ -158,8 +161,8 @@ def class_rollup(attempts: DataFrame) -> DataFrame:
 def pair_outcomes(attempts: DataFrame, plan: DataFrame) -> DataFrame:
     """Attempts per plan row and outcome, plan rows without any attempt included (outcome NULL).
 
-    Rows pair by place in the list (``class, sample_rank``) where both sides have it, else by target; the plan
-    then counts once per target. Attempts are counted per row and outcome first, so that many retries of one
+    Rows pair by place in the list (``class, sample_rank``) where both sides have it, else by target; plan rows with one
+    target are then one row with their number and their bytes (``plan_rows``, ``plan_bytes``). Attempts are counted per row and outcome first, so that many retries of one
     target meet the plan as one row. Attempts that no plan row asked for come out with ``planned`` false.
     """
     on = ["class", "sample_rank"] if {"sample_rank"} <= {*attempts.columns} & {*plan.columns} else TARGET
@@ -167,7 +170,12 @@ def pair_outcomes(attempts: DataFrame, plan: DataFrame) -> DataFrame:
         attempts = attempts.withColumn("sha256", F.lower("sha256"))
         plan = plan.withColumn("sha256", F.lower("sha256"))
     counted = attempts.groupBy(*on, "outcome").agg(F.count(F.lit(1)).alias("attempts"))
-    sizes = plan.groupBy(*on).agg(F.max("apk_size").alias("apk_size"), F.lit(True).alias("planned"))
+    sizes = plan.groupBy(*on).agg(
+        F.max("apk_size").alias("apk_size"),
+        F.count(F.lit(1)).alias("plan_rows"),
+        F.coalesce(F.sum("apk_size"), F.lit(0)).alias("plan_bytes"),
+        F.lit(True).alias("planned"),
+    )
     return counted.join(sizes, on, "full_outer").withColumns(
         {
             "attempts": F.coalesce("attempts", F.lit(0)).cast("bigint"),
@@ -180,26 +188,44 @@ def attempt_rollup(log: DataFrame, plan: DataFrame) -> DataFrame:
     """Planned rows that ended well or not, per class and overall, with the catalogue bytes of the former.
 
     A row is a success if any of its attempts was; a row without an attempt has failed (it was cancelled or never
-    started).
+    started). Rows that repeat a target, or have none, count each.
     """
-    pairs = pair_outcomes(classify_attempts(log), plan).where("planned")
+    return rollup_of(pair_outcomes(classify_attempts(log), plan))
+
+
+def rollup_of(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.where("planned")
     on = [c for c in ("sample_rank", "sha256") if c in pairs.columns]
     ok = F.coalesce(is_success(F.col("outcome")), F.lit(False))
-    rows = pairs.groupBy("class", *on).agg(F.bool_or(ok).alias("ok"), F.max("apk_size").alias("apk_size"))
+    rows = pairs.groupBy("class", *on).agg(
+        F.bool_or(ok).alias("ok"), F.max("plan_rows").alias("plan_rows"), F.max("plan_bytes").alias("plan_bytes")
+    )
     per_class = rows.groupBy("class").agg(
-        F.count_if("ok").alias("succeeded"),
-        F.count_if(~F.col("ok")).alias("failed"),
-        F.coalesce(F.sum(F.when(F.col("ok"), F.col("apk_size"))), F.lit(0)).cast("bigint").alias("bytes"),
+        F.sum(F.when(F.col("ok"), F.col("plan_rows")).otherwise(0)).cast("bigint").alias("succeeded"),
+        F.sum(F.when(F.col("ok"), 0).otherwise(F.col("plan_rows"))).cast("bigint").alias("failed"),
+        F.coalesce(F.sum(F.when(F.col("ok"), F.col("plan_bytes"))), F.lit(0)).cast("bigint").alias("bytes"),
     )
     return with_total_row(per_class, "succeeded", "failed", "bytes")
 
 
-def run_verdict(rollup: DataFrame, stopped: bool = False) -> DataFrame:
-    """Overall verdict of a run, from its roll-up with a ``total`` row.
+def run_verdict(rollup: DataFrame, attempts: DataFrame, plan: DataFrame) -> DataFrame:
+    """Overall verdict of a run: from its roll-up with a ``total`` row, its classified attempts and its plan.
 
-    A run with failures that was not stopped still counts as ``SUCCESS``; ``complete`` tells the two apart.
+    ``STOPPED`` if any attempt was cancelled or interrupted, ``ERROR`` if the roll-up does not add up to the plan, else
+    ``SUCCESS``, failures or not; ``complete`` tells whether there were none.
     """
-    verdict = F.lit("STOPPED") if stopped else F.lit("SUCCESS")
-    return rollup.where(F.col("class") == "total").select(
-        "succeeded", "failed", verdict.alias("verdict"), (F.col("failed") == 0).alias("complete")
+    stopped = F.col("outcome").isin("CANCELLED", "INTERRUPTED")
+    none = F.lit(0).cast("bigint")
+    facts = (
+        rollup.where(F.col("class") == "total")
+        .select("succeeded", "failed", none.alias("stopped"), none.alias("planned_rows"))
+        .unionByName(attempts.select(none.alias("succeeded"), none.alias("failed"), stopped.cast("bigint").alias("stopped"), none.alias("planned_rows")))
+        .unionByName(plan.select(none.alias("succeeded"), none.alias("failed"), none.alias("stopped"), F.lit(1).cast("bigint").alias("planned_rows")))
+    )
+    facts = facts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in facts.columns])
+    verdict = (
+        F.when(F.col("stopped") > 0, "STOPPED")
+        .when(F.col("succeeded") + F.col("failed") != F.col("planned_rows"), "ERROR")
+        .otherwise("SUCCESS")
     )
+    return facts.select("succeeded", "failed", verdict.alias("verdict"), (F.col("failed") == 0).alias("complete"))

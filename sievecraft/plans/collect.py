@@ -44,14 +44,14 @@ def stored_sample(
 ) -> DataFrame:
     """The sample of a typed table by way of the store: read back if it is there, else drawn and kept.
 
-    ``force`` draws anew. An unseeded spec never has a stored sample, so it is drawn and not kept.
+    ``force`` draws anew. An unseeded spec gets a seed of its own in each call; the sample is kept under that seed, and
+    ``sample_store.drawn_seeds`` lists what was drawn.
     """
 
     def draw() -> DataFrame:
         table = catalog_source.read_table(spark, table_dir)
         return collect_sample(table, spec, mode, on_bad_date, keys_unique)
 
-    if spec.random_seed is None:
-        return draw()
-    catalog_id = catalog_source.catalog_id(spark, table_dir)
-    return sample_store.stored_or_drawn(spark, store, spec, catalog_id, mode, draw, force)
+    spec = spec.with_seed()
+    key = spec.fingerprint(catalog_source.catalog_id(spark, table_dir), mode, on_bad_date, keys_unique)
+    return sample_store.stored_or_drawn(spark, store, spec, key, draw, force)

@@ -2,12 +2,14 @@
 
 Layout of a table folder::
 
-    data/gen=<generation>/source_id=<file>/scan_year=<year>/*.parquet
+    data/gen=<generation>/scan_year=<year>/*.parquet
     manifest/*.parquet
 
-A refresh converts only the files that are new or changed, all of them in one job, into a new generation folder,
-and then appends to the manifest. The manifest is what makes a generation count: until it is written, readers see the
-table as it was, and a refresh that dies half-way leaves nothing behind that anyone reads.
+A refresh converts only the files that are new or changed, all of them in one job, into a new generation folder, and
+then makes one append to the manifest, which publishes them and retires the files that are gone. Until it is written,
+readers see the table as it was, and a refresh that fails or dies half-way takes nothing away and leaves nothing behind
+that anyone reads. How many files a table has depends on years and bytes and not on the number of source files: the
+source is a column, and rows of replaced sources are left out by an anti join until ``compact_table`` drops them.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def list_sources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_id(path: str = "source_path"):
-    return F.concat(F.lit("s"), F.substring(F.sha2(F.col(path), 256), 1, 16))
+    return F.concat(F.lit("s"), F.sha2(F.col(path), 256))
 
 
 def read_manifest(spark: SparkSession, table_dir: str) -> DataFrame:
@@ -110,8 +112,8 @@ def is_current(spark: SparkSession, path: str, table_dir: str) -> bool:
 def write_generation(raw: DataFrame, table_dir: str, gen: str, n_bytes: int) -> None:
     """Write raw rows (with ``source_path``) as one generation of typed, time-ordered Parquet.
 
-    Ranges over source, year and time give every task one stretch of one year, so that each year has few files
-    and row groups can be skipped by time. The row id as last key lets a year, or a pile of equal dates (all the
+    Ranges over year and time give every task one stretch of time, so that there are no more files than years and
+    tasks together, and row groups can be skipped by time. The row id as last key lets a year, or a pile of equal dates (all the
     never-scanned rows), spread over as many tasks as it fills. Hex hashes are most of a row, and zstd halves them.
     """
     spark = raw.sparkSession
@@ -124,20 +126,22 @@ def write_generation(raw: DataFrame, table_dir: str, gen: str, n_bytes: int) ->
         {"source_id": source_id(), "scan_year": F.year("scan_ts"), "_row": F.monotonically_increasing_id()}
     )
     (
-        typed.repartitionByRange(n_tasks, "source_id", "scan_year", "scan_ts", "_row")
-        .sortWithinPartitions("source_id", "scan_year", "scan_ts")
+        typed.repartitionByRange(n_tasks, "scan_year", "scan_ts", "_row")
+        .sortWithinPartitions("scan_year", "scan_ts")
         .select(*CATALOG_FIELDS, "det", "scan_ts", "source_id", "scan_year")
         .write.mode("overwrite")
         .option("compression", "zstd")
-        .partitionBy("source_id", "scan_year")
+        .partitionBy("scan_year")
         .parquet(f"{table_dir}/data/gen={gen}")
     )
 
 
-def append_manifest(sources: DataFrame, table_dir: str, gen: str, fingerprint: bool = False) -> None:
+def append_manifest(
+    sources: DataFrame, table_dir: str, gen: str, fingerprint: bool = False, gone: DataFrame | None = None
+) -> None:
     """Record the converted sources (path, size, mtime) of a generation: this is what publishes it.
 
-    ``fingerprint`` also reads the generation back for a hash of its rows, in whatever order they lie.
+    Records of ``gone`` sources are retired in the same append. ``fingerprint`` also reads the generation back for a hash of its rows, in whatever order they lie.
     """
     spark = sources.sparkSession
     schema = [f for f in TABLE_SCHEMA.fields if f.name != "gen"]
@@ -146,7 +150,7 @@ def append_manifest(sources: DataFrame, table_dir: str, gen: str, fingerprint: b
     counts = written.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.bit_xor(row_hash).alias("content_hash")
     )
-    (
+    records = (
         sources.withColumn("source_id", source_id())
         .join(counts, "source_id", "left")
         .select(
@@ -160,15 +164,20 @@ def append_manifest(sources: DataFrame, table_dir: str, gen: str, fingerprint: b
             F.current_timestamp().alias("converted_at"),
             F.lit(True).alias("live"),
         )
-        .write.mode("append")
-        .parquet(f"{table_dir}/manifest")
     )
+    if gone is not None:
+        records = records.unionByName(_retired(gone))
+    records.write.mode("append").parquet(f"{table_dir}/manifest")
 
 
-def _retire(gone: DataFrame, table_dir: str) -> None:
-    gone.withColumns({"live": F.lit(False), "converted_at": F.current_timestamp()}).select(
+def _retired(gone: DataFrame) -> DataFrame:
+    return gone.withColumns({"live": F.lit(False), "converted_at": F.current_timestamp()}).select(
         *MANIFEST_SCHEMA.fieldNames()
-    ).write.mode("append").parquet(f"{table_dir}/manifest")
+    )
+
+
+def new_generation() -> str:
+    return f"{time.time_ns() // 1_000_000:013d}-{secrets.token_hex(8)}"
 
 
 def refresh_table(
@@ -189,16 +198,16 @@ def refresh_table(
     # File names, as many as Spark's own file index holds on the driver.
     todo = (listing if force else changed_sources(listing, live)).collect()
     gone = live.join(listing, "source_path", "left_anti")
-    if not gone.isEmpty():
-        _retire(gone, table_dir)
     if not todo:
+        if not gone.isEmpty():
+            _retired(gone).write.mode("append").parquet(f"{table_dir}/manifest")
         return spark.createDataFrame([(0, 0)], "files bigint, n_rows bigint")
-    gen = f"{time.time_ns() // 1_000_000:013d}-{secrets.token_hex(4)}"
+    gen = new_generation()
     raw = read_csv(spark, [r.source_path for r in todo], csv_mode).select(
         "*", F.col("_metadata.file_path").alias("source_path")
     )
     write_generation(raw, table_dir, gen, sum(r.size for r in todo))
-    append_manifest(spark.createDataFrame(todo, listing.schema), table_dir, gen, fingerprint)
+    append_manifest(spark.createDataFrame(todo, listing.schema), table_dir, gen, fingerprint, gone)
     return (
         read_manifest(spark, table_dir)
         .where(F.col("gen") == gen)
@@ -209,12 +218,31 @@ def refresh_table(
 def read_table(spark: SparkSession, table_dir: str) -> DataFrame:
     """The catalogue as the manifest has it now."""
     require_utc(spark)
-    live = live_sources(spark, table_dir).where("n_rows > 0").select("gen", "source_id").collect()
-    if not live:
+    live = live_sources(spark, table_dir).where("n_rows > 0").select("gen", "source_id")
+    gens = [r.gen for r in live.select("gen").distinct().collect()]
+    if not gens:
         return spark.createDataFrame([], TABLE_SCHEMA)
     data = f"{table_dir}/data"
-    folders = [f"{data}/gen={r.gen}/source_id={r.source_id}" for r in live]
-    return spark.read.schema(TABLE_SCHEMA).option("basePath", data).parquet(*folders)
+    rows = spark.read.schema(TABLE_SCHEMA).option("basePath", data).parquet(*[f"{data}/gen={g}" for g in gens])
+    # sources that a later record replaced or retired, in generations that still hold others
+    stale = read_manifest(spark, table_dir).where("live and n_rows > 0").select("gen", "source_id").distinct()
+    stale = stale.where(F.col("gen").isin(gens)).join(live, ["gen", "source_id"], "left_anti")
+    return rows if stale.isEmpty() else rows.join(stale, ["gen", "source_id"], "left_anti").select(*TABLE_SCHEMA.fieldNames())
+
+
+def compact_table(spark: SparkSession, table_dir: str) -> str | None:
+    """Rewrite what the table holds as one generation of full-size files; returns its name.
+
+    The old generations stay on disk for readers that are still on them.
+    """
+    live = live_sources(spark, table_dir)
+    if live.isEmpty():
+        return None
+    gen, total = new_generation(), live.agg(F.sum("size")).first()[0]
+    raw = read_table(spark, table_dir).join(live.select("source_id", "source_path"), "source_id")
+    write_generation(raw.select(*CATALOG_FIELDS, "source_path"), table_dir, gen, total)
+    append_manifest(live.select("source_path", "size", "mtime"), table_dir, gen)
+    return gen
 
 
 def catalog_id(spark: SparkSession, table_dir: str) -> str:

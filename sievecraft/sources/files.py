@@ -11,12 +11,12 @@ from sievecraft.functions import columns as C
 _PATH_PATTERN = r"([^/]+)/([^/]+)\.apk$"
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.apk").load(f"{root}/*")
+def _files(spark: SparkSession, root: str, glob: str = "*/*.apk", pattern: str = _PATH_PATTERN) -> DataFrame:
+    files = spark.read.format("binaryFile").load(f"{root}/{glob}")
     return files.withColumns(
         {
-            "class": F.regexp_extract("path", _PATH_PATTERN, 1),
-            "sha256": F.lower(F.regexp_extract("path", _PATH_PATTERN, 2)),
+            "class": F.regexp_extract("path", pattern, 1),
+            "sha256": F.lower(F.regexp_extract("path", pattern, 2)),
         }
     )
 
@@ -26,13 +26,15 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark, root).select("class", "sha256", "length")
 
 
-def hashed_files(spark: SparkSession, root: str) -> DataFrame:
+def hashed_files(
+    spark: SparkSession, root: str, glob: str = "*/*.apk", pattern: str = _PATH_PATTERN
+) -> DataFrame:
     """Files with the hash of what they hold: ``class, sha256, length, content_sha256``.
 
-    Spark holds one file at a time in each task, so a file may have up to 2 GiB. With
+    ``glob`` and ``pattern`` (class, then hash, from the path) serve trees of another layout. Spark holds one file at a time in each task, so a file may have up to 2 GiB. With
     ``spark.sql.files.ignoreCorruptFiles`` unreadable files are left out, and an audit then calls them missing;
     without it they fail the job.
     """
-    return _files(spark, root).select(
+    return _files(spark, root, glob, pattern).select(
         "class", "sha256", "length", C.content_hash(F.col("content")).alias("content_sha256")
     )

@@ -12,12 +12,14 @@ from __future__ import annotations
 import json
 import secrets
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievecraft.operators.sampling import trim
+from sievecraft.scratch import staged
 from sievecraft.spec import CLASSES, CollectionSpec
 
 INDEX_SCHEMA = T.StructType(
@@ -27,21 +29,33 @@ INDEX_SCHEMA = T.StructType(
         T.StructField("written_at", T.TimestampType()),
         *[T.StructField(f"{c}_wanted", T.LongType()) for c in CLASSES],
         *[T.StructField(f"{c}_n", T.LongType()) for c in CLASSES],
+        *[T.StructField(f"{c}_hash", T.LongType()) for c in CLASSES],
+        T.StructField("seed", T.LongType()),
     ]
 )
 
 
-def write_sample(sample: DataFrame, store: str, key: str, wanted: dict[str, int]) -> None:
-    """Store a sample as JSON Lines per class. The index record that makes it visible comes last."""
+def _summary(rows: DataFrame) -> DataFrame:
+    """Rows of each class and a hash of all their columns: reading it reads every field of every record."""
+    row_hash = F.xxhash64(*[F.to_json(F.struct(c)) for c in rows.columns])
+    return rows.agg(
+        *[F.count_if(F.col("class") == c).alias(f"{c}_n") for c in CLASSES],
+        *[F.coalesce(F.bit_xor(F.when(F.col("class") == c, row_hash)), F.lit(0)).alias(f"{c}_hash") for c in CLASSES],
+    )
+
+
+def write_sample(
+    sample: DataFrame, store: str, key: str, wanted: dict[str, int], seed: int | None = None
+) -> None:
+    """Store a sample as JSON Lines per class, with the seed that drew it. The index record that makes it visible comes last."""
     spark = sample.sparkSession
     draw = secrets.token_hex(8)
     folder = f"{store}/{key}/draw={draw}"
     sample.write.partitionBy("class").json(folder)
-    stored = spark.read.schema(sample.schema).json(folder)
-    record = stored.agg(
-        *[F.count_if(F.col("class") == c).alias(f"{c}_n") for c in CLASSES]
-    ).withColumns(
+    stored = spark.read.schema(sample.schema).option("mode", "FAILFAST").json(folder)
+    record = _summary(stored).withColumns(
         {
+            "seed": F.lit(seed).cast("bigint"),
             "draw": F.lit(draw),
             "sample_schema": F.lit(sample.schema.json()),
             "written_at": F.current_timestamp(),
@@ -68,38 +82,49 @@ def read_sample(spark: SparkSession, store: str, key: str, wanted: dict[str, int
             return None
         schema = T.StructType.fromJson(json.loads(hit.sample_schema))
         stored = (
-            spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{store}/{key}/draw={hit.draw}")
+            spark.read.schema(schema).option("mode", "FAILFAST").json(f"{store}/{key}/draw={hit.draw}")
         )
-        # Reads the whole record, so a line that is no JSON any more is missed here and makes the draw a miss.
-        found = stored.groupBy("class").agg(F.count("sample_rank").alias("n")).collect()
+        # A record that is damaged in any field fails here or changes the hash, and makes the whole draw a miss.
+        found = _summary(stored).first()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    counts = {r["class"]: r.n for r in found}
-    if any(counts.get(c, 0) != hit[f"{c}_n"] for c in CLASSES):
+    except (PySparkException, Py4JJavaError) as error:
+        if "MALFORMED_RECORD" not in str(error):
+            raise
+        return None
+    if any(found[f"{c}_{x}"] != hit[f"{c}_{x}"] for c in CLASSES for x in ("n", "hash")):
         return None
     return trim(stored, wanted)
 
 
 def stored_or_drawn(
-    spark: SparkSession, store: str, spec: CollectionSpec, catalog_id: str, mode: str, draw, force: bool = False
+    spark: SparkSession, store: str, spec: CollectionSpec, key: str, draw, force: bool = False
 ) -> DataFrame:
-    """The stored sample for a spec, or ``draw()`` stored and read back."""
-    key = spec.fingerprint(catalog_id, mode)
+    """The stored sample for a key, or ``draw()`` stored and read back."""
     sample = None if force else read_sample(spark, store, key, spec.wanted)
     if sample is None:
-        write_sample(draw(), store, key, spec.wanted)
+        write_sample(draw(), store, key, spec.wanted, spec.random_seed)
         sample = read_sample(spark, store, key, spec.wanted)
     return sample
 
 
+def drawn_seeds(spark: SparkSession, store: str) -> DataFrame:
+    """key, draw, seed and time of every stored draw."""
+    index = spark.read.schema(INDEX_SCHEMA).json(f"{store}/*/index")
+    key = F.regexp_extract("_metadata.file_path", r"/([^/]+)/index/[^/]+$", 1)
+    return index.select(key.alias("key"), "draw", "seed", "written_at")
+
+
 def export_hashes(sample: DataFrame, out_dir: str, write_empty: bool = False, one_file: bool = False) -> list[str]:
     """Write each class's hashes, one per line in sample order and catalogue letter case; returns the folders.
 
-    A class without rows gets a folder only with ``write_empty``. ``one_file`` writes through one task.
+    A class without rows gets a folder only with ``write_empty``. ``one_file`` writes through one task. The sample is
+    evaluated once.
     """
     written = []
+    sample = staged(sample.select("class", "sample_rank", "sha256"), "hash-lists")
     for cls in CLASSES:
         rows = sample.where(F.col("class") == cls)
         if not write_empty and rows.isEmpty():

@@ -18,14 +18,14 @@ RAW_SCHEMA = T.StructType(
     [T.StructField(name, T.LongType() if name in _LONG else T.StringType()) for name in CATALOG_FIELDS]
 )
 
-# The typed table adds the parsed columns; the last three are partition folders.
+# The typed table adds the parsed columns; generation and year are folders.
 TABLE_SCHEMA = T.StructType(
     [
         *RAW_SCHEMA.fields,
         T.StructField("det", T.LongType()),
         T.StructField("scan_ts", T.TimestampType()),
-        T.StructField("gen", T.StringType()),
         T.StructField("source_id", T.StringType()),
+        T.StructField("gen", T.StringType()),
         T.StructField("scan_year", T.IntegerType()),
     ]
 )

@@ -9,6 +9,7 @@ import warnings
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime
 
+# The date format, the defaults of ``CollectionSpec`` and its limits (threshold 0 to 100, sizes from 1).
 DATE_FORMAT = "%Y-%m-%d %H:%M:%S"
 
 # The granularities a distribution can be asked for.
@@ -69,7 +70,9 @@ class CollectionSpec:
             return self
         return replace(self, random_seed=secrets.randbelow(2**31))
 
-    def fingerprint(self, catalog_id: str, mode: str) -> str:
+    def fingerprint(
+        self, catalog_id: str, mode: str, on_bad_date: str | None = None, keys_unique: bool = False
+    ) -> str:
         """Key of a stored sample.
 
         Covers everything that decides *which order* the candidates come in, and not how many are
@@ -81,4 +84,5 @@ class CollectionSpec:
         for name in ("n_cleanware", "n_malware", "distribution_granularity"):
             del parts[name]
         parts |= {"catalog_id": catalog_id, "mode": mode}
+        parts |= {"on_bad_date": on_bad_date, "keys_unique": keys_unique}
         return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()

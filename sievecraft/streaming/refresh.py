@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+import secrets
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +13,19 @@ from sievecraft.sources import catalog
 from sievecraft.sources.schema import RAW_SCHEMA, require_utc
 
 
+def stream_id(spark: SparkSession, checkpoint_dir: str) -> str:
+    """A random name kept in the checkpoint folder: a renewed checkpoint is another stream."""
+    path = f"{checkpoint_dir.rstrip('/')}/sievecraft-stream"
+    try:
+        return spark.read.text(path).first().value
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = secrets.token_hex(16)
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(path)
+    return name
+
+
 def stream_refresh(
     spark: SparkSession,
     csv_dir: str,
@@ -22,12 +36,13 @@ def stream_refresh(
 ) -> StreamingQuery:
     """Add every CSV file in the folder that was not seen before to the typed table, then stop.
 
-    Each micro-batch becomes one generation, named after the checkpoint and the batch, so a batch that runs again
-    after a failure overwrites its own output and adds no row twice. A file that is rewritten under a name already
+    Each micro-batch becomes one generation, named after the stream's id and the batch, so a batch that runs again
+    after a failure overwrites its own unpublished output and adds no row twice. A generation that the manifest lists
+    is never written again: the batch is skipped if it has the same files, and fails if it has others. A file that is rewritten under a name already
     seen is ignored by a file stream: use ``refresh_table`` for those.
     """
     require_utc(spark)
-    stream = hashlib.sha256(checkpoint_dir.encode()).hexdigest()[:12]
+    stream = stream_id(spark, checkpoint_dir)
     reader = spark.readStream.schema(RAW_SCHEMA).options(**catalog.csv_options(csv_mode))
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
@@ -45,6 +60,12 @@ def stream_refresh(
         files = sources.collect()
         if not files:
             return
+        published = catalog.read_manifest(batch.sparkSession, table_dir).where(F.col("gen") == gen)
+        before = {r.source_path for r in published.select("source_path").collect()}
+        if before:
+            if before != {r.source_path for r in files}:
+                raise ValueError(f"generation {gen} is published with other files")
+            return
         catalog.write_generation(batch.drop("_size", "_mtime"), table_dir, gen, sum(r["size"] for r in files))
         listed = batch.sparkSession.createDataFrame(files, sources.schema)
         catalog.append_manifest(listed, table_dir, gen)

@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sievecraft.operators.fetch import class_rollup, classify_attempts
+from sievecraft.operators.fetch import TARGET, class_rollup, classify_attempts, rollup_of
 
 
-def live_rollup(log_stream: DataFrame) -> DataFrame:
-    """Succeeded, failed and completed bytes per class over a streaming attempt log.
+def live_attempts(log_stream: DataFrame) -> DataFrame:
+    """Attempts that went well and badly, and completed bytes, per class over a streaming log; retries count each.
 
     The state is one row per class, so it needs no watermark; write it in ``complete`` or ``update`` mode.
     """
     return class_rollup(classify_attempts(log_stream))
+
+
+def live_targets(log_stream: DataFrame) -> DataFrame:
+    """How often each target has had each outcome so far, over a streaming log.
+
+    The state is a row for each target and outcome of the run. In ``update`` mode a batch brings those that changed, in
+    ``complete`` mode all of them; ``live_rollup`` turns the latter into the totals that the batch roll-up gives.
+    """
+    attempts = classify_attempts(log_stream).withColumn("sha256", F.lower("sha256"))
+    return attempts.groupBy(*TARGET, "outcome").agg(F.count(F.lit(1)).alias("attempts"))
+
+
+def live_rollup(targets: DataFrame, plan: DataFrame) -> DataFrame:
+    """Planned rows that ended well or not, as ``attempt_rollup`` gives them, from one batch of ``live_targets``."""
+    rows = plan.withColumn("sha256", F.lower("sha256")).groupBy(*TARGET).agg(
+        F.count(F.lit(1)).alias("plan_rows"), F.coalesce(F.sum("apk_size"), F.lit(0)).alias("plan_bytes")
+    )
+    return rollup_of(rows.join(targets, TARGET, "left").withColumn("planned", F.lit(True)))

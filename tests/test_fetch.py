@@ -163,16 +163,30 @@ def test_rollup(spark, sample):
     rollup = fetch.attempt_rollup(attempts, sample)
     got = {r["class"]: (r.succeeded, r.failed, r.bytes) for r in rollup.collect()}
     assert got == {"malware": (1, 2, 10), "cleanware": (1, 2, 10), "total": (2, 4, 20)}
-    assert tuple(fetch.run_verdict(rollup).head()) == (2, 4, "SUCCESS", False)
-    assert fetch.run_verdict(rollup, stopped=True).head().verdict == "STOPPED"
+    tried = fetch.classify_attempts(attempts)
+    assert tuple(fetch.run_verdict(rollup, tried, sample).head()) == (2, 4, "SUCCESS", False)
+    stopped = tried.withColumn("outcome", F.lit("INTERRUPTED"))
+    assert fetch.run_verdict(rollup, stopped, sample).head().verdict == "STOPPED"
+    assert fetch.run_verdict(rollup, tried, sample.limit(1)).head().verdict == "ERROR"
     by_target = fetch.attempt_rollup(attempts.drop("sample_rank"), sample)
     assert {r["class"]: r.succeeded for r in by_target.collect()} == {"malware": 1, "cleanware": 1, "total": 2}
 
 
 def test_complete_run(spark, sample):
     rows = [(r["class"], r.sample_rank, r.sha256, 1, 1, r.sha256) for r in sample.where("sha256 is not null").collect()]
-    rollup = fetch.attempt_rollup(log(spark, rows), sample.where("sha256 is not null"))
-    assert tuple(fetch.run_verdict(rollup).head()) == (5, 0, "SUCCESS", True)
+    plan = sample.where("sha256 is not null")
+    rollup = fetch.attempt_rollup(log(spark, rows), plan)
+    verdict = fetch.run_verdict(rollup, fetch.classify_attempts(log(spark, rows)), plan)
+    assert tuple(verdict.head()) == (5, 0, "SUCCESS", True)
+
+
+def test_rollup_counts_rows_that_repeat_or_lack_a_key(spark):
+    rows = [("malware", sha("a"), 10), ("malware", sha("a").upper(), 10), ("malware", None, 5), ("malware", None, 5)]
+    plan = spark.createDataFrame(rows, "class string, sha256 string, apk_size bigint")
+    attempts = log(spark, [("malware", 1, sha("a"), 10, 10, sha("a"))]).drop("sample_rank")
+    got = {r["class"]: (r.succeeded, r.failed, r.bytes) for r in fetch.attempt_rollup(attempts, plan).collect()}
+    assert got["total"] == (2, 2, 20)
+    assert {r["class"]: (r.files, r.bytes) for r in fetch.planned_bytes(plan).collect()}["total"] == (4, 30)
 
 
 def test_pairs(spark, sample):

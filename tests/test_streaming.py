@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from sievecraft.operators import fetch
 from sievecraft.sources import catalog as source
 from sievecraft.streaming.refresh import stream_refresh
-from sievecraft.streaming.rollup import live_rollup
+from sievecraft.streaming.rollup import live_attempts
 from tests.fixtures import csv_text, row
 
 
@@ -47,7 +47,7 @@ def test_live_rollup_equals_batch(spark, tmp_path):
     log.repartition(6).write.parquet(f"{tmp_path}/log")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/log")
     query = (
-        live_rollup(stream).writeStream.outputMode("complete").format("memory").queryName("live_totals_test")
+        live_attempts(stream).writeStream.outputMode("complete").format("memory").queryName("live_totals_test")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -56,7 +56,11 @@ def attempts_of(events: DataFrame) -> DataFrame:
 
 def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fetch log with one target per user, so that every target has many attempts."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return retries_of(table(spark, sf_dir, "events"))
+
+
+def retries_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "sha2(CAST(user_id AS STRING), 256) AS sha256",
         "CASE WHEN user_id % 2 = 0 THEN 'malware' ELSE 'cleanware' END AS class",
         "CAST(value * 100 AS BIGINT) AS bytes_downloaded",
@@ -75,6 +79,52 @@ def retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeating_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan that names each of 200 targets many times; every fifth row has no hash."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE upper(sha2(CAST(c_custkey % 200 AS STRING), 256)) END AS sha256",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'malware' ELSE 'cleanware' END AS class",
+        "1000 + c_custkey AS apk_size",
+    )
+
+
+def all_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fetch log in which every outcome occurs, by the event's number."""
+    kind = "event_id % 14"
+    return table(spark, sf_dir, "events").selectExpr(
+        f"CASE WHEN {kind} = 0 THEN NULL ELSE sha2(CAST(event_id AS STRING), 256) END AS sha256",
+        "CASE WHEN user_id % 2 = 0 THEN 'malware' ELSE 'cleanware' END AS class",
+        "1000 + event_id % 7 AS apk_size",
+        f"CASE WHEN {kind} = 8 THEN 0 ELSE 10 END AS bytes_downloaded",
+        f"CASE WHEN {kind} = 9 THEN 20 ELSE 10 END AS content_length",
+        f"""CASE WHEN {kind} = 5 THEN NULL WHEN {kind} IN (10, 11) THEN 'bad'
+                 ELSE sha2(CAST(event_id AS STRING), 256) END AS computed_sha256""",
+        f"CASE {kind} WHEN 1 THEN 'cancelled' WHEN 2 THEN 'interrupted' WHEN 3 THEN 'timeout' WHEN 4 THEN 'request' WHEN 6 THEN 'file' WHEN 7 THEN 'odd' END AS error",
+        f"{kind} IN (5, 11, 12) AS existing",
+    )
+
+
+def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each distinct labelled text; its name is the text's hash, or another where the quality is 0."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = table(spark, sf_dir, "documents").join(labels, "doc_id").selectExpr(
+        "CASE WHEN lang = 'en' THEN 'cleanware' ELSE 'malware' END AS class",
+        "sha2(concat(text, '\n'), 256) AS hash",
+        "CASE WHEN quality = 0 THEN concat(text, '!') ELSE text END AS value",
+    )
+    # equal texts would fall into one folder, whose files are then audited together: one of them is enough
+    return rows.groupBy("class", "hash").agg({"value": "min"}).withColumnRenamed("min(value)", "value")
+
+
+def wanted_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted files of the tree: every document that is not labelled toxic."""
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return table(spark, sf_dir, "documents").join(toxic, "doc_id", "left_anti").selectExpr(
+        "CASE WHEN lang = 'en' THEN 'cleanware' ELSE 'malware' END AS class",
+        "upper(sha2(concat(text, '\n'), 256)) AS sha256",
+    )
+
+
 def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted files, by the hash of their text: every document that is not labelled toxic."""
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")

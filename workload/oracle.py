@@ -219,6 +219,27 @@ rolled AS (
   FROM done GROUP BY ROLLUP (class))"""
 
 
+REPEATING = RETRIES.replace("sha256(CAST(c_custkey AS VARCHAR)) AS sha256", "CASE WHEN c_custkey % 5 > 0 THEN sha256(CAST(c_custkey % 200 AS VARCHAR)) END AS sha256").split("\ncounted AS")[0] + """
+good AS (SELECT DISTINCT class, sha256, TRUE AS ok FROM log WHERE outcome = 'VERIFIED'),
+done AS (SELECT plan.class, apk_size, coalesce(ok, FALSE) AS ok FROM plan LEFT JOIN good USING (class, sha256))
+SELECT coalesce(class, 'total') AS class, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS succeeded,
+       CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS failed,
+       CAST(coalesce(sum(apk_size) FILTER (WHERE ok), 0) AS BIGINT) AS bytes
+FROM done GROUP BY ROLLUP (class)"""
+
+OUTCOME_LABELS = """WITH attempts AS (
+  SELECT CASE WHEN user_id % 2 = 0 THEN 'malware' ELSE 'cleanware' END AS class, 1000 + event_id % 7 AS apk_size,
+         CASE event_id % 14
+           WHEN 0 THEN 'NO_SHA256' WHEN 1 THEN 'CANCELLED' WHEN 2 THEN 'INTERRUPTED' WHEN 3 THEN 'TIMEOUT'
+           WHEN 4 THEN 'REQUEST_ERROR' WHEN 5 THEN 'EXISTS' WHEN 6 THEN 'FILE_ERROR' WHEN 7 THEN 'UNEXPECTED_ERROR'
+           WHEN 8 THEN 'NO_BYTES' WHEN 9 THEN 'INCOMPLETE' WHEN 10 THEN 'HASH_MISMATCH' WHEN 11 THEN 'HASH_MISMATCH'
+           WHEN 12 THEN 'EXISTS_VERIFIED' ELSE 'VERIFIED' END AS outcome
+  FROM events)
+SELECT class, outcome, CAST(count(*) AS BIGINT) AS attempts,
+       CAST(sum(CASE WHEN outcome IN ('VERIFIED', 'EXISTS', 'EXISTS_VERIFIED') THEN apk_size ELSE 0 END) AS BIGINT) AS bytes
+FROM attempts GROUP BY class, outcome"""
+
+
 def oracle_sql() -> dict[str, str]:
     size_rows = """SELECT class, CAST(sum(apk_size) AS BIGINT) AS bytes FROM sample GROUP BY class
                    UNION ALL SELECT 'total', CAST(sum(apk_size) AS BIGINT) FROM sample"""
@@ -297,7 +318,11 @@ FROM attempts GROUP BY class, outcome""",
         "paired_outcomes": f"{RETRIES} SELECT class, sha256, outcome, attempts, apk_size, planned FROM pairs",
         "attempt_rollup": f"{RETRIES} SELECT class, succeeded, failed, bytes FROM rolled",
         "run_verdict": f"""{RETRIES}
-SELECT succeeded, failed, 'SUCCESS' AS verdict, failed = 0 AS complete FROM rolled WHERE class = 'total'""",
+SELECT succeeded, failed,
+       CASE WHEN (SELECT count(*) FROM log WHERE outcome IN ('CANCELLED', 'INTERRUPTED')) > 0 THEN 'STOPPED'
+            WHEN succeeded + failed <> (SELECT count(*) FROM plan) THEN 'ERROR' ELSE 'SUCCESS' END AS verdict,
+       failed = 0 AS complete
+FROM rolled WHERE class = 'total'""",
         "typed_table": _distribution("month"),
         "refresh_twice": """
 SELECT 'first' AS step, CAST(count(*) AS BIGINT) AS n_rows FROM lineitem
@@ -307,4 +332,46 @@ UNION ALL SELECT 'table', CAST(count(*) AS BIGINT) FROM lineitem""",
         "stored_sample": _sample(SMALLER),
         "hash_export": f"{_ranked(SPEC, 'collect')} SELECT class, sha256 FROM sample",
         "live_totals": CLASS_ROLLUP,
+        "rollup_repeated_keys": REPEATING,
+        "live_totals_retries": REPEATING,
+        "outcome_labels": OUTCOME_LABELS,
+        "survey_bad_date": f"""WITH {RAW}, {TYPED}
+SELECT 'as_is' AS step, 'failed' AS result, CAST(0 AS BIGINT) AS n_rows
+UNION ALL SELECT 'good_dates', 'rows', CAST(count(*) AS BIGINT) FROM typed
+WHERE scan_ts BETWEEN TIMESTAMP '{SPEC.date_start}' AND TIMESTAMP '{SPEC.date_end}'""",
+        "stored_sample_by_key": f"""{_candidates(SPEC, 'collect', RAW)},
+asked(step, class, w) AS (VALUES
+  ('first', 'malware', {SPEC.n_malware}), ('smaller', 'malware', {SMALLER.n_malware}),
+  ('unique', 'malware', {SPEC.n_malware}), ('unseeded', 'malware', {SPEC.n_malware}),
+  ('first', 'cleanware', {SPEC.n_cleanware}), ('smaller', 'cleanware', {SMALLER.n_cleanware}),
+  ('unique', 'cleanware', {SPEC.n_cleanware}), ('unseeded', 'cleanware', {SPEC.n_cleanware})),
+there AS (SELECT class, count(*) AS n FROM cand GROUP BY class)
+SELECT step, class, CAST(least(w, n) AS BIGINT) AS n FROM asked JOIN there USING (class)
+UNION ALL SELECT 'store', 'draws', CAST(3 AS BIGINT)""",
+        "store_damaged": _sample(SMALLER),
+        "refresh_replaced": f"""WITH {RAW}
+SELECT 'a' AS step, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(apk_size) AS BIGINT) AS bytes FROM raw
+UNION ALL SELECT step, CAST(count(*) AS BIGINT), CAST(sum(apk_size) AS BIGINT)
+FROM raw, (VALUES ('b'), ('compacted')) AS steps(step) WHERE apk_size % 2 = 0 OR apk_size % 4 = 1 GROUP BY step""",
+        "refresh_failed": f"""WITH {RAW}
+SELECT 'refused' AS step, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(apk_size) AS BIGINT) AS bytes FROM raw""",
+        "stream_new_checkpoint": f"""WITH {RAW}
+SELECT 'both' AS step, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(apk_size) AS BIGINT) AS bytes FROM raw""",
+        "open_by_suffix": f"""WITH {RAW}, {TYPED}
+SELECT suffix, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(det) AS BIGINT) AS detections,
+       CAST(count(scan_ts) AS BIGINT) AS dates
+FROM typed, (VALUES ('csv'), ('parquet')) AS s(suffix) GROUP BY suffix""",
+        "file_tree_audit": """WITH w AS (
+  SELECT CASE WHEN lang = 'en' THEN 'cleanware' ELSE 'malware' END AS class, sha256(text || chr(10)) AS sha256,
+         count(*) AS n
+  FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id) GROUP BY ALL),
+f AS (
+  SELECT CASE WHEN lang = 'en' THEN 'cleanware' ELSE 'malware' END AS class, sha256(text || chr(10)) AS sha256,
+         min(CASE WHEN quality = 0 THEN text || '!' ELSE text END) = min(text) AS good
+  FROM documents JOIN labels USING (doc_id) GROUP BY ALL)
+SELECT coalesce(w.class, f.class) AS class, coalesce(w.sha256, f.sha256) AS sha256,
+       CAST(coalesce(w.n, 0) AS BIGINT) AS wanted_rows, CAST(f.class IS NOT NULL AS BIGINT) AS files,
+       CASE WHEN w.n IS NULL THEN 'UNEXPECTED' WHEN f.class IS NULL THEN 'MISSING'
+            WHEN f.good THEN 'VERIFIED' ELSE 'HASH_MISMATCH' END AS status
+FROM w FULL OUTER JOIN f ON w.class = f.class AND w.sha256 = f.sha256""",
     }

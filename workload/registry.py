@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.functions import columns as C
 from sievecraft.operators import classes, fetch, sampling
 from sievecraft.plans import collect, reports
+from sievecraft.scratch import scratch_dir
 from sievecraft.sources import catalog as source
-from sievecraft.sources import sample_store
+from sievecraft.sources import files, sample_store
 from sievecraft.spec import CollectionSpec
 from sievecraft.streaming.refresh import stream_refresh
-from sievecraft.streaming.rollup import live_rollup
+from sievecraft.streaming.rollup import live_attempts, live_rollup, live_targets
 from workload import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,17 +40,6 @@ LATER = replace(SPEC, date_start="2030-01-01 00:00:00", date_end="2031-01-01 00:
 SMALLER = replace(SPEC, n_malware=120, n_cleanware=30)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees: below ``spark.checkpoint.dir``, or a temporary one in local mode."""
-    conf = spark.sparkContext.getConf()
-    shared = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/sievecraft-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="sievecraft-")
-
-
 def _plain(df: DataFrame) -> DataFrame:
     """Scan time as text: a report holds no time-zone-aware values."""
     return df.withColumn("scan_ts", F.date_format("scan_ts", C.SCAN_DATE_PATTERN))
@@ -220,7 +211,7 @@ def class_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 def paired_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     log = fetch.classify_attempts(adapters.retries(spark, sf))
-    return fetch.pair_outcomes(log, adapters.retry_plan(spark, sf))
+    return fetch.pair_outcomes(log, adapters.retry_plan(spark, sf)).drop("plan_rows", "plan_bytes")
 
 
 def attempt_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,7 +219,32 @@ def attempt_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return fetch.run_verdict(attempt_rollup(spark, sf))
+    attempts = fetch.classify_attempts(adapters.retries(spark, sf))
+    return fetch.run_verdict(attempt_rollup(spark, sf), attempts, adapters.retry_plan(spark, sf))
+
+
+def rollup_repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan that names targets many times and has rows without a hash."""
+    return fetch.attempt_rollup(adapters.retries(spark, sf), adapters.repeating_plan(spark, sf))
+
+
+def outcome_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """All thirteen outcomes."""
+    return fetch.outcome_counts(fetch.classify_attempts(adapters.all_attempts(spark, sf)))
+
+
+def survey_bad_date(spark: SparkSession, sf: str) -> DataFrame:
+    """What a survey's default mode does with the table's malformed dates, and with a table that has none."""
+    raw = adapters.catalog(spark, sf)
+    good = raw.where("vt_scan_date <> 'bad'")
+    steps = []
+    for name, table in (("as_is", raw), ("good_dates", good)):
+        try:
+            n = classes.base(table, SPEC, "survey").agg(F.count("scan_ts").alias("n")).first().n
+            steps.append((name, "rows", n))
+        except ValueError:
+            steps.append((name, "failed", 0))
+    return spark.createDataFrame(steps, "step string, result string, n_rows bigint")
 
 
 def _write_csv(spark: SparkSession, sf: str, folder: str) -> None:
@@ -280,6 +296,119 @@ def stored_sample(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(sample_store.read_sample(spark, f"{folder}/store", key, SMALLER.wanted))
 
 
+def stored_sample_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples kept under the real key: the same request again, one that must not be served from it, one without a seed."""
+    folder = scratch_dir(spark)
+    _write_csv(spark, sf, f"{folder}/csv")
+    source.refresh_table(spark, f"{folder}/csv", f"{folder}/table")
+    ask = lambda spec, **how: collect.stored_sample(spark, f"{folder}/table", f"{folder}/store", spec, **how)
+    steps = {
+        "first": ask(SPEC), "smaller": ask(SMALLER), "unique": ask(SPEC, keys_unique=True),
+        "unseeded": ask(replace(SPEC, random_seed=None)),
+    }
+    seeds = sample_store.drawn_seeds(spark, f"{folder}/store")
+    rows = [df.groupBy("class").agg(F.count("*").alias("n")).withColumn("step", F.lit(k)) for k, df in steps.items()]
+    rows.append(seeds.agg(F.lit("draws").alias("class"), F.count("seed").alias("n"), F.lit("store").alias("step")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def store_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored sample with one damaged number is drawn anew and equals the sample."""
+    folder = scratch_dir(spark)
+    key = SPEC.fingerprint(sf, "collect")
+    store = f"{folder}/store"
+    sample_store.write_sample(_sample(spark, sf), store, key, SPEC.wanted, SPEC.random_seed)
+    lines = spark.read.text(f"{store}/{key}/draw=*/class=malware")
+    broken = F.regexp_replace("value", r'"sample_rank":1,(.*)"apk_size":\d+', r'"sample_rank":1,$1"apk_size":"x"')
+    index = spark.read.schema(sample_store.INDEX_SCHEMA).json(f"{store}/{key}/index").first()
+    copy = f"{folder}/damaged"
+    for cls in SPEC.wanted:
+        rows = lines.select(broken) if cls == "malware" else spark.read.text(f"{store}/{key}/draw=*/class={cls}")
+        rows.write.text(f"{copy}/{key}/draw={index.draw}/class={cls}")
+    spark.createDataFrame([index], sample_store.INDEX_SCHEMA).write.json(f"{copy}/{key}/index")
+    served = sample_store.read_sample(spark, copy, key, SMALLER.wanted)
+    if served is not None:
+        return served
+    redrawn = sample_store.stored_or_drawn(spark, copy, SPEC, key, lambda: _sample(spark, sf))
+    return _plain(sampling.trim(redrawn, SMALLER.wanted))
+
+
+def _split_csv(spark: SparkSession, sf: str, folder: str, where: str) -> None:
+    raw = adapters.catalog(spark, sf).where(where)
+    missing = [f for f in source.RAW_SCHEMA.fields if f.name not in raw.columns]
+    raw = raw.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
+    raw.select(*source.CATALOG_FIELDS).write.option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(folder)
+
+
+def refresh_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sources; one is then renamed and the other replaced by other rows: what the table holds before and after."""
+    folder, table = scratch_dir(spark), "table"
+    even, odd = "apk_size % 2 = 0", "apk_size % 2 = 1"
+    for name, where in (("a/one", even), ("a/two", odd), ("b/renamed", even), ("b/two", "apk_size % 4 = 1")):
+        _split_csv(spark, sf, f"{folder}/{name}", where)
+    rows = []
+    for step in ("a", "b"):
+        source.refresh_table(spark, f"{folder}/{step}/*", f"{folder}/{table}")
+        rows.append(_held(spark, f"{folder}/{table}", step))
+    source.compact_table(spark, f"{folder}/{table}")
+    rows.append(_held(spark, f"{folder}/{table}", "compacted"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _held(spark: SparkSession, table: str, step: str) -> DataFrame:
+    size = F.coalesce(F.sum("apk_size"), F.lit(0)).alias("bytes")
+    return source.read_table(spark, table).agg(F.lit(step).alias("step"), F.count("*").alias("n_rows"), size)
+
+
+def refresh_failed(spark: SparkSession, sf: str) -> DataFrame:
+    """A source is replaced by one that does not convert: the refresh fails and the table holds what it held."""
+    folder = scratch_dir(spark)
+    _split_csv(spark, sf, f"{folder}/good", "true")
+    source.refresh_table(spark, f"{folder}/good", f"{folder}/table")
+    head = spark.createDataFrame([(",".join(source.CATALOG_FIELDS),)], "value string")
+    head.coalesce(1).unionByName(spark.createDataFrame([("a,b,c,d,no number,,,,,,",)], "value string")).coalesce(
+        1
+    ).write.text(f"{folder}/broken")
+    try:
+        source.refresh_table(spark, f"{folder}/broken", f"{folder}/table")
+        step = "accepted"
+    except (PySparkException, Py4JJavaError):
+        step = "refused"
+    return _held(spark, f"{folder}/table", step)
+
+
+def stream_new_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream goes on with a renewed checkpoint over a folder of other files: both runs' rows stay."""
+    folder = scratch_dir(spark)
+    for name, where in (("a", "apk_size % 2 = 0"), ("b", "apk_size % 2 = 1")):
+        _split_csv(spark, sf, f"{folder}/{name}", where)
+        # the same place in the table; a lost checkpoint begins again at batch 0
+        stream_refresh(spark, f"{folder}/{name}", f"{folder}/table", f"{folder}/check-{name}/c").awaitTermination()
+    return _held(spark, f"{folder}/table", "both")
+
+
+def open_by_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    """The same catalogue opened as CSV and as Parquet."""
+    folder = scratch_dir(spark)
+    _write_csv(spark, sf, f"{folder}/catalogue.csv")
+    adapters.catalog(spark, sf).write.parquet(f"{folder}/catalogue.parquet")
+    rows = []
+    for suffix in ("csv", "parquet"):
+        table = source.open_catalog(spark, f"{folder}/catalogue.{suffix}")
+        rows.append(table.agg(F.lit(suffix).alias("suffix"), F.count("*").alias("n_rows"), F.count("det").alias("detections"), F.count("scan_ts").alias("dates")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def file_tree_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """``documents`` as files in folders by class and hash, read back, hashed and compared with the wanted ones."""
+    folder = scratch_dir(spark)
+    adapters.file_tree(spark, sf).write.partitionBy("class", "hash").text(f"{folder}/tree")
+    found = files.hashed_files(spark, f"{folder}/tree", "class=*/hash=*/*.txt", r"class=([^/]+)/hash=([^/]+)/[^/]+$")
+    return fetch.audit_files(adapters.wanted_tree(spark, sf), found)
+
+
 def hash_export(spark: SparkSession, sf: str) -> DataFrame:
     """The exported hash lists, read back."""
     folder = scratch_dir(spark)
@@ -302,7 +431,30 @@ def live_totals(spark: SparkSession, sf: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(written[-1])
 
     query = (
-        live_rollup(adapters.attempts_of(log))
+        live_attempts(adapters.attempts_of(log))
+        .writeStream.outputMode("complete")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .foreachBatch(keep)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(written[-1])
+
+
+def live_totals_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """Live totals of planned rows, retries and repeated keys included; what the batch roll-up gives."""
+    folder = scratch_dir(spark)
+    schema = adapters.table(spark, sf, "events").schema
+    log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    plan, written = adapters.repeating_plan(spark, sf), []
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        written.append(f"{folder}/totals/batch={batch_id}")
+        live_rollup(batch, plan).write.mode("overwrite").parquet(written[-1])
+
+    query = (
+        live_targets(adapters.retries_of(log))
         .writeStream.outputMode("complete")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
@@ -364,4 +516,15 @@ def queries() -> dict[str, Query]:
         "stored_sample": stored_sample,
         "hash_export": hash_export,
         "live_totals": live_totals,
+        "rollup_repeated_keys": rollup_repeated_keys,
+        "live_totals_retries": live_totals_retries,
+        "outcome_labels": outcome_labels,
+        "survey_bad_date": survey_bad_date,
+        "stored_sample_by_key": stored_sample_by_key,
+        "store_damaged": store_damaged,
+        "refresh_replaced": refresh_replaced,
+        "refresh_failed": refresh_failed,
+        "stream_new_checkpoint": stream_new_checkpoint,
+        "open_by_suffix": open_by_suffix,
+        "file_tree_audit": file_tree_audit,
     }
