@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many repeated keys (8 bytes each, some tens of MB once hashed) are broadcast.
-BROADCAST_KEYS = 500_000
+from sievecraft.scratch import staged
+
 # Rows that one task lays out for one pile of identical rows.
 SLICE = 100_000
 _BUCKET_DIGITS = 3
@@ -48,27 +48,15 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
 def split(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
     """Rows whose key occurs once, and rows whose key repeats (None where there are none).
 
-    Runs one job over the key column to find the repeated keys; how many there are decides which may be
-    broadcast. With too many, those above an even share of the repeated rows still are: by that rule there can
-    be no more than ``BROADCAST_KEYS`` of them. The others are joined by a shuffle, in which none can weigh much.
+    One job over the key column writes the hashes of the repeated keys. Both joins with them have the same form at every
+    size: Spark sends the list to every task while it is small by its own measure, and else shuffles, splitting the rows
+    of a key that weighs much.
     """
-    keys = repeated_keys(df, key).persist()
-    try:
-        n_keys, n_rows = keys.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).head()
-        if n_keys == 0:
-            return df, None
-        share = n_rows // BROADCAST_KEYS if n_keys > BROADCAST_KEYS else 0
-        # No more than BROADCAST_KEYS hashes, as counted just now.
-        heavy = keys.where(F.col("_n") > share).select("_hash").toArrow()
-    finally:
-        keys.unpersist()
-    many = F.broadcast(df.sparkSession.createDataFrame(heavy, "_hash bigint"))
+    keys = staged(repeated_keys(df, key).select("_hash"), "repeated-keys")
+    if keys.isEmpty():
+        return df, None
     hashed = df.withColumn("_hash", F.xxhash64(key_text(key)))
-    once, repeated = hashed.join(many, "_hash", "left_anti"), hashed.join(many, "_hash", "left_semi")
-    if share:
-        few = repeated_keys(df, key).where(F.col("_n") <= share).select("_hash")
-        repeated = repeated.unionByName(once.join(few, "_hash", "left_semi"))
-        once = once.join(few, "_hash", "left_anti")
+    once, repeated = hashed.join(keys, "_hash", "left_anti"), hashed.join(keys, "_hash", "left_semi")
     return once.drop("_hash"), repeated.drop("_hash")
 
 

@@ -24,12 +24,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.operators import copies
 from sievecraft.operators.copies import key_text
-
-# The columns of a catalogue that make up a row.
-CATALOG_COLUMNS = (
-    "sha256", "sha1", "md5", "dex_date", "apk_size", "pkg_name", "vercode", "vt_detection", "vt_scan_date",
-    "dex_size", "markets",
-)
+from sievecraft.sources.schema import CATALOG_FIELDS
 
 _BUCKET_DIGITS = 4
 
@@ -83,7 +78,7 @@ def draw(
     that would find out.
     """
     columns = [c for c in candidates.columns if c != "class"]
-    identity = identity or [c for c in CATALOG_COLUMNS if c in columns] or columns
+    identity = identity or [c for c in CATALOG_FIELDS if c in columns] or columns
     first = F.lit(0).cast("bigint").alias("_copy")
     if keys_unique:
         once, repeated = candidates, None
@@ -102,7 +97,10 @@ def draw(
     return (
         _scored(rows, seed, key)
         .join(F.broadcast(starts), ["class", "_bucket"])
-        .withColumn("sample_rank", F.col("_before") + F.row_number().over(in_bucket))
+        .withColumn("_place", F.row_number().over(in_bucket))
+        # no bucket gives more than the largest sample, which a task may know before it shuffles
+        .where(F.col("_place") <= max(wanted.values()))
+        .withColumn("sample_rank", F.col("_before") + F.col("_place"))
         .where(F.col("sample_rank") <= F.col("_wanted"))
         .select("class", "sample_rank", *columns)
     )

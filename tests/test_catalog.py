@@ -192,3 +192,36 @@ def test_pushdown_on_raw_text(spark, folder):
     df = source.read_csv(spark, f"{folder}/csv")
     plan = classes.base(df, SPEC)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(vt_scan_date" in plan
+
+
+def test_failed_refresh_takes_nothing_away(spark, folder):
+    """The only source is replaced by one under another name that does not convert."""
+    refresh(spark, folder)
+    (folder / "csv" / "a.csv").rename(folder / "csv" / "b.csv")
+    (folder / "csv" / "b.csv").write_text(csv_text([row(1, size="no number")]))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        refresh(spark, folder)
+    assert source.read_table(spark, f"{folder}/table").count() == 10
+
+
+def test_many_small_sources_make_few_files(spark, folder):
+    """Files follow years and bytes, not sources."""
+    for i in range(40):
+        write(folder / "csv" / f"s{i:03d}.csv", [row(100 * i + k, date=f"{2010 + k % 5}-01-02 03:04:05") for k in range(10)])
+    refresh(spark, folder)
+    table = f"{folder}/table"
+    held = source.read_table(spark, table).count()
+    files = list((folder / "table" / "data").glob("gen=*/scan_year=*/*.parquet"))
+    years = {f.parent.name for f in files}
+    assert len(files) <= len(years) + 8
+    # two sources go, one changes; compaction then leaves the same rows in one generation
+    for name in ("s000.csv", "s001.csv"):
+        (folder / "csv" / name).unlink()
+    write(folder / "csv" / "s002.csv", [row(9000 + k) for k in range(3)])
+    refresh(spark, folder)
+    assert source.read_table(spark, table).count() == held - 30 + 3
+    before = sorted(r.sha256 for r in source.read_table(spark, table).collect())
+    gen = source.compact_table(spark, table)
+    after = source.read_table(spark, table)
+    assert sorted(r.sha256 for r in after.collect()) == before and {r.gen for r in after.select("gen").distinct().collect()} == {gen}
+    assert refresh(spark, folder) == (0, 0)

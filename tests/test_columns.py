@@ -48,6 +48,13 @@ def test_scan_date_agrees_with_the_pattern_parser(spark):
     assert all(values(spark, list(DATES), "string", both))
 
 
+def test_lenient_window_takes_one_digit(spark):
+    texts = ["2023-4-1 0:0:0", "2023-04-01 00:00:00", "2023-13-1 0:0:0", "2023-2-30 0:0:0", "2023-4-1", "", None, "23-4-1 0:0:0"]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    inside = C.is_within_date_range(F.col("d"), "2023-01-01 00:00:00", "2023-12-31 23:59:59")
+    assert [r.x for r in df.select(inside.alias("x")).collect()] == [True, True] + [False] * 6
+
+
 def test_strict_scan_date(spark):
     assert len(values(spark, ["2022-04-01 00:00:00", None], "string", lambda c: C.parse_scan_date(c, True))) == 2
     with pytest.raises(Exception, match="CANNOT_PARSE_TIMESTAMP"):

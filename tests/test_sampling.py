@@ -113,10 +113,12 @@ def brute_force(rows, n, seed=42):
     return [r for _, r in sorted(scored)[:n]]
 
 
-@pytest.mark.parametrize("limit, length", [(500_000, 100_000), (1, 7)])
-def test_copies_against_brute_force(spark, monkeypatch, limit, length):
-    """With all repeated keys broadcast and piles laid out whole; with one key broadcast and piles in slices."""
-    monkeypatch.setattr(copies, "BROADCAST_KEYS", limit)
+@pytest.mark.parametrize("limit, length", [("10m", 100_000), ("-1", 7)])
+def test_copies_against_brute_force(spark, monkeypatch, request, limit, length):
+    """With repeated keys broadcast and piles laid out whole; with keys joined by a shuffle and piles in slices."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     monkeypatch.setattr(copies, "SLICE", length)
     df = crowded(spark)
     want = brute_force([tuple(r) for r in df.collect()], 300)

@@ -96,7 +96,14 @@ def test_stored_sample_of_a_table(spark, tmp_path):
     source.refresh_table(spark, f"{tmp_path}/csv", table)
     get(SPEC)
     assert draws() == 5
-    assert get(replace(SPEC, random_seed=None)).count() == 50 and draws() == 5
+    # an unseeded sample is kept too, under the seed that was drawn for it
+    assert get(replace(SPEC, random_seed=None)).count() == 50 and draws() == 6
+    seeds = [r.seed for r in store.drawn_seeds(spark, kept).collect()]
+    assert len(seeds) == 6 and None not in seeds
+    # neither a bad date's rule nor a claim of unique keys may share a stored sample
+    get(SPEC, on_bad_date="drop")
+    get(SPEC, keys_unique=True)
+    assert draws() == 8
 
 
 def read_lines(folder):
