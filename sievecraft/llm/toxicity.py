@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm.text import held_out, labelled_sample, table, texts_of
+from sievecraft.llm.text import PLACES, held_out, labelled_sample, lower_ascii, shingle_set, table, texts_of
 from sievecraft.shipping import ship
 
 #: Documents of each class that training takes at most; tokens in a chain; hashed features; words remembered at once.
 PER_CLASS, CHAIN, BUCKETS, REMEMBERED = 700, 64, 1 << 18, 400_000
-#: A feature marks toxic tokens if in so many different toxic texts, in this share of them, and so many times as often as in others.
-LEAST_DOCS, LEAST_SHARE, TIMES = 3, 0.02, 50.0
+#: A feature marks toxic tokens if in so many different toxic texts, in this share of them, and so many times as often as in others,
+LEAST_DOCS, LEAST_SHARE, TIMES = 3, 0.03, 40.0
+#: and if the others' rate would bring so many texts with no more than this chance.
+CHANCE = 1e-7
 TOKEN = re.compile(r"\S+")
 N_FEATURES = 7
 #: Of a token's features, those that may mark it: the word and its beginnings of 4 letters and more.
@@ -142,9 +144,29 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2
     return w
 
 
+def chance_of(count: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """A bound of the chance of ``count`` or more events where so many are expected (Chernoff's, for rare events)."""
+    more = count > expected
+    safe = np.maximum(count, 1)
+    return np.where(more, np.exp(count - expected - count * np.log(safe / expected)), 1.0)
+
+
+def without_families(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The rows that share none of four minimum shingle hashes with an earlier one of the same label."""
+    seen: set[tuple] = set()
+    out = []
+    for text, label in rows:
+        own = shingle_set(lower_ascii(text))
+        marks = {(label, k, int((own * factor).min())) for k, factor in enumerate(PLACES[:4])} if len(own) else set()
+        if not marks & seen:
+            out.append((text, label))
+        seen |= marks
+    return out
+
+
 def train(texts: list[str], labels: np.ndarray, rounds: int = 30) -> Field:
-    """The field of these texts, copies of a text taken once."""
-    distinct = sorted(set(zip(texts, labels.tolist())))
+    """The field of these texts; copies and near copies of a text, which would make its own words look telling, count once."""
+    distinct = without_families(sorted(set(zip(texts, labels.tolist()))))
     texts, labels = [t for t, _ in distinct], np.array([y for _, y in distinct], dtype=np.int64)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
@@ -158,8 +180,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 30) -> Field:
     for i, label in zip(ids, labels):
         seen[label, np.unique(features[np.unique(i)][:, MARKING])] += 1
     size = np.bincount(labels, minlength=2)
-    marks = (seen[1] >= max(LEAST_DOCS, LEAST_SHARE * size[1])) & (
-        seen[1] / size[1] >= TIMES * (seen[0] + 0.1) / size[0]
+    rate = (seen[0] + 0.5) / size[0]
+    marks = (
+        (seen[1] >= max(LEAST_DOCS, LEAST_SHARE * size[1]))
+        & (seen[1] / size[1] >= TIMES * rate)
+        & (chance_of(seen[1], rate * size[1]) < CHANCE)
     )
     marked = marks[features[:, MARKING]].any(axis=1)
     lengths = np.array([len(i) for i in ids], dtype=np.int64)
