@@ -108,7 +108,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def tiled(rows: DataFrame, key: str, counts: DataFrame, block: int, by: str) -> DataFrame:
     """``rows`` with ``mine``, ``t1`` and ``t2``: each pair of blocks of a key's rows is a tile, and rows go to all their tiles."""
-    rows = rows.join(counts, key)
+    # one plan at every size: without the hint, small tables are broadcast and larger ones shuffled
+    rows = rows.join(counts.hint("merge"), key)
     n = F.ceil(F.col("n") / block).cast("int")
     rows = rows.withColumns({"_n": n, "_block": F.pmod(F.xxhash64(by), n).cast("int")})
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
@@ -135,7 +136,7 @@ def alike_groups(low: np.ndarray) -> np.ndarray:
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """Edges (a, b) between classes that may be alike."""
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
-    keys = classes.select("rep", "low", F.explode(bands).alias("key"))
+    keys = classes.select("rep", F.explode(bands).alias("key"))
     counts = staged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +157,9 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             yield from pairs.to_batches()
 
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tiled(keys, "key", counts, BUCKET_BLOCK, "rep").repartition(parts, "key", "t1", "t2")
+    # only classes that share a bucket need their low bytes
+    rows = tiled(keys, "key", counts, BUCKET_BLOCK, "rep").join(classes.select("rep", "low").hint("merge"), "rep")
+    rows = rows.repartition(parts, "key", "t1", "t2")
     return rows.select("key", "t1", "t2", "rep", "low").sortWithinPartitions("key", "t1", "t2").mapInArrow(
         compare, "a long, b long"
     )
@@ -206,7 +209,7 @@ def confirmed_edges(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed links (a, b) within candidate groups; ``members``: rep, component."""
     counts = staged(members.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
     members = tiled(members, "component", counts, GROUP_BLOCK, "rep")
-    rows = texts.join(members, texts["doc_id"] == members["rep"])
+    rows = texts.join(members.hint("merge"), texts["doc_id"] == members["rep"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, starts in runs(batches, ("component", "t1", "t2")):
@@ -268,7 +271,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     if not repeated.isEmpty():
         with_id = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
         docs = with_id.unionByName(docs.where("doc_id is null"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def op4_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
