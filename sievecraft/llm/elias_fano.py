@@ -19,6 +19,13 @@ for _b in range(256):
 _ZEROS = (8 - _BITS.sum(axis=1)).astype(np.int64)
 
 
+def in_parts(answer, asked: np.ndarray, size: int = 1 << 15) -> np.ndarray:
+    """``answer`` of the array in parts, as its working memory is many times the part."""
+    if len(asked) <= size:
+        return answer(asked)
+    return np.concatenate([answer(asked[i : i + size]) for i in range(0, len(asked), size)])
+
+
 class Monotone:
     """A non-decreasing sequence of unsigned numbers: low bits as they are, high bits in unary."""
 
@@ -27,6 +34,7 @@ class Monotone:
         # zeros before each 64-bit word of the upper part
         zeros = _ZEROS[high].reshape(-1, 8).sum(axis=1) if len(high) else np.empty(0, np.int64)
         self.before = np.concatenate([[0], np.cumsum(zeros)])
+        self.ranks = np.concatenate([[0], np.cumsum(64 - zeros)])
 
     @classmethod
     def of(cls, values: np.ndarray) -> Monotone:
@@ -55,6 +63,13 @@ class Monotone:
 
     def find(self, targets: np.ndarray) -> np.ndarray:
         """Place of the first value of at least each target; the sequence's length where there is none."""
+        return in_parts(self._find, targets)
+
+    def get(self, places: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        return in_parts(self._get, places)
+
+    def _find(self, targets: np.ndarray) -> np.ndarray:
         targets = targets.astype(np.uint64)
         if not self.size or not len(targets):
             return np.full(len(targets), self.size)
@@ -75,14 +90,12 @@ class Monotone:
             left = left[at[left] < stop[left]]
         return np.where(over, self.size, at)
 
-    def get(self, places: np.ndarray) -> np.ndarray:
-        """The values at these places."""
-        ones = np.arange(64)
-        ranks = np.concatenate([[0], np.cumsum(64 - np.diff(self.before))])
+    def _get(self, places: np.ndarray) -> np.ndarray:
+        ranks = self.ranks
         word = np.searchsorted(ranks, places, side="right") - 1
         bits = np.unpackbits(self.high.reshape(-1, 8)[word], axis=1, bitorder="little")
         rest = places - ranks[word]
-        at = ((np.cumsum(bits, axis=1) <= rest[:, None]) & (ones >= 0)).sum(axis=1)
+        at = (np.cumsum(bits, axis=1, dtype=np.uint8) <= rest[:, None]).sum(axis=1)
         high = (word * 64 + at - places).astype(np.uint64)
         return (high << np.uint64(self.low_bits)) | self.low[places].astype(np.uint64)
 
