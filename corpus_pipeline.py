@@ -24,8 +24,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    return neardup.without_near_duplicates(docs)
+    """The document with the smallest id of each near-duplicate group; five-word shingles, similarity 0.80 or more."""
+    return neardup.without_near_duplicates(docs, neardup.GENERAL)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

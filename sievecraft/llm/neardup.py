@@ -4,8 +4,8 @@
    taken as exponential variables, on a logarithmic scale of base ``BASE``, rounded down and truncated at both ends.
    Registers of a union are the larger ones of both, so sketches merge; equal registers are as likely as sets are alike.
 2. Equal sets are one class from here on, stood for by its smallest document.
-3. Bands of ``ROWS`` registers are bucket keys. Sets that share 85 % miss every one of the 25 bands with a probability of
-   (1 - 0.85^5)^25 < 1e-6. Within a bucket, classes whose registers agree often enough hang together; a bucket of many
+3. Bands of ``ROWS`` registers are bucket keys, as many that sets that are just alike miss every one with a probability
+   below 1e-6: (1 - 0.85^5)^25 for 85 %, (1 - 0.8^5)^35 for 80 %. Within a bucket, classes whose registers agree often enough hang together; a bucket of many
    classes is dealt into tiles of two blocks each. The components of all this are the candidate groups.
 4. In a candidate group (again in tiles), pairs are ordered by the number of equal registers; the joint likelihood of the
    three counts (larger, smaller, equal), given both set sizes, estimates the similarity, and pairs more than 4.5 standard
@@ -20,7 +20,9 @@ their links; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +36,59 @@ from sievecraft.shipping import ship
 
 SHINGLE, ROWS, BANDS = 5, 5, 25
 REGISTERS = ROWS * BANDS
+#: The most bands that a similarity may ask for; sets that are just alike miss all their bands less often than ``MISSED``.
+MOST_BANDS, MISSED = 200, 1e-6
 #: Base, rate and number of values of the registers.
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
-#: Similarity, as a fraction of whole numbers, and how far below it (in standard errors) estimates still count.
-NUMERATOR, DENOMINATOR, ERRORS = 85, 100, 4.5
+#: How far below the similarity (in standard errors) estimates still count.
+ERRORS = 4.5
 #: Classes in a block of a bucket, and of a candidate group.
 BUCKET_BLOCK, GROUP_BLOCK = 2048, 512
-FACTORS = np.random.default_rng(20240229).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = np.random.default_rng(20240229).integers(1, 1 << 63, ROWS * MOST_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def registers_of(hashes: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Similarity:
+    """From which Jaccard similarity on sets are alike, as a fraction of whole numbers, and what follows from it."""
+
+    numerator: int
+    denominator: int = 100
+
+    def __post_init__(self) -> None:
+        if not 0 < self.numerator <= self.denominator or self.bands > MOST_BANDS:
+            raise ValueError(f"no similarity for {MOST_BANDS} bands: {self.numerator}/{self.denominator}")
+
+    @property
+    def share(self) -> float:
+        return self.numerator / self.denominator
+
+    @property
+    def bands(self) -> int:
+        missed = 1 - self.share**ROWS
+        return max(BANDS, math.ceil(math.log(MISSED) / math.log(missed))) if missed else BANDS
+
+    @property
+    def registers(self) -> int:
+        return ROWS * self.bands
+
+    @property
+    def least(self) -> float:
+        return self.share - ERRORS * math.sqrt(self.share * (1 - self.share) / self.registers)
+
+    @property
+    def least_equal(self) -> int:
+        return math.floor(self.least * self.registers)
+
+
+#: That of op4's contract, and the one that holds where no contract names another.
+OP4, GENERAL = Similarity(85), Similarity(80)
+
+
+def registers_of(hashes: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """The sketch of a non-empty set of hashes."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
+    factors, least = FACTORS[:registers], np.full(registers, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[at : at + 4096, None] * FACTORS).min(axis=0), out=least)
+        np.minimum(least, (hashes[at : at + 4096, None] * factors).min(axis=0), out=least)
     value = -np.log1p(-np.minimum((least.astype(np.float64) + 0.5) / 2.0**64, 1 - 1e-16)) / RATE
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, LIMIT + 1).astype("<u2")
 
@@ -60,7 +101,9 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 GRID = np.linspace(0, 1, 201)
 
 
-def likely_similarity(larger: np.ndarray, smaller: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+def likely_similarity(
+    larger: np.ndarray, smaller: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, registers: int = REGISTERS
+) -> np.ndarray:
     """The most likely Jaccard similarity given how many registers of a are larger and smaller than those of b."""
     share = (size_a / (size_a + size_b))[:, None]
     limit = np.minimum(share / (1 - share), (1 - share) / share)
@@ -70,17 +113,12 @@ def likely_similarity(larger: np.ndarray, smaller: np.ndarray, size_a: np.ndarra
 
     above, below = chance(share - (1 - share) * GRID), chance((1 - share) - share * GRID)
     same = np.clip(1 - above - below, 1e-12, 1)
-    equal = (REGISTERS - larger - smaller)[:, None]
+    equal = (registers - larger - smaller)[:, None]
     fit = larger[:, None] * np.log(above) + smaller[:, None] * np.log(below) + equal * np.log(same)
     return GRID[np.argmax(np.where(GRID <= limit + 1e-9, fit, -np.inf), axis=1)]
 
 
-SIMILAR = NUMERATOR / DENOMINATOR
-LEAST = SIMILAR - ERRORS * np.sqrt(SIMILAR * (1 - SIMILAR) / REGISTERS)
-LEAST_EQUAL = int(np.floor(LEAST * REGISTERS))
-
-
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, registers_each: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set, the registers and their low bytes."""
     ship(docs.sparkSession)
 
@@ -92,7 +130,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sizes.append(len(own))
                 first.append(int(np.bitwise_xor.reduce(own)) if len(own) else 0)
                 second.append(int((own * (own | np.uint64(1))).sum(dtype=np.uint64)) if len(own) else 0)
-                registers = registers_of(own) if len(own) else np.zeros(0, "<u2")
+                registers = registers_of(own, registers_each) if len(own) else np.zeros(0, "<u2")
                 full.append(registers.tobytes())
                 low.append((registers & 255).astype(np.uint8).tobytes())
             signed = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (first, second)]
@@ -117,7 +155,7 @@ def tiled(rows: DataFrame, key: str, counts: DataFrame, block: int, by: str) ->
     return rows.withColumns(tiles).withColumnRenamed("_block", "mine").drop("_n", "_other", "n")
 
 
-def alike_groups(low: np.ndarray) -> np.ndarray:
+def alike_groups(low: np.ndarray, least_equal: int) -> np.ndarray:
     """Labels of rows that hang together by enough equal low bytes; each row is compared with rows not yet reached."""
     label = np.full(len(low), -1)
     rest = np.arange(len(low))
@@ -125,7 +163,7 @@ def alike_groups(low: np.ndarray) -> np.ndarray:
         label[rest[0]], queue, rest = rest[0], [rest[0]], rest[1:]
         root = queue[0]
         while queue and len(rest):
-            near = (low[rest] == low[queue.pop()]).sum(axis=1) >= LEAST_EQUAL
+            near = (low[rest] == low[queue.pop()]).sum(axis=1) >= least_equal
             reached = rest[near]
             label[reached] = root
             queue.extend(reached.tolist())
@@ -133,23 +171,24 @@ def alike_groups(low: np.ndarray) -> np.ndarray:
     return label
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
+def candidate_edges(classes: DataFrame, alike: Similarity) -> DataFrame:
     """Edges (a, b) between classes that may be alike."""
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(alike.bands)])
     keys = classes.select("rep", F.explode(bands).alias("key"))
+    width, least_equal = alike.registers, alike.least_equal
     counts = staged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, starts in runs(batches, ("key", "t1", "t2")):
             reps = part.column("rep").to_numpy()
-            low = np.frombuffer(b"".join(part.column("low").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            low = np.frombuffer(b"".join(part.column("low").to_pylist()), np.uint8).reshape(-1, width)
             stops = np.append(starts[1:], part.num_rows)
             two = starts[stops - starts == 2]
-            two = two[(low[two] == low[two + 1]).sum(axis=1) >= LEAST_EQUAL]
+            two = two[(low[two] == low[two + 1]).sum(axis=1) >= least_equal]
             a, b = [reps[two]], [reps[two + 1]]
             for start, stop in zip(starts, stops):
                 if stop - start > 2:
-                    label = alike_groups(low[start:stop])
+                    label = alike_groups(low[start:stop], least_equal)
                     other = np.flatnonzero(label != np.arange(len(label)))
                     a.append(reps[start + label[other]])
                     b.append(reps[start + other])
@@ -165,24 +204,26 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     )
 
 
-def confirmed(ids: np.ndarray, sets: list[np.ndarray], registers: np.ndarray, cross: np.ndarray) -> list[tuple[int, int]]:
+def confirmed(
+    ids: np.ndarray, sets: list[np.ndarray], registers: np.ndarray, cross: np.ndarray, alike: Similarity
+) -> list[tuple[int, int]]:
     """Links that span the components of the true ones among these rows; ``cross`` tells the two blocks apart."""
-    n = len(ids)
+    n, least, least_equal = len(ids), alike.least, alike.least_equal
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
     firsts, seconds, equals = [], [], []
     for i in range(n - 1):
         j = np.arange(i + 1, n)
-        j = j[np.minimum(sizes[i], sizes[j]) * DENOMINATOR >= NUMERATOR * np.maximum(sizes[i], sizes[j])]
+        j = j[np.minimum(sizes[i], sizes[j]) * alike.denominator >= alike.numerator * np.maximum(sizes[i], sizes[j])]
         if cross is not None:
             j = j[cross[j] != cross[i]]
         if not len(j):
             continue
         equal = (registers[j] == registers[i]).sum(axis=1)
-        good = equal >= LEAST_EQUAL - ROWS
+        good = equal >= least_equal - ROWS
         j, equal = j[good], equal[good]
         if len(j):
             larger, smaller = (registers[i] > registers[j]).sum(axis=1), (registers[i] < registers[j]).sum(axis=1)
-            good = likely_similarity(larger, smaller, np.full(len(j), sizes[i]), sizes[j]) >= LEAST
+            good = likely_similarity(larger, smaller, np.full(len(j), sizes[i]), sizes[j], alike.registers) >= least
             firsts.append(np.full(good.sum(), i))
             seconds.append(j[good])
             equals.append(equal[good])
@@ -199,13 +240,13 @@ def confirmed(ids: np.ndarray, sets: list[np.ndarray], registers: np.ndarray, cr
             if label[i] == label[j]:
                 continue
             common = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-            if DENOMINATOR * common >= NUMERATOR * (len(sets[i]) + len(sets[j]) - common):
+            if alike.denominator * common >= alike.numerator * (len(sets[i]) + len(sets[j]) - common):
                 label[label == label[j]] = label[i]
                 links.append((int(ids[i]), int(ids[j])))
     return links
 
 
-def confirmed_edges(members: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed_edges(members: DataFrame, texts: DataFrame, alike: Similarity) -> DataFrame:
     """Confirmed links (a, b) within candidate groups; ``members``: rep, component."""
     counts = staged(members.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
     members = tiled(members, "component", counts, GROUP_BLOCK, "rep")
@@ -219,9 +260,10 @@ def confirmed_edges(members: DataFrame, texts: DataFrame) -> DataFrame:
                 ids, t1, t2 = own.column("rep").to_numpy(), own.column("t1")[0].as_py(), own.column("t2")[0].as_py()
                 sets = [shingle_set(lower_ascii(t), SHINGLE) for t in own.column("text").to_pylist()]
                 # rows that share an id may have other texts than their registers' one
-                registers = np.stack([registers_of(s) if len(s) else np.zeros(REGISTERS, "<u2") for s in sets])
+                width = alike.registers
+                registers = np.stack([registers_of(s, width) if len(s) else np.zeros(width, "<u2") for s in sets])
                 blocks = None if t1 == t2 else own.column("mine").to_numpy()
-                links += confirmed(ids, sets, registers, blocks)
+                links += confirmed(ids, sets, registers, blocks, alike)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"]
             )
@@ -231,21 +273,21 @@ def confirmed_edges(members: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("component", "t1", "t2", "mine", "rep", "text").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, alike: Similarity = OP4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
-    rows = staged(sketches(docs), "sketches")
+    rows = staged(sketches(docs, alike.registers), "sketches")
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("h1", "h2", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.min("registers").alias("registers"), F.min("low").alias("low")
     )
     classes = staged(classes, "classes")
-    near = components(candidate_edges(classes))
+    near = components(candidate_edges(classes, alike))
     # the texts of the members; rows that repeat an id with the same text would only be compared again
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         texts = texts.dropDuplicates()
     near = near.withColumnRenamed("node", "rep")
-    links = confirmed_edges(near, texts)
+    links = confirmed_edges(near, texts, alike)
     # an id that stands for several sets links them
     several = staged(real.join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
     mixed = several.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a < top").drop("top")
@@ -263,9 +305,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return staged(groups, "groups")
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, alike: Similarity = GENERAL) -> DataFrame:
     """One document of each group: the one with the smallest id; rows equal in id and text count as one document."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
+    groups = near_duplicates(docs.select("doc_id", "text"), alike)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     repeated = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
     if not repeated.isEmpty():
@@ -276,4 +318,4 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op4_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group and kept document of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), OP4)

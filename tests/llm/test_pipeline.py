@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sievecraft.llm import decontamination, packing
+from sievecraft.llm import decontamination, neardup, packing
 from tests.llm.data import SCHEMA, awkward_texts, empty, saved
 from tests.llm.test_operators import brute_cut, brute_groups, shingles
 
@@ -80,3 +80,25 @@ def test_run_on_nothing(spark, tmp_path, only_ids_missing):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0 if not only_ids_missing else 5).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_links_from_080(spark, tmp_path):
+    """Planted pairs between 0.80 and 0.85 lose their later document in the stage; op4 at 0.85 keeps both."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(120):
+        text = [f"p{x}" for x in rng.integers(0, 10**6, 204)]  # 200 shingles
+        near = list(text)
+        for at in range(10, 10 + 20 * (3 + k % 3), 20):  # 3, 4 or 5 words, 15, 20 or 25 shingles of either side
+            near[at] = "changed"
+        texts += [" ".join(text), " ".join(near)]
+    rows = list(enumerate(texts))
+    sets = [shingles(t) for t in texts]
+    share = [100 * len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(sets), 2)]
+    assert sum(80 <= s < 85 for s in share) == 40 and sum(75 < s < 80 for s in share) == 40 and sum(s >= 85 for s in share) == 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert got == {i for i, _ in rows} - {2 * k + 1 for k, s in enumerate(share) if s >= 80}
+    groups = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, neardup.OP4).collect()}
+    assert groups == {i: i - 1 if i % 2 and share[i // 2] >= 85 else i for i, _ in rows}
+    assert all((1 - a.share**neardup.ROWS) ** a.bands < 1e-6 for a in (neardup.OP4, neardup.GENERAL))
