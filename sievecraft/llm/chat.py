@@ -4,10 +4,11 @@ For every participant of a dialogue one training example is rendered: that speak
 other speakers' turns become ``user name=<speaker>``, system turns stay ``system``. The mask lists the half-open
 character ranges whose tokens bear loss: what the assistant says and the end mark after it.
 
-A dialogue of more than ``turns_per_example`` turns is rendered in examples of that many consecutive turn numbers, each
-for those who speak in it (for the others it bears no loss). Equal turns are counted before the shuffle and rendered
-with their number of copies; a block that still has many rows, as one turn number carries many texts, is dealt into
-several examples by a hash of the turn. So no group is unbounded, whatever the dialogue's length.
+A dialogue of up to ``RANGE`` turns is one example for each participant. A longer one is dealt into consecutive ranges of
+its order, of ``RANGE`` turns each, and every range is rendered for every participant of the whole dialogue; ``block`` is
+the range's number, so the examples of a speaker, by block, are the whole dialogue in order. Ranges come from running
+counts over stretches of the order, each of them a task's, with equal turns counted first. So no group is unbounded,
+whatever the dialogue's length.
 
 Defined results: turns are ordered by number (null first), then role, then text; a null text is empty, a null or empty
 role is ``unknown``; a dialogue of system turns alone has no participant and gives nothing; rows without a dialogue id
@@ -16,14 +17,16 @@ form one dialogue whose id is null; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievecraft.llm.text import table
+from sievecraft.scratch import staged
 
 #: Marks of the rendered form.
 START, END = "<|im_start|>", "<|im_end|>\n"
-TURNS, CROWD = 64, 256
+#: Turns in a range of a long dialogue; turn numbers in a block of ``OP7_SQL``.
+RANGE, TURNS = 512, 64
 
 
 def head_of(role: Column, speaker: Column) -> Column:
@@ -34,28 +37,48 @@ def head_of(role: Column, speaker: Column) -> Column:
     )
 
 
-def rotate(conversations: DataFrame, turns_per_example: int = TURNS, crowd: int = CROWD) -> DataFrame:
-    """conv_id, block, part, speaker, n_turns, text, mask (list of start, stop), n_loss_chars."""
+def with_ranges(turns: DataFrame, range_turns: int) -> DataFrame:
+    """``turns`` (conv_id, turn, role, text, copies) with ``block``, the range they lie in, and their copies in it."""
+    order = ("turn", "role", "text")
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = turns.repartitionByRange(parts, "conv_id", *order).withColumn("_part", F.spark_partition_id())
+    turns = staged(turns, "long-dialogues")
+    sizes = turns.groupBy(F.col("conv_id").alias("c"), F.col("_part").alias("p")).agg(F.sum("copies").alias("_size"))
+    before = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("c", "p", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("conv_id", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.withColumn("_before", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
+    placed = placed.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("_part") == F.col("p")))
+    first = F.col("_start") + F.col("_before")
+    placed = placed.withColumns({"_first": first, "_stop": first + F.col("copies")})
+    number = lambda at: F.floor(at / range_turns).cast("long")
+    placed = placed.withColumn("block", F.explode(F.sequence(number(F.col("_first")), number(F.col("_stop") - 1))))
+    copies = F.least("_stop", (F.col("block") + 1) * range_turns) - F.greatest("_first", F.col("block") * range_turns)
+    return placed.select("conv_id", "block", *order, copies.alias("copies"))
+
+
+def rotate(conversations: DataFrame, range_turns: int = RANGE) -> DataFrame:
+    """conv_id, block, speaker, n_turns, text, mask (list of start, stop), n_loss_chars."""
     role = F.coalesce(F.when(F.trim("role") != "", F.trim("role")), F.lit("unknown"))
-    turns = conversations.select(
-        "conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-        F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / turns_per_example).cast("long").alias("block"),
-    )
-    turns = turns.groupBy("conv_id", "block", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    sizes = turns.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("copies").alias("rows"))
-    crowded = sizes.where((F.col("n") > crowd) | (F.col("rows") > crowd)).select(
-        F.col("conv_id").alias("c"), F.col("block").alias("b"), F.ceil(F.col("n") / crowd).alias("parts")
-    )
-    turns = turns.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left")
-    part = F.pmod(F.xxhash64("turn", "role", "text"), F.coalesce("parts", F.lit(1)))
-    # copies of one turn beyond the crowd go to examples of their own, laid out by many tasks
-    turns = turns.withColumns({"part": part, "slice": F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(crowd)))})
-    turns = turns.withColumn("copies", F.least(F.lit(crowd), F.col("copies") - F.col("slice")).cast("int"))
-    grouped = turns.groupBy("conv_id", "block", "part", "slice").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "copies"))).alias("turns")
-    )
+    turns = conversations.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    long = turns.groupBy(F.col("conv_id").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > range_turns)
+    long = staged(long.select("c"), "long-ids")
+    turns = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    is_long = F.col("conv_id").eqNullSafe(F.col("c"))
+    ranges = with_ranges(turns.join(long, is_long, "left_semi"), range_turns)
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("copies", F.col("copies").cast("int"))
+        return rows.groupBy("conv_id", "block").agg(
+            F.sort_array(F.collect_list(F.struct("turn", "role", "text", "copies"))).alias("turns")
+        )
+
+    whole = gathered(turns.join(long, is_long, "left_anti").withColumn("block", F.lit(0).cast("long")))
     speakers = F.array_sort(F.array_distinct(F.transform("turns", lambda t: t["role"])))
-    grouped = grouped.withColumn("speaker", F.explode(F.filter(speakers, lambda r: r != "system")))
+    whole = whole.withColumn("speaker", F.explode(F.filter(speakers, lambda r: r != "system")))
+    # a long dialogue's participants are those of all its ranges
+    spoke = ranges.where(F.col("role") != "system").select(F.col("conv_id").alias("c"), F.col("role").alias("speaker"))
+    grouped = whole.unionByName(gathered(ranges).join(spoke.distinct(), is_long).drop("c"))
     laid = F.flatten(F.transform("turns", lambda t: F.array_repeat(t, t["copies"])))
     said = F.transform(
         laid,
@@ -65,7 +88,7 @@ def rotate(conversations: DataFrame, turns_per_example: int = TURNS, crowd: int
             ((t["role"] == F.col("speaker")) & (t["role"] != "system")).alias("loss"),
         ),
     )
-    example = grouped.select("conv_id", "block", "part", "slice", "speaker", said.alias("said"))
+    example = grouped.select("conv_id", "block", "speaker", said.alias("said"))
     nothing = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans"))
 
     def step(state: Column, turn: Column) -> Column:
@@ -79,7 +102,7 @@ def rotate(conversations: DataFrame, turns_per_example: int = TURNS, crowd: int
 
     mask = F.aggregate("said", nothing, step)["spans"]
     return example.select(
-        "conv_id", "block", "part", "slice", "speaker", F.size("said").cast("long").alias("n_turns"),
+        "conv_id", "block", "speaker", F.size("said").cast("long").alias("n_turns"),
         F.array_join(F.transform("said", lambda t: F.concat(t["head"], t["body"])), "").alias("text"), mask.alias("mask"),
     )
 
@@ -94,7 +117,8 @@ def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same for blocks without a crowd (rows of equal turn, role and text included), in DuckDB.
+#: The same in DuckDB for dialogues of turn numbers 0 to ``TURNS`` - 1 and at most ``RANGE`` rows (equal ones included);
+#: this SQL still cuts others every ``TURNS`` turn numbers, so those are tested against plain Python.
 OP7_SQL = f"""
 WITH t AS (
   SELECT conv_id, CAST(floor(coalesce(turn, -1) / {TURNS}.0) AS BIGINT) AS block, turn,

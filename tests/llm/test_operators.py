@@ -365,6 +365,37 @@ def test_rotation_of_crowds(spark):
     assert max(r.n_turns for r in out) < 700
 
 
+def brute_rotation(rows, range_turns):
+    """(conv_id, block, speaker) -> text and what bears loss, of whole dialogues in consecutive ranges."""
+    talks, out = defaultdict(list), {}
+    for conv, turn, role, text in rows:
+        talks[conv].append((turn is not None, turn or 0, role, text))
+    for conv, said in talks.items():
+        said.sort()
+        for speaker in {role for _, _, role, _ in said} - {"system"}:
+            for at in range(0, len(said), range_turns):
+                text, loss = "", []
+                for _, _, role, words in said[at : at + range_turns]:
+                    head = "system" if role == "system" else "assistant" if role == speaker else f"user name={role}"
+                    text += f"<|im_start|>{head}\n{words}<|im_end|>\n"
+                    loss += [f"{words}<|im_end|>\n"] * (role == speaker)
+                out[conv, at // range_turns, speaker] = text, loss
+    return out
+
+
+@pytest.mark.parametrize("range_turns", [None, 16])
+def test_rotation_of_long_dialogues(spark, range_turns):
+    """More than 64 turn numbers, a speaker heard once, copies and crowds: every participant gets all of it, in order."""
+    rows = [(1, k, ("system", "ann", "bob")[k % 3], f"n{k}") for k in range(200)] + [(1, 3, "cy", "once")]
+    rows += [(2, 0, "ann", "again")] * 40 + [(2, 5, ("bob", "dee")[k % 2], f"t{k}") for k in range(300)]
+    rows += [(3, None, "ann", "x"), (3, 0, "bob", "y")] + [(None, k, f"r{k % 4}", "lost") for k in range(100)]
+    rows += [(4, 0, "system", "alone")] * 50
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    out = (chat.rotate(df) if range_turns is None else chat.rotate(df, range_turns)).collect()
+    got = {(r.conv_id, r.block, r.speaker): (r.text, [r.text[s.start : s.stop] for s in r.mask]) for r in out}
+    assert len(got) == len(out) and got == brute_rotation(rows, range_turns or chat.RANGE)
+
+
 def test_sharding(spark, docs):
     folder, rows = docs
     out = sharding.op8_rendezvous_shards(spark, folder).collect()
