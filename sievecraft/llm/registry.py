@@ -9,10 +9,13 @@ from sievecraft.llm import (
     neardup,
     neighbours,
     packing,
+    phrases,
     quality,
+    repeats,
     sharding,
     substrings,
     toxicity,
+    variants,
 )
 
 QUERIES = (
@@ -26,6 +29,9 @@ QUERIES = (
     sharding.op8_rendezvous_shards,
     decontamination.op9_bm25_decontamination,
     quality.op10_pu_quality,
+    repeats.op11_two_stage_suffix_dedup,
+    phrases.op12_stripes_collocations,
+    variants.op13_trie_pair_variants,
 )
 
 
@@ -34,4 +40,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_perspective_rotation": chat.OP7_SQL}
+    return {"op7_perspective_rotation": chat.OP7_SQL, "op12_stripes_collocations": phrases.OP12_SQL}
