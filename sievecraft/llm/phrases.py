@@ -291,11 +291,10 @@ def op12_stripes_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in SQL: every phrase is laid out, so it is for small tables.
 OP12_SQL = r"""
 WITH pieces AS (
-  SELECT lang, piece_no, doc, regexp_extract_all(piece, '[^ \t]+') AS words
-  FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang,
                unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                      '[.,;:!?\x0A-\x0D]')) AS piece,
-               generate_subscripts(string_split_regex(text, '[.,;:!?\x0A-\x0D]'), 1) AS piece_no
+                      '[.,;:!?\x0A-\x0D]')) AS piece
         FROM documents WHERE text IS NOT NULL)
 ),
 grams AS (
@@ -326,10 +325,10 @@ cuts AS (
   JOIN n ON n.lang = c.lang
 ),
 best AS (
-  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS at FROM cuts
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts
 ),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE at = 1
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1
 )
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
        score::BIGINT AS score
