@@ -3,10 +3,10 @@
 Layout of a table folder::
 
     data/gen=<generation>/scan_year=<year>/*.parquet
-    manifest/*.parquet
+    manifest/version=<number>/*.parquet
 
 A refresh converts only the files that are new or changed, all of them in one job, into a new generation folder, and
-then makes one append to the manifest, which publishes them and retires the files that are gone. Until it is written,
+then publishes one version of the manifest (``manifest``), which adds them and retires the files that are gone. Until then
 readers see the table as it was, and a refresh that fails or dies half-way takes nothing away and leaves nothing behind
 that anyone reads. How many files a table has depends on years and bytes and not on the number of source files: the
 source is a column, and rows of replaced sources are left out by an anti join until ``compact_table`` drops them.
@@ -20,18 +20,20 @@ import secrets
 import time
 import warnings
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.operators.classes import with_typed_columns
-from sievecraft.sources.schema import (
-    CATALOG_FIELDS,
-    MANIFEST_SCHEMA,
-    RAW_SCHEMA,
-    TABLE_SCHEMA,
-    require_utc,
+from sievecraft.sources.csv_files import bound_rows
+from sievecraft.sources.manifest import (
+    RECORD,
+    latest_version,
+    live_sources,
+    publish,
+    read_manifest,
+    snapshot,
 )
+from sievecraft.sources.schema import CATALOG_FIELDS, RAW_SCHEMA, TABLE_SCHEMA, require_utc  # noqa: F401
 
 # Fixed value: two modification times closer than this (in seconds) are the same.
 MTIME_TOLERANCE = 0.1
@@ -41,16 +43,15 @@ TARGET_BYTES = 256 * 1024 * 1024
 _SMALL_BYTES = 16 * 1024 * 1024
 
 
-def csv_options(mode: str = "FAILFAST") -> dict[str, str]:
-    return {"header": "true", "quote": '"', "escape": '"', "mode": mode}
-
-
 def read_csv(spark: SparkSession, paths: str | list[str], mode: str = "FAILFAST") -> DataFrame:
-    """Catalogue CSV with a header row, under the fixed schema; empty fields are NULL."""
-    return spark.read.schema(RAW_SCHEMA).options(**csv_options(mode)).csv(paths)
+    """Catalogue CSV files under the fixed schema, columns by header; empty fields are NULL.
+
+    Looks through the files' lines once, for their headers (see ``csv_files``).
+    """
+    return bound_rows(spark, [r.source_path for r in list_sources(spark, paths).collect()], mode).drop("source_path")
 
 
-def list_sources(spark: SparkSession, path: str) -> DataFrame:
+def list_sources(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files behind ``path`` with size and modification time. Lists; opens none of them."""
     return (
         spark.read.format("binaryFile")
@@ -67,27 +68,6 @@ def source_id(path: str = "source_path"):
     return F.concat(F.lit("s"), F.sha2(F.col(path), 256))
 
 
-def read_manifest(spark: SparkSession, table_dir: str) -> DataFrame:
-    """Every record ever written, or no rows where there is no table yet."""
-    try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{table_dir}/manifest")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
-
-
-def live_sources(spark: SparkSession, table_dir: str) -> DataFrame:
-    """The latest record of every source file, without retired ones."""
-    latest = Window.partitionBy("source_path").orderBy(F.desc("converted_at"), F.desc("gen"))
-    return (
-        read_manifest(spark, table_dir)
-        .withColumn("_n", F.row_number().over(latest))
-        .where((F.col("_n") == 1) & F.col("live"))
-        .drop("_n")
-    )
-
-
 def changed_sources(listing: DataFrame, live: DataFrame) -> DataFrame:
     """Files that the table does not hold in their present state."""
     seen = live.select(
@@ -136,21 +116,26 @@ def write_generation(raw: DataFrame, table_dir: str, gen: str, n_bytes: int) ->
     )
 
 
-def append_manifest(
-    sources: DataFrame, table_dir: str, gen: str, fingerprint: bool = False, gone: DataFrame | None = None
-) -> None:
-    """Record the converted sources (path, size, mtime) of a generation: this is what publishes it.
+def row_fingerprint() -> Column:
+    """Aggregate over rows that does not depend on their order: two independent sums of row hashes.
+
+    Rows count as often as they occur, and exchanging rows for others changes it.
+    """
+    sums = [F.sum(F.xxhash64(F.lit(seed), *CATALOG_FIELDS).cast("decimal(38, 0)")).cast("string") for seed in (1, 2)]
+    return F.concat_ws(":", *sums)
+
 
-    Records of ``gone`` sources are retired in the same append. ``fingerprint`` also reads the generation back for a hash of its rows, in whatever order they lie.
+def records_of(sources: DataFrame, table_dir: str, gen: str, fingerprint: bool = False) -> DataFrame:
+    """Manifest records of the converted sources (path, size, mtime) of a generation.
+
+    Reads the generation back for the number of rows, and with ``fingerprint`` for what they are.
     """
     spark = sources.sparkSession
     schema = [f for f in TABLE_SCHEMA.fields if f.name != "gen"]
     written = spark.read.schema(type(TABLE_SCHEMA)(schema)).parquet(f"{table_dir}/data/gen={gen}")
-    row_hash = F.xxhash64(*CATALOG_FIELDS) if fingerprint else F.lit(None).cast("bigint")
-    counts = written.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.bit_xor(row_hash).alias("content_hash")
-    )
-    records = (
+    content = row_fingerprint() if fingerprint else F.first(F.lit(None).cast("string"))
+    counts = written.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"), content.alias("content_hash"))
+    return (
         sources.withColumn("source_id", source_id())
         .join(counts, "source_id", "left")
         .select(
@@ -165,15 +150,26 @@ def append_manifest(
             F.lit(True).alias("live"),
         )
     )
-    if gone is not None:
-        records = records.unionByName(_retired(gone))
-    records.write.mode("append").parquet(f"{table_dir}/manifest")
 
 
-def _retired(gone: DataFrame) -> DataFrame:
-    return gone.withColumns({"live": F.lit(False), "converted_at": F.current_timestamp()}).select(
-        *MANIFEST_SCHEMA.fieldNames()
-    )
+def retired(gone: DataFrame) -> DataFrame:
+    """Records that take sources out of the table."""
+    return gone.withColumns({"live": F.lit(False), "converted_at": F.current_timestamp()}).select(*RECORD)
+
+
+def altered_sources(spark: SparkSession, listing: DataFrame, live: DataFrame, csv_mode: str = "FAILFAST") -> DataFrame:
+    """Files in their recorded size and time whose rows are not those that were converted (or were not fingerprinted).
+
+    Reads all these files.
+    """
+    same = listing.join(changed_sources(listing, live), "source_path", "left_anti")
+    rows = bound_rows(spark, [r.source_path for r in same.select("source_path").collect()], csv_mode)
+    now = rows.groupBy("source_path").agg(row_fingerprint().alias("_now"))
+    held = live.select("source_path", "content_hash", "n_rows")
+    found = same.join(held, "source_path").join(now, "source_path", "left")
+    empty = F.col("_now").isNull() & (F.col("n_rows") == 0)
+    differs = ~F.coalesce(F.col("_now") == F.col("content_hash"), F.lit(False))
+    return found.where(differs & ~empty).select(*listing.columns)
 
 
 def new_generation() -> str:
@@ -187,69 +183,95 @@ def refresh_table(
     force: bool = False,
     csv_mode: str = "FAILFAST",
     fingerprint: bool = False,
+    check_content: bool = False,
 ) -> DataFrame:
     """Bring the table in line with the CSV files behind ``path``; returns one row (files, rows) for what was done.
 
-    Files in their recorded state are left alone unless ``force``; files that are gone are retired.
+    Files in their recorded state are left alone unless ``force``; files that are gone are retired. ``fingerprint`` records
+    what the rows are, and ``check_content`` (which does so too) also converts files whose size and time are as recorded but
+    whose rows are others. Several writers may refresh or compact one table at a time: the later state of a file wins.
     """
     require_utc(spark)
+    before = snapshot(spark, table_dir)
     listing = list_sources(spark, path)
-    live = live_sources(spark, table_dir)
+    todo = listing if force else changed_sources(listing, before.live)
+    if check_content and not force:
+        todo = todo.unionByName(altered_sources(spark, listing, before.live, csv_mode))
     # File names, as many as Spark's own file index holds on the driver.
-    todo = (listing if force else changed_sources(listing, live)).collect()
-    gone = live.join(listing, "source_path", "left_anti")
+    todo = todo.collect()
+    gone = before.live.join(listing, "source_path", "left_anti")
     if not todo:
         if not gone.isEmpty():
-            _retired(gone).write.mode("append").parquet(f"{table_dir}/manifest")
+            publish(spark, table_dir, retired(gone), before)
         return spark.createDataFrame([(0, 0)], "files bigint, n_rows bigint")
     gen = new_generation()
-    raw = read_csv(spark, [r.source_path for r in todo], csv_mode).select(
-        "*", F.col("_metadata.file_path").alias("source_path")
-    )
+    raw = bound_rows(spark, [r.source_path for r in todo], csv_mode)
     write_generation(raw, table_dir, gen, sum(r.size for r in todo))
-    append_manifest(spark.createDataFrame(todo, listing.schema), table_dir, gen, fingerprint, gone)
+    sources = spark.createDataFrame(todo, listing.schema)
+    records = records_of(sources, table_dir, gen, fingerprint or check_content).unionByName(retired(gone))
+    publish(spark, table_dir, records, before)
     return (
         read_manifest(spark, table_dir)
-        .where(F.col("gen") == gen)
+        .where((F.col("gen") == gen) & F.col("live"))
         .agg(F.count("*").alias("files"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
     )
 
 
+# Generations of tables by version, which never change: (generation, whether it holds rows that are not to be read).
+_generations: dict[tuple[str, str, int], list[tuple[str, bool]]] = {}
+
+
+def _pairs(spark: SparkSession, table_dir: str, version: int) -> DataFrame:
+    """Every (gen, source_id) that was written, and whether it is what the table holds now."""
+    live = live_sources(spark, table_dir, version).select("gen", "source_id", F.lit(True).alias("_live"))
+    written = read_manifest(spark, table_dir, version).where("n_rows > 0").select("gen", "source_id").distinct()
+    return written.join(live, ["gen", "source_id"], "left").select("gen", "source_id", F.coalesce("_live", F.lit(False)).alias("live"))
+
+
 def read_table(spark: SparkSession, table_dir: str) -> DataFrame:
-    """The catalogue as the manifest has it now."""
+    """The catalogue as the manifest has it now. The manifest is read once for each version."""
     require_utc(spark)
-    live = live_sources(spark, table_dir).where("n_rows > 0").select("gen", "source_id")
-    gens = [r.gen for r in live.select("gen").distinct().collect()]
+    version = latest_version(spark, table_dir)
+    key = (spark.sparkContext.applicationId, table_dir, version)
+    if key not in _generations:
+        by_gen = _pairs(spark, table_dir, version).groupBy("gen").agg(F.bool_or("live").alias("any"), F.bool_and("live").alias("all"))
+        _generations[key] = [(r.gen, not r["all"]) for r in by_gen.where("any").collect()]
+    gens = _generations[key]
     if not gens:
         return spark.createDataFrame([], TABLE_SCHEMA)
     data = f"{table_dir}/data"
-    rows = spark.read.schema(TABLE_SCHEMA).option("basePath", data).parquet(*[f"{data}/gen={g}" for g in gens])
-    # sources that a later record replaced or retired, in generations that still hold others
-    stale = read_manifest(spark, table_dir).where("live and n_rows > 0").select("gen", "source_id").distinct()
-    stale = stale.where(F.col("gen").isin(gens)).join(live, ["gen", "source_id"], "left_anti")
-    return rows if stale.isEmpty() else rows.join(stale, ["gen", "source_id"], "left_anti").select(*TABLE_SCHEMA.fieldNames())
+    rows = spark.read.schema(TABLE_SCHEMA).option("basePath", data).parquet(*[f"{data}/gen={g}" for g, _ in gens])
+    mixed = [g for g, stale in gens if stale]
+    if not mixed:
+        return rows
+    # sources that were replaced or retired, in generations that still hold others
+    stale = _pairs(spark, table_dir, version).where(F.col("gen").isin(mixed) & ~F.col("live"))
+    return rows.join(stale, ["gen", "source_id"], "left_anti").select(*TABLE_SCHEMA.fieldNames())
 
 
 def compact_table(spark: SparkSession, table_dir: str) -> str | None:
     """Rewrite what the table holds as one generation of full-size files; returns its name.
 
-    The old generations stay on disk for readers that are still on them.
+    A source that is refreshed or retired meanwhile stays as the other writer left it: its rewritten rows are void. The old
+    generations stay on disk for readers that are still on them.
     """
-    live = live_sources(spark, table_dir)
-    if live.isEmpty():
+    before = snapshot(spark, table_dir)
+    total = before.live.agg(F.sum("size")).first()[0]
+    if total is None:
         return None
-    gen, total = new_generation(), live.agg(F.sum("size")).first()[0]
-    raw = read_table(spark, table_dir).join(live.select("source_id", "source_path"), "source_id")
+    gen = new_generation()
+    raw = read_table(spark, table_dir).join(before.live.select("source_id", "source_path"), "source_id")
     write_generation(raw.select(*CATALOG_FIELDS, "source_path"), table_dir, gen, total)
-    append_manifest(live.select("source_path", "size", "mtime"), table_dir, gen)
+    held = before.live.select("source_path", "size", "mtime")
+    publish(spark, table_dir, records_of(held, table_dir, gen), before, newer_wins=False)
     return gen
 
 
 def catalog_id(spark: SparkSession, table_dir: str) -> str:
     """Identifies the table's present content: changes with every file added, changed or retired."""
-    rows = live_sources(spark, table_dir).select("source_id", "gen").collect()
-    text = "\n".join(sorted(f"{r.source_id} {r.gen}" for r in rows))
-    return hashlib.sha256(text.encode()).hexdigest()
+    sums = [F.sum(F.xxhash64(F.lit(i), "source_id", "gen").cast("decimal(38, 0)")) for i in (1, 2)]
+    row = live_sources(spark, table_dir).agg(F.count("*"), *sums).first()
+    return hashlib.sha256(" ".join(str(x) for x in row).encode()).hexdigest()
 
 
 def read_parquet_catalog(spark: SparkSession, path: str) -> DataFrame:

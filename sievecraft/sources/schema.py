@@ -38,9 +38,12 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("mtime", T.TimestampType()),
         T.StructField("gen", T.StringType()),
         T.StructField("n_rows", T.LongType()),
-        T.StructField("content_hash", T.LongType()),
+        T.StructField("content_hash", T.StringType()),
         T.StructField("converted_at", T.TimestampType()),
+        # false: retired; NULL: these rows of the generation are never read
         T.StructField("live", T.BooleanType()),
+        # the folder
+        T.StructField("version", T.LongType()),
     ]
 )
 

@@ -8,6 +8,7 @@ from sievecraft import CollectionSpec
 from sievecraft.operators import classes
 from sievecraft.plans import reports
 from sievecraft.sources import catalog as source
+from sievecraft.sources import csv_files, manifest
 from tests.fixtures import TEN, csv_text, row, tuples
 
 ROWS = [row(i, *values) for i, values in enumerate(TEN, 1)]
@@ -225,3 +226,132 @@ def test_many_small_sources_make_few_files(spark, folder):
     after = source.read_table(spark, table)
     assert sorted(r.sha256 for r in after.collect()) == before and {r.gen for r in after.select("gen").distinct().collect()} == {gen}
     assert refresh(spark, folder) == (0, 0)
+
+
+FIELDS = source.RAW_SCHEMA.fieldNames()
+
+
+def csv_by_header(names, rows, end="\n"):
+    """Rows (dicts) under these column names; every field quoted."""
+    lines = [",".join(names)]
+    lines += [",".join('"' + str(r.get(n, "extra")).replace('"', '""') + '"' for n in names) for r in rows]
+    return end.join(lines) + end
+
+
+def record(key, **more):
+    return dict(zip(FIELDS, row(key))) | more
+
+
+def test_columns_follow_the_header(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    swapped = [*FIELDS[:5], FIELDS[7], FIELDS[6], FIELDS[5], *FIELDS[8:]]
+    files = {
+        "fixed": csv_by_header(FIELDS, [record(1)]),
+        "swapped": csv_by_header(swapped, [record(2, vt_detection=5, pkg_name="pkg")]),
+        "extra": csv_by_header(["new", *FIELDS, "other"], [record(3)]),
+        "absent": csv_by_header([f for f in FIELDS if f not in ("dex_date", "apk_size")], [record(4)]),
+        "broken": csv_by_header(FIELDS, [record(5, pkg_name='two\nlines, "quoted"'), record(6)]),
+        "crlf": "\ufeff" + csv_by_header(FIELDS, [record(7)], "\r\n"),
+        "a b%20[c]": csv_by_header(reversed_fields := FIELDS[::-1], [record(8)]),
+        "blank first": "\n\n" + csv_by_header(FIELDS, [record(9)]),
+        "empty": "",
+        "header only": csv_by_header(FIELDS, []),
+    }
+    assert reversed_fields != FIELDS
+    for name, text in files.items():
+        (tmp_path / "csv" / f"{name}.csv").write_text(text, newline="")
+    assert refresh(spark, tmp_path) == (9, 9)  # a file without a byte is not listed
+    rows = {int(r.sha256, 16): r for r in source.read_table(spark, f"{tmp_path}/table").collect()}
+    assert sorted(rows) == list(range(1, 10))
+    assert (rows[2].pkg_name, rows[2].vt_detection, rows[2].det) == ("pkg", "5", 5)
+    assert (rows[4].apk_size, rows[4].dex_date, rows[4].markets) == (None, None, "play.google.com")
+    assert rows[5].pkg_name == 'two\nlines, "quoted"' and rows[5].markets == rows[6].markets == "play.google.com"
+    for key in (1, 3, 6, 7, 8, 9):
+        assert {f: rows[key][f] for f in FIELDS} == record(key)
+    assert refresh(spark, tmp_path) == (0, 0)
+    assert source.read_csv(spark, f"{tmp_path}/csv").count() == 9
+
+
+@pytest.mark.parametrize("names", [FIELDS[1:], [*FIELDS, "markets"]])
+def test_headers_that_are_refused(spark, tmp_path, names):
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "odd.csv").write_text(csv_by_header(names, [record(1)]))
+    with pytest.raises(csv_files.HeaderError, match="odd.csv"):
+        refresh(spark, tmp_path)
+
+
+def keys(spark, folder):
+    return sorted(int(r.sha256, 16) for r in source.read_table(spark, f"{folder}/table").collect())
+
+
+def between(monkeypatch, what):
+    """Has ``what`` run once, after the next generation is written and before it is published."""
+    real, left = source.write_generation, [what]
+
+    def write_and(*args):
+        real(*args)
+        if left:
+            left.pop()()
+
+    monkeypatch.setattr(source, "write_generation", write_and)
+
+
+def test_refresh_during_a_compaction_stays(spark, folder, monkeypatch):
+    write(folder / "csv" / "b.csv", [row(100), row(101)])
+    write(folder / "csv" / "c.csv", [row(102)])
+    refresh(spark, folder)
+
+    def other():
+        write(folder / "csv" / "b.csv", [row(200)], at=time.time() + 10)
+        (folder / "csv" / "c.csv").unlink()
+        assert refresh(spark, folder) == (1, 1)
+
+    between(monkeypatch, other)
+    gen = source.compact_table(spark, f"{folder}/table")
+    assert keys(spark, folder) == [*range(1, 11), 200]
+    # what nobody touched is compacted
+    assert {r.gen for r in source.live_sources(spark, f"{folder}/table").collect()} > {gen}
+    assert refresh(spark, folder) == (0, 0)
+
+
+def test_of_two_refreshes_the_later_state_wins(spark, folder, monkeypatch):
+    now = time.time()
+    write(folder / "csv" / "b.csv", [row(100)], at=now + 10)
+
+    def other():
+        write(folder / "csv" / "b.csv", [row(200), row(201)], at=now + 20)
+        refresh(spark, folder)
+
+    between(monkeypatch, other)
+    assert refresh(spark, folder) == (0, 0)
+    assert keys(spark, folder) == [*range(1, 11), 200, 201]
+    assert source.is_current(spark, f"{folder}/csv", f"{folder}/table")
+
+    # the same file converted twice at a time is in the table once
+    write(folder / "csv" / "d.csv", [row(300)])
+    between(monkeypatch, lambda: refresh(spark, folder))
+    refresh(spark, folder)
+    assert keys(spark, folder) == [*range(1, 11), 200, 201, 300]
+
+
+def test_a_version_is_published_once(spark, folder):
+    refresh(spark, folder)
+    before = manifest.snapshot(spark, f"{folder}/table")
+    assert before.version == 1
+    records = source.retired(before.live)
+    assert manifest.publish(spark, f"{folder}/table", records, before) == 2
+    # the second writer finds the source gone, and has nothing left to say
+    assert manifest.publish(spark, f"{folder}/table", records, before) == 3
+    assert keys(spark, folder) == []
+    assert source.read_manifest(spark, f"{folder}/table", 1).count() == 1
+
+
+def test_fingerprint_tells_pairs_of_equal_rows_apart(spark, folder):
+    at = 1_700_000_000.0
+    write(folder / "csv" / "a.csv", [row(1), row(1), row(3)], at)
+    assert refresh(spark, folder, check_content=True) == (1, 3)
+    assert refresh(spark, folder, check_content=True) == (0, 0)
+    write(folder / "csv" / "a.csv", [row(2), row(2), row(3)], at)
+    assert refresh(spark, folder) == (0, 0)  # size and time are as recorded
+    assert refresh(spark, folder, check_content=True) == (1, 3)
+    assert keys(spark, folder) == [2, 2, 3]

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.operators import fetch
 from sievecraft.sources import catalog as source
-from sievecraft.streaming.refresh import stream_refresh
+from sievecraft.streaming.refresh import apply_changes, log_changes, stream_refresh
 from sievecraft.streaming.rollup import live_attempts
 from tests.fixtures import csv_text, row
 
@@ -28,11 +28,45 @@ def test_refresh_stream(spark, tmp_path):
     assert live.count() == 3 and live.select("gen").distinct().count() == 3
     # what the stream took in, the batch refresh knows
     assert source.is_current(spark, csv, table)
+    # a file that is rewritten in place, one that goes, and a stream that begins again with its checkpoint
     put("a.csv", [row(300)])
-    assert run() == 26
-    assert not source.is_current(spark, csv, table)
-    source.refresh_table(spark, csv, table)
-    assert source.read_table(spark, table).count() == 7
+    (tmp_path / "csv" / "b.csv").unlink()
+    assert run() == 2
+    assert source.is_current(spark, csv, table)
+    assert run() == 2
+    batch = f"{tmp_path}/batch"
+    source.refresh_table(spark, csv, batch)
+    assert sorted(r.sha256 for r in source.read_table(spark, table).collect()) == sorted(
+        r.sha256 for r in source.read_table(spark, batch).collect()
+    )
+
+
+def test_stream_retires_only_what_it_brought(spark, tmp_path):
+    for name, key in (("one", 1), ("two", 2)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_text(csv_text([row(key)]))
+    table = f"{tmp_path}/table"
+    for name in ("one", "two"):
+        stream_refresh(spark, f"{tmp_path}/{name}", table, f"{tmp_path}/check-{name}").awaitTermination()
+    (tmp_path / "one" / "a.csv").unlink()
+    (tmp_path / "one" / "b.csv").write_text(csv_text([row(3)]))
+    stream_refresh(spark, f"{tmp_path}/one", table, f"{tmp_path}/check-one").awaitTermination()
+    assert sorted(int(r.sha256, 16) for r in source.read_table(spark, table).collect()) == [2, 3]
+
+
+def test_changes_that_are_outdated_are_left_alone(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    file = tmp_path / "csv" / "a.csv"
+    file.write_text(csv_text([row(1)]))
+    log = f"{tmp_path}/log"
+    assert log_changes(spark, f"{tmp_path}/csv", log) == 1
+    first = spark.read.parquet(log)
+    file.write_text(csv_text([row(1), row(2)]))
+    apply_changes(spark, first, f"{tmp_path}/csv", f"{tmp_path}/table", "g1", "FAILFAST")
+    assert source.read_table(spark, f"{tmp_path}/table").isEmpty()
+    assert log_changes(spark, f"{tmp_path}/csv", log) == 1 and log_changes(spark, f"{tmp_path}/csv", log) == 0
+    apply_changes(spark, spark.read.parquet(log), f"{tmp_path}/csv", f"{tmp_path}/table", "g2", "FAILFAST")
+    assert source.read_table(spark, f"{tmp_path}/table").count() == 2
 
 
 def test_live_rollup_equals_batch(spark, tmp_path):
