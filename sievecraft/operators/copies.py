@@ -122,3 +122,18 @@ def number(repeated: DataFrame, key: str, identity: list[str]) -> DataFrame:
         .withColumn("_first", F.col("_start") + F.col("_bucket_start"))
     )
     return _lay_out(numbered, columns)
+
+
+def one_per_key(df: DataFrame, key: str, identity: list[str]) -> DataFrame:
+    """One row for each key, the one of least content hash; rows without a key are one key's.
+
+    Rows of keys that occur once are not moved. Of a repeated key each task sends one row.
+    """
+    once, repeated = split(df, key)
+    if repeated is None:
+        return df
+    columns = df.columns
+    content = F.sha2(content_text(identity), 256).alias("_content")
+    # in this order a tie is between rows that are equal, or differ in columns outside the identity
+    least = repeated.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(content, *columns)).alias("_row"))
+    return once.unionByName(least.select(*[F.col(f"_row.{c}").alias(c) for c in columns]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions import columns as C
 from sievecraft.operators.aggregates import with_total_row
+from sievecraft.scratch import staged
 
 # Outcomes of one attempt.
 SUCCESSES = ("VERIFIED", "EXISTS_VERIFIED", "EXISTS")
@@ -36,13 +37,31 @@ def present_files(inventory: DataFrame, verify: bool) -> DataFrame:
     return inventory.select("class", F.lower("sha256").alias("_sha256")).distinct()
 
 
+#: Targets of a sample that every task may hold (some 100 bytes each).
+SENT_TARGETS = 500_000
+
+
+def files_asked_for(inventory: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows of the inventory whose target (class, _sha256) is among ``targets``, a much smaller list.
+
+    Up to ``SENT_TARGETS`` of them, counted here, go to every task, and the inventory is filtered where it is read. A longer
+    list leaves the inventory as it is: the join that follows then shuffles both sides.
+    """
+    targets = targets.select("class", "_sha256").distinct().limit(SENT_TARGETS + 1)
+    targets = staged(targets, "targets")
+    if targets.count() > SENT_TARGETS:
+        return inventory
+    own = inventory.withColumn("_sha256", F.lower("sha256"))
+    return own.join(F.broadcast(targets), ["class", "_sha256"], "left_semi").drop("_sha256")
+
+
 def fetch_plan(sample: DataFrame, inventory: DataFrame, verify: bool = True) -> DataFrame:
     """Sample rows still to be fetched, with target path and size.
 
     ``verify`` asks for ``content_sha256`` in the inventory and plans files with the wrong content again. A row
     without a hash stays in the plan, with no path, and takes no part in the join: it matches nothing, and all such rows
     would meet in one task. Rows that repeat a key make no hot task: the anti join splits their side when it is skewed,
-    and the inventory side is distinct.
+    and the inventory side is distinct. The inventory is not shuffled for a sample of up to ``SENT_TARGETS`` targets.
     """
     keep = [c for c in ("class", "sample_rank", "sha256", "apk_size") if c in sample.columns]
     wanted = sample.select(
@@ -51,7 +70,8 @@ def fetch_plan(sample: DataFrame, inventory: DataFrame, verify: bool = True) ->
         F.lower("sha256").alias("_sha256"),
     )
     hashed = wanted.where("_sha256 is not null and class is not null")
-    missing = hashed.join(present_files(inventory, verify), ["class", "_sha256"], "left_anti")
+    asked = files_asked_for(inventory, hashed)
+    missing = hashed.join(present_files(asked, verify), ["class", "_sha256"], "left_anti")
     return missing.unionByName(wanted.where("_sha256 is null or class is null")).select(*keep, "path")
 
 
@@ -68,8 +88,9 @@ def audit_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """Compare wanted hashes with files; one row per target, whichever side it comes from.
 
     ``wanted`` has ``class, sha256``; ``files`` has ``class, sha256`` (the claimed hash, from the name) and
-    ``content_sha256``. The result has the number of wanted rows and of files, and a status: ``VERIFIED``,
-    ``HASH_MISMATCH`` (a file holds something else than its name says), ``MISSING`` or ``UNEXPECTED``.
+    ``content_sha256``, and may have ``readable``. The result has the number of wanted rows and of files, and a status:
+    ``VERIFIED``, ``HASH_MISMATCH`` (a file holds something else than its name says), ``UNREADABLE`` (a file cannot be read,
+    and those that can are right), ``MISSING`` or ``UNEXPECTED``.
 
     A union under one aggregate and no join: both sides shrink before the shuffle, so a target that is listed a
     billion times travels as one row per task.
@@ -78,18 +99,26 @@ def audit_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
     one = F.lit(1).cast("bigint")
     key = F.coalesce(F.lower("sha256"), F.lit("")).alias("sha256")
     matches = F.coalesce(F.col("content_sha256") == F.lower("sha256"), F.lit(False))
-    both = wanted.select("class", key, one.alias("w"), none.alias("f"), none.alias("m")).unionByName(
-        files.select("class", key, none.alias("w"), one.alias("f"), matches.cast("bigint").alias("m"))
-    )
+    readable = F.coalesce(_optional(files, "readable", "boolean"), F.lit(True))
+    both = wanted.select("class", key, one.alias("w"), none.alias("f"), none.alias("m"), none.alias("u")).unionByName(
+        files.select(
+            "class", key, none.alias("w"), one.alias("f"), (matches & readable).cast("bigint").alias("m"),
+            (~readable).cast("bigint").alias("u"),
+        )
+    )
     status = (
         F.when(F.col("wanted_rows") == 0, "UNEXPECTED")
         .when(F.col("files") == 0, "MISSING")
         .when(F.col("_matching") == F.col("files"), "VERIFIED")
+        .when(F.col("_matching") + F.col("_unreadable") == F.col("files"), "UNREADABLE")
         .otherwise("HASH_MISMATCH")
     )
     return (
         both.groupBy(*TARGET)
-        .agg(F.sum("w").alias("wanted_rows"), F.sum("f").alias("files"), F.sum("m").alias("_matching"))
+        .agg(
+            F.sum("w").alias("wanted_rows"), F.sum("f").alias("files"), F.sum("m").alias("_matching"),
+            F.sum("u").alias("_unreadable"),
+        )
         .select(*TARGET, "wanted_rows", "files", status.alias("status"))
     )
 

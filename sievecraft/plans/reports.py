@@ -17,7 +17,11 @@ def survey_overview(
     catalog: DataFrame, spec: CollectionSpec, mode: str = "survey", on_bad_date: str | None = None
 ) -> DataFrame:
     """Availability and size per class in one job; ``survey_summary`` and ``survey_size_estimate`` are views of it."""
-    totals = A.class_totals(classes.base(catalog, spec, mode, on_bad_date), spec)
+    return overview_of(A.class_totals(classes.base(catalog, spec, mode, on_bad_date), spec))
+
+
+def overview_of(totals: DataFrame) -> DataFrame:
+    """The overview from class totals (class, available, avg_bytes, wanted)."""
     available, wanted = F.col("available"), F.col("wanted")
     taken = A.requested(available, wanted)
     return totals.select(
@@ -35,7 +39,10 @@ def survey_summary(
     catalog: DataFrame, spec: CollectionSpec, mode: str = "survey", on_bad_date: str | None = None
 ) -> DataFrame:
     """Per class: rows available, rows that a draw would take, wanted as a share of available, and shortage."""
-    overview = survey_overview(catalog, spec, mode, on_bad_date)
+    return summary_of(survey_overview(catalog, spec, mode, on_bad_date))
+
+
+def summary_of(overview: DataFrame) -> DataFrame:
     return overview.select("class", "available", "requested", "percentage", "short")
 
 
@@ -55,7 +62,11 @@ def survey_size_estimate(
     catalog: DataFrame, spec: CollectionSpec, mode: str = "survey", on_bad_date: str | None = None
 ) -> DataFrame:
     """Mean size per class and the megabytes a draw would take, with a ``total`` row (which has no mean)."""
-    per_class = survey_overview(catalog, spec, mode, on_bad_date).select("class", "avg_bytes", "est_total_mb")
+    return size_estimate_of(survey_overview(catalog, spec, mode, on_bad_date))
+
+
+def size_estimate_of(overview: DataFrame) -> DataFrame:
+    per_class = overview.select("class", "avg_bytes", "est_total_mb")
     return per_class.rollup("class").agg(
         F.when(F.grouping("class") == 0, F.max("avg_bytes")).alias("avg_bytes"),
         F.sum("est_total_mb").alias("est_total_mb"),

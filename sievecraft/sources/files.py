@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import urlsplit
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.functions import columns as C
+from sievecraft.shipping import ship
 
 # Fixed value: class folder and hash in a file's path.
 _PATH_PATTERN = r"([^/]+)/([^/]+)\.apk$"
 
+#: Bytes of a file in a task's memory at a time.
+CHUNK = 1 << 20
+#: Stores that a task opens itself. Files elsewhere are read by Spark, one row each, up to ``ROW_BYTES``.
+OPENED = ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
+ROW_BYTES = (1 << 31) - (1 << 20)
+
 
 def _files(spark: SparkSession, root: str, glob: str = "*/*.apk", pattern: str = _PATH_PATTERN) -> DataFrame:
-    files = spark.read.format("binaryFile").load(f"{root}/{glob}")
+    # a file that goes between listing and reading is not there
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(f"{root}/{glob}")
     return files.withColumns(
         {
             "class": F.regexp_extract("path", pattern, 1),
@@ -26,15 +40,75 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark, root).select("class", "sha256", "length")
 
 
+def listed_files(
+    spark: SparkSession, root: str, glob: str = "*/*.apk", pattern: str = _PATH_PATTERN
+) -> DataFrame:
+    """``class, sha256, length, path`` of the files. Opens none; a listing can be kept, and read by ``with_digests`` later."""
+    return _files(spark, root, glob, pattern).select("class", "sha256", "length", "path")
+
+
+def opened(path: str):
+    """A binary stream of a file."""
+    url = urlsplit(path, allow_fragments=False)
+    if url.scheme in ("", "file"):
+        return open(path.removeprefix("file:").removeprefix("//"), "rb", CHUNK)
+    # the last part stays as it is: paths are not escaped
+    store, root = pyarrow.fs.FileSystem.from_uri(f"{url.scheme.replace('s3a', 's3')}://{url.netloc}")
+    return store.open_input_stream("/".join(p for p in (root.rstrip("/"), path.split(url.netloc, 1)[1].lstrip("/")) if p))
+
+
+def digest_of(path: str) -> str | None:
+    """SHA-256 of a file of any size in bounded memory; None where it cannot be opened or read to its end."""
+    hashed = hashlib.sha256()
+    try:
+        with opened(path) as stream:
+            while chunk := stream.read(CHUNK):
+                hashed.update(chunk)
+    except OSError:
+        return None
+    return hashed.hexdigest()
+
+
+def with_digests(listing: DataFrame) -> DataFrame:
+    """Adds ``content_sha256`` (empty where a file cannot be read) and ``readable`` to a listing with ``path``.
+
+    A file that is gone, forbidden or damaged costs no more than its own row.
+    """
+    ship(listing.sparkSession)
+    columns = listing.columns
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # one row at a time: a batch may stand for a lot of bytes
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                path = row.column("path")[0].as_py()
+                found = digest_of(path) if path else None
+                more = [pa.array([found or ""]), pa.array([found is not None])]
+                yield pa.RecordBatch.from_arrays([*row.columns, *more], [*columns, "content_sha256", "readable"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema)
+    return listing.mapInArrow(digest, f"{schema}, content_sha256 string, readable boolean")
+
+
 def hashed_files(
     spark: SparkSession, root: str, glob: str = "*/*.apk", pattern: str = _PATH_PATTERN
 ) -> DataFrame:
-    """Files with the hash of what they hold: ``class, sha256, length, content_sha256``.
+    """Files with the hash of what they hold: ``class, sha256, length, content_sha256, readable``.
 
-    ``glob`` and ``pattern`` (class, then hash, from the path) serve trees of another layout. Spark holds one file at a time in each task, so a file may have up to 2 GiB. With
-    ``spark.sql.files.ignoreCorruptFiles`` unreadable files are left out, and an audit then calls them missing;
-    without it they fail the job.
+    ``glob`` and ``pattern`` (class, then hash, from the path) serve trees of another layout. Tasks stream each file, of any
+    size, through the hash. In stores that only Spark can open (``OPENED`` lists the others) a file is read as one row: those
+    above ``ROW_BYTES`` count as unreadable there, and one that breaks while it is read fails the job.
     """
-    return _files(spark, root, glob, pattern).select(
-        "class", "sha256", "length", C.content_hash(F.col("content")).alias("content_sha256")
-    )
+    result = ["class", "sha256", "length", "content_sha256", "readable"]
+    if (urlsplit(root).scheme or _default_scheme(spark)) in OPENED:
+        return with_digests(listed_files(spark, root, glob, pattern)).select(*result)
+    files = _files(spark, root, glob, pattern)
+    fits = F.col("length") <= ROW_BYTES
+    small = files.where(fits).withColumns({"content_sha256": C.content_hash(F.col("content")), "readable": F.lit(True)})
+    large = files.where(~fits).withColumns({"content_sha256": F.lit(""), "readable": F.lit(False)})
+    return small.select(*result).unionByName(large.select(*result))
+
+
+def _default_scheme(spark: SparkSession) -> str:
+    return spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).getScheme()

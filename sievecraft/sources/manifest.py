@@ -33,25 +33,25 @@ class Snapshot(NamedTuple):
     live: DataFrame
 
 
-def _folder(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def latest_version(spark: SparkSession, table_dir: str) -> int:
     """The number of the last published version, 0 where there is none. One listing, no job."""
-    path, store = _folder(spark, f"{table_dir}/manifest")
+    path, store = folder(spark, f"{table_dir}/manifest")
     if not store.exists(path):
         return 0
     names = [s.getPath().getName() for s in store.listStatus(path)]
     return max((int(n.split("=")[1]) for n in names if n.startswith("version=")), default=0)
 
 
-def _renamed(spark: SparkSession, old: str, new: str) -> bool:
+def renamed(spark: SparkSession, old: str, new: str) -> bool:
     """Whether the folder now has the new name; false where that is taken."""
     jvm = spark._jvm
-    old_path, store = _folder(spark, old)
-    new_path, _ = _folder(spark, new)
+    old_path, store = folder(spark, old)
+    new_path, _ = folder(spark, new)
     option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     options = spark.sparkContext._gateway.new_array(option, 1)
     options[0] = option.NONE
@@ -116,6 +116,6 @@ def publish(spark: SparkSession, table_dir: str, records: DataFrame, before: Sna
         now = snapshot(spark, table_dir)
         hidden = f"{table_dir}/manifest/_new-{uuid.uuid4().hex}"
         settled(records.select(*RECORD), before, now, newer_wins).write.parquet(hidden)
-        if _renamed(spark, hidden, f"{table_dir}/manifest/version={now.version + 1}"):
+        if renamed(spark, hidden, f"{table_dir}/manifest/version={now.version + 1}"):
             return now.version + 1
     raise ConcurrentPublishError(f"{table_dir}: {ATTEMPTS} other versions came first")

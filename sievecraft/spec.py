@@ -71,7 +71,12 @@ class CollectionSpec:
         return replace(self, random_seed=secrets.randbelow(2**31))
 
     def fingerprint(
-        self, catalog_id: str, mode: str, on_bad_date: str | None = None, keys_unique: bool = False
+        self,
+        catalog_id: str,
+        mode: str,
+        on_bad_date: str | None = None,
+        keys_unique: bool = False,
+        one_per_key: bool = False,
     ) -> str:
         """Key of a stored sample.
 
@@ -85,4 +90,6 @@ class CollectionSpec:
             del parts[name]
         parts |= {"catalog_id": catalog_id, "mode": mode}
         parts |= {"on_bad_date": on_bad_date, "keys_unique": keys_unique}
+        if one_per_key:
+            parts["one_per_key"] = True
         return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()

@@ -198,3 +198,55 @@ def test_pairs(spark, sample):
 def test_work_list_keeps_overlap(sample):
     row = sample.limit(1)
     assert fetch.work_list(row, row).count() == 2
+
+
+def test_files_of_any_size_and_files_that_cannot_be_read(spark, root, tmp_path):
+    large = tmp_path / "malware" / f"{sha('large')}.apk"
+    with open(large, "wb") as f:
+        f.truncate((1 << 31) + 5)  # more than one row of Spark's can hold; without blocks on disk
+    gone = tmp_path / "malware" / f"{sha('gone')}.apk"
+    odd = tmp_path / "malware" / f"a b%20#é[{sha('odd')}].apk"
+    gone.write_text("gone")
+    odd.write_text("odd")
+    listed = files.listed_files(spark, root)
+    kept = spark.createDataFrame(listed.collect(), listed.schema)
+    gone.unlink()
+    got = {r.sha256: (r.content_sha256, r.readable, r.length) for r in files.with_digests(kept).collect()}
+    assert {r.sha256 for r in files.hashed_files(spark, root).collect()} == set(got) - {sha("gone")}
+    zeros = hashlib.sha256()
+    for _ in range(1 << 11):
+        zeros.update(bytes(1 << 20))
+    zeros.update(bytes(5))
+    assert got[sha("large")] == (zeros.hexdigest(), True, (1 << 31) + 5)
+    assert got[sha("gone")] == ("", False, 4)
+    assert got[f"a b%20#é[{sha('odd')}]"] == (sha("odd"), True, 3)
+    assert got[sha("a")][:2] == (sha("a"), True)
+
+
+def test_audit_of_unreadable_files(spark):
+    wanted = spark.createDataFrame([("m", k) for k in "abcd"], "class string, sha256 string")
+    rows = [("m", "a", "", False), ("m", "b", "b", True), ("m", "b", "", False), ("m", "c", "x", True), ("m", "c", "", False), ("m", "e", "", False)]
+    found = spark.createDataFrame(rows, "class string, sha256 string, content_sha256 string, readable boolean")
+    got = {r.sha256: r.status for r in fetch.audit_files(wanted, found).collect()}
+    assert got == {"a": "UNREADABLE", "b": "UNREADABLE", "c": "HASH_MISMATCH", "d": "MISSING", "e": "UNEXPECTED"}
+    # an unreadable file is fetched again
+    assert {r.sha256 for r in fetch.fetch_plan(wanted, found).collect()} == {"a", "c", "d"}
+
+
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_plan_sends_a_short_list_to_the_inventory(spark, root, sample, monkeypatch, sent):
+    monkeypatch.setattr(fetch, "SENT_TARGETS", sent)
+    plan = fetch.fetch_plan(sample, files.hashed_files(spark, root))
+    assert set(planned(plan)) == {("malware", 2), ("malware", 3), ("cleanware", 2), ("cleanware", 3)}
+
+
+def test_inventory_is_not_shuffled_for_a_short_list(spark, sample, tmp_path):
+    spark.range(1000).selectExpr("'malware' AS class", "sha2(string(id), 256) AS sha256", "sha2(string(id), 256) AS content_sha256").write.parquet(f"{tmp_path}/inventory")
+    targets = sample.select("class", F.lower("sha256").alias("_sha256"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = fetch.files_asked_for(spark.read.parquet(f"{tmp_path}/inventory"), targets)
+        plan = asked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from sievecraft.operators import fetch
 from sievecraft.sources import catalog as source
 from sievecraft.streaming.refresh import apply_changes, log_changes, stream_refresh
+from sievecraft.streaming import rollup
 from sievecraft.streaming.rollup import live_attempts
 from tests.fixtures import csv_text, row
 
@@ -88,3 +89,44 @@ def test_live_rollup_equals_batch(spark, tmp_path):
     assert len([p for p in query.recentProgress if p["numInputRows"]]) > 1
     want = fetch.class_rollup(fetch.classify_attempts(log)).collect()
     assert sorted(spark.table("live_totals_test").collect()) == sorted(want)
+
+
+def test_verdicts_change_once(spark, tmp_path):
+    """Totals after every batch equal the batch roll-up of what was logged so far, and only new successes are written."""
+    plan_rows = [("malware", f"{i % 40:064x}".upper(), 10 + i) for i in range(60)] + [("cleanware", None, 7), ("cleanware", f"{1:064x}", 5)]
+    plan = spark.createDataFrame(plan_rows, "class string, sha256 string, apk_size long")
+    schema = "class string, sha256 string, bytes_downloaded long, content_length long, computed_sha256 string, error string"
+
+    def attempt(i, ok, cls="malware"):
+        key = f"{i:064x}"
+        return (cls, key, 5, 5, key if ok else "bad", None)
+
+    batches = [
+        [attempt(i, i % 4 == 0) for i in range(20)] + [attempt(99, True)],
+        [attempt(i, True) for i in range(0, 12)] + [attempt(0, False), attempt(1, True), attempt(1, True, "cleanware")],
+        [attempt(i, False) for i in range(40)],
+        [attempt(5, True), ("malware", None, 5, 5, "x", None)],
+    ]
+    folder, log = f"{tmp_path}/out", f"{tmp_path}/log"
+    done = set()
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(schema).parquet(log)
+        (
+            rollup.verdict_changes(stream, plan).writeStream.foreachBatch(rollup.keep_totals(plan, folder))
+            .option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+        )
+        batch = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "totals").iterdir())
+        got = rollup.totals_of(spark.read.parquet(f"{folder}/totals/batch={batch}"))
+        want = fetch.attempt_rollup(spark.read.schema(schema).parquet(log), plan)
+        columns = ("class", "succeeded", "failed", "bytes")
+        assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect())
+        new = {(c, k) for c, k, _, _, made, _ in rows if k and made == k and (c, k) in {(p[0], (p[1] or "").lower()) for p in plan_rows}} - done
+        changes = [(r["class"], r.sha256) for b in range(batch + 1) for r in spark.read.parquet(f"{folder}/changes/batch={b}").collect()]
+        assert len(changes) == len(set(changes)) and set(changes) == done | new
+        done |= new
+    # a batch that runs again leaves the same totals
+    first = sorted(spark.read.parquet(f"{folder}/totals/batch=0").collect())
+    again = spark.createDataFrame(spark.read.parquet(f"{folder}/changes/batch=0").collect())
+    rollup.keep_totals(plan, folder)(again, 0)
+    assert sorted(spark.read.parquet(f"{folder}/totals/batch=0").collect()) == first
