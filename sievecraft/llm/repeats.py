@@ -11,7 +11,8 @@ A byte goes if a 200-byte string that covers it also starts anywhere else, in th
 4. Where passages meet, a suffix array is built over them by two-stage sorting (``suffix_array``), and windows whose common
    prefix with a neighbour in it has 200 bytes or more are repeated.
 5. Windows of a home in several parts may have their equal in another part: each part sends a 128-bit fingerprint of every
-   distinct window, which are counted; these few homes hold the only windows that are compared that way.
+   distinct window, dealt by fingerprint and packed, which are counted; these few homes hold the only windows that are
+   compared that way.
 6. Spans of repeated windows go back to the texts, whose bytes they cover are removed.
 
 Defined results: a null text is empty; texts below 200 bytes lose nothing; rows without an id, or that share one, are
@@ -40,6 +41,8 @@ WINDOW, GRAM = 200, 48
 #: Bytes of a home before it is dealt into parts, of one suffix array (a whole home or part at least), and of texts hashed
 #: at a time.
 HOME_BYTES, ARRAY_BYTES, HASHED = 2_000_000, 1_000_000, 1 << 21
+#: Windows of homes in several parts that one task counts at a time.
+SLOT_WINDOWS = 200_000
 #: Bits for a place in what is hashed at a time, with a text cut from HASHED bytes on.
 PLACE_BITS = 23
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -179,12 +182,12 @@ def passages(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def repeated(rows: DataFrame) -> DataFrame:
+def repeated(rows: DataFrame, slots: int) -> DataFrame:
     """Repeated windows of passages (home, part, parts, d1, d2, copies, passage).
 
-    Rows (d1, d2, low, high) with ``n`` 0 are ranges of windows that are repeated within a home's part. Of a home in several
-    parts there is also a row with fingerprint (f1, f2) for each distinct window, ``n`` being 1 and low = high its place
-    where it occurs once in the part, else 2.
+    Rows (d1, d2, low, high) are ranges of windows that are repeated within a home's part. Rows (slot, entries) hold the
+    distinct windows of parts of a home, dealt by fingerprint: (f1, f2, n, d1, d2, low) as 64-bit numbers, ``n`` being 1 and
+    the rest the window's place where it occurs once in the part, else 2.
     """
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +202,12 @@ def repeated(rows: DataFrame) -> DataFrame:
                         held.append((d1, d2, parts > 1, passage))
                         size += len(passage)
                 if size >= ARRAY_BYTES:
-                    yield found(held)
+                    yield from found(held)
                     held, size = [], 0
         if held:
-            yield found(held)
+            yield from found(held)
 
-    def found(held: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
+    def found(held: list[tuple[int, int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
         text = Passages([h[3] for h in held])
         order = suffix_array(text)
         before, length = common_prefixes(text, order)
@@ -212,27 +215,58 @@ def repeated(rows: DataFrame) -> DataFrame:
         again = hit.copy()
         again[before[hit]] = True
         owner = np.repeat(np.arange(len(held)), text.separators - text.starts + 1)
+        d1, d2 = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
         edge = np.diff(again.astype(np.int8), prepend=0, append=0)
         low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-        columns = [[owner[low]], [low], [high], [np.zeros(len(low), np.int64)], [np.zeros(len(low), np.int64)], [np.zeros(len(low), np.int64)]]
+        at = owner[low]
+        begin = text.starts[at]
+        yield batch(len(low), d1=d1[at], d2=d2[at], low=low - begin, high=high - begin)
         split = np.array([h[2] for h in held], bool)[owner] & (text.left() >= WINDOW)
         if split.any():
             # the first of each stretch of equal windows in the order stands for them
             ranked = order[split[order]]
-            first = ~hit[ranked]
-            places = ranked[first]
+            places = np.sort(ranked[~hit[ranked]])
             f1, f2 = (string_hashes(text.data, WINDOW, m)[places].view(np.int64) for m in MULTIPLIERS)
-            for column, values in zip(columns, (owner[places], places, places, f1, f2, np.where(again[places], 2, 1))):
-                column.append(values)
-        at, low, high, f1, f2, n = (np.concatenate(c).astype(np.int64) for c in columns)
-        d1, d2 = (np.array([h[i] for h in held], np.int64)[at] for i in (0, 1))
-        begin = text.starts[at]
-        values = [d1, d2, low - begin, high - begin, f1, f2, n]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["d1", "d2", "low", "high", "f1", "f2", "n"])
-
+            at = owner[places]
+            entries = np.stack([f1, f2, np.where(again[places], 2, 1), d1[at], d2[at], places - text.starts[at]], axis=1)
+            slot = (f1.view(np.uint64) % np.uint64(slots)).astype(np.int64)
+            dealt = np.argsort(slot, kind="stable")
+            entries, slot = entries[dealt].astype("<i8"), slot[dealt]
+            first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            blobs = [entries[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(slot)))]
+            yield batch(len(first), slot=slot[first], entries=blobs)
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        arrays = [
+            pa.array(columns[c], pa.binary() if c == "entries" else pa.int64()) if c in columns
+            else pa.nulls(n, pa.binary() if c == "entries" else pa.int64())
+            for c in names
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    names = ["d1", "d2", "low", "high", "slot", "entries"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "home", "part").sortWithinPartitions("home", "part")
-    return dealt.mapInArrow(sort, "d1 long, d2 long, low long, high long, f1 long, f2 long, n long")
+    return dealt.mapInArrow(sort, "d1 long, d2 long, low long, high long, slot long, entries binary")
+
+
+def repeated_across(rows: DataFrame) -> DataFrame:
+    """(d1, d2, low, high) of windows that occur once in a part of their home and again in another part."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, starts in runs(batches, ("slot",)):
+            blobs = part.column("entries").to_pylist()
+            for start, stop in zip(starts, np.append(starts[1:], part.num_rows)):
+                entries = np.frombuffer(b"".join(blobs[start:stop]), "<i8").reshape(-1, 6)
+                entries = entries[np.lexsort((entries[:, 1], entries[:, 0]))]
+                new = np.concatenate([[True], (entries[1:, :2] != entries[:-1, :2]).any(axis=1)])
+                total = np.add.reduceat(entries[:, 2], np.flatnonzero(new))[np.cumsum(new) - 1]
+                d1, d2, low = entries[(total > 1) & (entries[:, 2] == 1)][:, 3:].T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (d1, d2, low, low)], ["d1", "d2", "low", "high"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "slot").sortWithinPartitions("slot")
+    return dealt.mapInArrow(count, "d1 long, d2 long, low long, high long")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -246,16 +280,17 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     shared = staged(counts.where("total > 1").drop("total"), "repeated-byte-anchors")
     uses = staged(anchors.join(shared, "anchor").select("k1", "k2", "home", "low", "high"), "byte-anchor-uses")
     parts = uses.groupBy("home").agg(F.ceil(F.sum(F.col("high") - F.col("low") + WINDOW) / HOME_BYTES).alias("parts"))
-    wanted = uses.join(staged(parts, "home-parts"), "home").groupBy("k1", "k2").agg(
+    parts = staged(parts, "home-parts")
+    split = int(parts.where("parts > 1").agg(F.sum("parts")).first()[0] or 0)
+    wanted = uses.join(parts, "home").groupBy("k1", "k2").agg(
         F.collect_list(F.struct("home", "parts", "low", "high")).alias("spans")
     )
     rows = staged(passages(long, wanted), "passages")
     name = ["home", "part", "parts", "d1", "d2"]
     distinct = rows.groupBy(*name).agg(F.sum("copies").alias("copies"), F.any_value("passage", True).alias("passage"))
-    found = staged(repeated(distinct), "repeated-windows")
-    once = found.where("n > 0").groupBy("f1", "f2").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    across = found.where("n = 1").join(once, ["f1", "f2"]).select("d1", "d2", "low", "high")
-    marks = found.where("n = 0").select("d1", "d2", "low", "high").unionByName(across)
+    found = staged(repeated(distinct, max(1, split * HOME_BYTES // SLOT_WINDOWS)), "repeated-windows")
+    marks = found.where("slot is null").select("d1", "d2", "low", "high")
+    marks = marks.unionByName(repeated_across(found.where("slot is not null").select("slot", "entries")))
     marks = marks.withColumnsRenamed({"low": "from", "high": "to"})
     return (
         rows.select("d1", "d2", "k1", "k2", "low")
