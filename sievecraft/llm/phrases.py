@@ -31,28 +31,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievecraft.llm.text import PLACES, mixed, run_hashes, runs, table, texts_of, word_hashes
+from sievecraft.llm.text import PLACES, mixed, numbered_words, run_hashes, runs, table, texts_of, word_hashes
 from sievecraft.scratch import staged
 from sievecraft.shipping import ship
 
 #: Words of a phrase at most, least occurrences, phrases reported for each language.
 WORDS, LEAST, TOP = 5, 100, 2000
-#: Bits of the bitmap (8 MB), words that a task counts at a time, parts of the empty prefix's stripe and of a hot one's.
-BITS, HELD, FIRST_PARTS, HOT_PARTS, HOT_SHARE = 26, 1_500_000, 4096, 64, 1000
+#: Bits of the bitmap (8 MB), letters that a task counts at a time, parts of the empty prefix's stripe and of a hot one's.
+BITS, HELD, FIRST_PARTS, HOT_PARTS, HOT_SHARE = 26, 10_000_000, 4096, 64, 1000
 
 #: A-Z lowered; everything that ends a piece becomes a line feed.
 FOLD = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: What words are made of.
+LETTER = ~np.isin(np.arange(256), [9, 10, 32])
+
 ENTRY = "lang string, prefix binary, next binary, f long, hash long"
 
 
-def add_words(text: str, out: list) -> None:
-    """Words of each piece; None ends a piece."""
-    for piece in text.encode("utf-8", "replace").translate(FOLD).split(b"\n"):
-        words = piece.split()
-        if words:
-            out += words
-            out.append(None)
+def words_in(data: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of some texts: a number for each, what the numbers stand for, and the pieces that they lie in."""
+    folded = np.frombuffer(data.translate(FOLD), np.uint8)
+    codes, words, start = numbered_words(folded, LETTER)
+    return codes, words, np.searchsorted(np.flatnonzero(folded == 10), start)
 
 
 def language_seed(lang: str) -> np.uint64:
@@ -70,29 +71,24 @@ def phrase_hashes(lang: str, phrases: list[list[bytes]]) -> np.ndarray:
     return mixed(total)
 
 
-def stripe_rows(lang: str, tokens: list, order: int, frequent: np.ndarray | None, hot: np.ndarray) -> pa.RecordBatch | None:
-    """The stripes of some pieces: followers of each prefix of ``order - 1`` words, with counts."""
-    number: dict = defaultdict()
-    number.default_factory = number.__len__
-    number[None]
-    codes = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-    words = [w or b"" for w in number]
-    hashes = np.concatenate([np.zeros(1, np.uint64), word_hashes(words[1:])])
+def stripe_rows(lang: str, data: bytes, order: int, frequent: np.ndarray | None, hot: np.ndarray) -> pa.RecordBatch | None:
+    """The stripes of some texts: followers of each prefix of ``order - 1`` words, with counts."""
+    codes, words, piece = words_in(data)
+    last = len(codes) - order + 1
+    if last <= 0:
+        return None
+    hashes = word_hashes(words)
     size = len(words)
     if order == 1:
-        counts = np.bincount(codes, minlength=size)[1:]
-        follower = np.arange(1, size)
-        prefix = at = np.zeros(size - 1, np.int64)
-        parts = (hashes[1:] % np.uint64(FIRST_PARTS)).astype(np.int64)
+        counts = np.bincount(codes, minlength=size)
+        follower = np.arange(size)
+        prefix = at = np.zeros(size, np.int64)
+        parts = (hashes % np.uint64(FIRST_PARTS)).astype(np.int64)
     else:
-        ends = np.concatenate([[0], np.cumsum(codes == 0)])
-        last = len(codes) - order + 1
-        if last <= 0:
-            return None
         grams = run_hashes(hashes[codes] ^ language_seed(lang), order - 1)
         bit = (grams >> np.uint64(64 - (len(frequent) * 64 - 1).bit_length())).astype(np.int64)
         known = (frequent[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
-        alive = (ends[order : order + last] == ends[:last]) & known[:last] & known[1 : last + 1]
+        alive = (piece[:last] == piece[order - 1 :]) & known[:last] & known[1 : last + 1]
         start = np.flatnonzero(alive)
         if not len(start):
             return None
@@ -103,8 +99,6 @@ def stripe_rows(lang: str, tokens: list, order: int, frequent: np.ndarray | None
         prefix, follower, at = pairs // size, pairs % size, start[first]
         cut = np.isin(grams[at], hot)
         parts = np.where(cut, (hashes[follower] % np.uint64(HOT_PARTS)).astype(np.int64), 0)
-    if not len(counts):
-        return None
     # equal prefixes lie together, so cutting by part keeps a stripe's rows together
     by = np.lexsort((parts, prefix))
     prefix, follower, at, counts, parts = prefix[by], follower[by], at[by], counts[by], parts[by]
@@ -129,16 +123,16 @@ def stripe_rows(lang: str, tokens: list, order: int, frequent: np.ndarray | None
     )
 
 
-def stripes(docs: DataFrame, order: int, frequent, hot: np.ndarray, words_held: int = HELD) -> DataFrame:
+def stripes(docs: DataFrame, order: int, frequent, hot: np.ndarray, held_bytes: int = HELD) -> DataFrame:
     """Stripes of every stretch of documents; ``frequent`` is a broadcast bitmap, None for single words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = defaultdict(list)
+        held: dict[str, list[bytes]] = defaultdict(list)
         bitmap = frequent.value if frequent is not None else None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, tokens in sorted(held.items()):
-                rows = stripe_rows(lang, tokens, order, bitmap, hot) if tokens else None
+            for lang, texts in sorted(held.items()):
+                rows = stripe_rows(lang, b"\n".join(texts), order, bitmap, hot)
                 if rows is not None:
                     yield rows
             held.clear()
@@ -148,11 +142,9 @@ def stripes(docs: DataFrame, order: int, frequent, hot: np.ndarray, words_held:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 for lang, text in zip(part.column("lang").to_pylist(), texts_of(part)):
-                    out = held[lang]
-                    size -= len(out)
-                    add_words(text, out)
-                    size += len(out)
-                if size >= words_held:
+                    held[lang].append(text.encode("utf-8", "replace"))
+                    size += len(text)
+                if size >= held_bytes:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -220,13 +212,13 @@ def bitmap_of(entries: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def phrase_counts(
-    docs: DataFrame, longest: int = WORDS, least: int = LEAST, bits: int = BITS, words_held: int = HELD
+    docs: DataFrame, longest: int = WORDS, least: int = LEAST, bits: int = BITS, held_bytes: int = HELD
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, prefix, next, f, words) of all phrases of up to ``longest`` words that occur ``least`` times, and words per language."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
-    level = staged(merged_stripes(stripes(docs, 1, None, np.empty(0, np.uint64), words_held), 1, least), "words")
+    level = staged(merged_stripes(stripes(docs, 1, None, np.empty(0, np.uint64), held_bytes), 1, least), "words")
     sums = level.where("next is null").groupBy("lang").agg(F.sum("f").alias("n"))
     every = int(level.where("next is null").agg(F.sum("f")).first()[0] or 0)
     level = level.where("next is not null")
@@ -237,7 +229,7 @@ def phrase_counts(
             break
         hot = level.where(F.col("f") * HOT_SHARE >= every).select("hash").toArrow().column("hash").to_numpy().view(np.uint64)
         seen = spark.sparkContext.broadcast(bitmap)
-        level = staged(merged_stripes(stripes(docs, order, seen, hot, words_held), order, least), f"phrases-{order}")
+        level = staged(merged_stripes(stripes(docs, order, seen, hot, held_bytes), order, least), f"phrases-{order}")
         seen.destroy()
         levels.append(level.withColumn("words", F.lit(order)))
     counts = levels[0]

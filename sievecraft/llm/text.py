@@ -30,6 +30,27 @@ def words_of(data: bytes) -> list[bytes]:
     return data.split()
 
 
+#: What words are made of: every byte but space, tab, line feed, vertical tab, form feed and carriage return.
+WORD_BYTES = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def numbered_words(data: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """A number for each maximal run of letters (by byte) of ``data``, what the numbers stand for, and where runs start."""
+    inside = letters[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(data) and inside[0]:
+        edge = np.concatenate([[0], edge])
+    if len(edge) % 2:
+        edge = np.append(edge, len(data))
+    start, stop = edge[::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, np.int64), [], np.empty(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]
+    words = pa.Array.from_buffers(pa.binary(), len(start), buffers).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist(), start
+
+
 def word_hashes(words: Iterable[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64)
 

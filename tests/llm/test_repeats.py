@@ -167,8 +167,8 @@ def test_hot_prefixes_are_cut_and_merged(spark, monkeypatch):
     one = {tuple(r) for r in phrases.phrase_counts(docs, least=3)[0].collect()}
     monkeypatch.setattr(phrases, "HOT_SHARE", 10**9)
     assert one and {tuple(r) for r in phrases.phrase_counts(docs, least=3)[0].collect()} == one
-    # a bitmap that is full prunes nothing and changes nothing, nor does counting a few words at a time
-    assert {tuple(r) for r in phrases.phrase_counts(docs, least=3, bits=6, words_held=500)[0].collect()} == one
+    # a bitmap that is full prunes nothing and changes nothing, nor does counting a few texts at a time
+    assert {tuple(r) for r in phrases.phrase_counts(docs, least=3, bits=6, held_bytes=3000)[0].collect()} == one
 
 
 def test_scores_beyond_64_bits(spark, monkeypatch):
