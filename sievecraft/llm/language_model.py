@@ -3,12 +3,14 @@
 The model is a smoothed bigram: ``P(w | h) = (c(hw) + MASS * P(w)) / (c(h) + MASS)`` with the base's ``P(w)``. Its counts
 are over all training documents and grow with them, so no machine holds the whole of it:
 
-1. A block is the documents of one stretch of an input file, a function of the row alone. It sends its distinct words and
-   word pairs (sorted 64-bit hashes, as differences) with its own training counts to the counting tasks, by hash range.
-   A frequent word travels once for each block, whatever its count.
-2. A counting task adds up and answers each block in the block's own order, so answers carry counts only.
-3. The block's documents and answers meet; the slice of the model becomes a trie with monotone pointers and 16-bit
-   probabilities in one mapped buffer, which scores all the block's texts.
+1. Texts are split into words once. A block of documents is written as the sorted hashes of its distinct words and a number
+   for each word; it has a name of its own from then on, and every later step reads what was written.
+2. A block sends its distinct words and word pairs (sorted 64-bit hashes, as differences) with its own training counts to
+   the counting tasks, by hash range. A frequent word travels once for each block, whatever its count.
+   There are as many ranges as the number of words asks for.
+3. A counting task adds up and answers each block in the block's own order, so answers carry counts only.
+4. The block's words and answers meet; the slice of the model becomes a trie with monotone pointers and 16-bit
+   probabilities in one mapped buffer, which is asked for each distinct word and pair of the block's texts.
 
 Defined results: null and empty texts are the end alone; rows with null or repeated ids are scored each (without an id
 they train); without training documents every token is unknown and has probability 1; an empty table gives no rows;
@@ -17,6 +19,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,46 +28,99 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.llm.elias_fano import Trie, anonymous_map
-from sievecraft.llm.text import held_out, is_held_out, lower_ascii, mixed, runs, table, word_hashes
+from sievecraft.llm.text import WORD_BYTES, held_out, is_held_out, lower_ascii, mixed, numbered_words, runs, table, word_hashes
 from sievecraft.scratch import staged
 from sievecraft.shipping import ship
 
-#: Weight of the base distribution after each context; bytes of a file in a block; remainder of the held-out fifth.
+#: Weight of the base distribution after each context; bytes of text in a block; remainder of the held-out fifth.
 MASS, BLOCK_BYTES, REMAINDER = 100.0, 4 << 20, 1
+#: Words for one range of hashes.
+RANGE_WORDS = 2_000_000
 #: Hashes of the end and of the start of a text (the start is only ever a context).
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC2B2AE3D27D4EB4F)
 
-
-def with_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``block``; ``docs`` must come straight from files, so that a row's block is always the same."""
-    parts = F.greatest(F.ceil(F.input_file_block_length() / BLOCK_BYTES), F.lit(1))
-    doc_id = F.col("doc_id").cast("long")
-    part = F.pmod(F.xxhash64(doc_id, "text"), parts)
-    block = F.xxhash64(F.input_file_name(), F.input_file_block_start(), part)
-    return docs.select(doc_id.alias("doc_id"), "text", block.alias("block"))
+BLOCK = "block long, n long, ids array<long>, sizes binary, words binary, codes binary"
 
 
 class Block:
-    """Tokens of a block's documents, as hashes, and its distinct words and pairs."""
-
-    def __init__(self, doc_ids: list[int | None], texts: list[str | None]) -> None:
-        rows = [word_hashes(lower_ascii(t or "").split()) for t in texts]
-        self.sizes = np.array([len(r) + 1 for r in rows], dtype=np.int64)
-        self.tokens = np.concatenate([x for r in rows for x in (r, np.array([END]))]) if rows else np.empty(0, np.uint64)
-        starts = np.cumsum(self.sizes) - self.sizes
-        self.before = np.concatenate([[START], self.tokens[:-1]]) if len(self.tokens) else self.tokens
-        self.before[starts] = START
-        trains = np.array([not is_held_out(i, REMAINDER) for i in doc_ids], dtype=bool)
-        self.trains = np.repeat(trains, self.sizes)
-        self.keys = [self.tokens, mixed(mixed(self.before ^ np.uint64(0x51)) + self.tokens)]
-        self.distinct = [np.unique(k) for k in self.keys]
-
-    def training_counts(self, level: int) -> np.ndarray:
-        """Own training occurrences of each distinct key."""
-        found, counts = np.unique(self.keys[level][self.trains], return_counts=True)
-        out = np.zeros(len(self.distinct[level]), np.int64)
-        out[np.searchsorted(self.distinct[level], found)] = counts
-        return out
+    """A block's documents as numbers of words, in the order of the words' hashes; each text ends with the end.
+
+    ``pairs`` are the distinct pairs (context, word) in this order; the context one past the last word is a text's start.
+    """
+
+    def __init__(self, ids: list[int | None], sizes: np.ndarray, words: np.ndarray, codes: np.ndarray) -> None:
+        self.ids, self.sizes, self.words, self.codes = ids, sizes, words, codes.astype(np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        before = np.concatenate([[0], self.codes[:-1]])
+        before[self.starts] = len(words)
+        width = len(words) + 1
+        self.pairs, self.of_pair = np.unique(before * width + self.codes, return_inverse=True)
+        self.context, self.follower = self.pairs // width, self.pairs % width
+        trains = np.array([not is_held_out(i, REMAINDER) for i in ids], dtype=bool)
+        self.trains = np.repeat(trains, sizes)
+        hashes = np.append(words, START)
+        pair_hashes = mixed(mixed(hashes[self.context] ^ np.uint64(0x51)) + hashes[self.follower])
+        self.keys, self.of_key = np.unique(pair_hashes, return_inverse=True)
+
+    @classmethod
+    def of_texts(cls, ids: list[int | None], texts: list[str | None]) -> Block:
+        return cls(ids, *numbered_texts(texts))
+
+    @classmethod
+    def of_row(cls, row: dict) -> Block:
+        return cls(row["ids"], from_planes(row["sizes"], "<i8"), unpacked_keys(row["words"]), from_planes(row["codes"], "<u4"))
+
+    def asked(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of a level, sorted, and the block's own training occurrences of each."""
+        if level == 0:
+            return self.words, np.bincount(self.codes[self.trains], minlength=len(self.words))
+        counts = np.bincount(self.of_pair[self.trains], minlength=len(self.pairs))
+        return self.keys, np.bincount(self.of_key, counts, minlength=len(self.keys)).astype(np.int64)
+
+
+def numbered_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text and the end, counted; sorted hashes of the distinct words; a number for each word."""
+    lowered = [lower_ascii(t or "") for t in texts]
+    data = np.frombuffer(b"\n".join(lowered), np.uint8)
+    codes, words, start = numbered_words(data, WORD_BYTES)
+    hashes, number = np.unique(np.append(word_hashes(words), END), return_inverse=True)
+    lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
+    begins = np.cumsum(lengths) - lengths
+    before = np.searchsorted(start, begins)
+    sizes = np.diff(np.append(before, len(codes))) + 1
+    text = np.repeat(np.arange(len(texts)), sizes - 1)
+    out = np.full(int(sizes.sum()), number[-1])
+    out[np.arange(len(codes)) + text] = number[codes] if len(codes) else codes
+    return sizes, hashes, out
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Rows (block, n, ids, sizes, words, codes) of the documents, to be stored: names are drawn."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int | None] = []
+        texts: list[str | None] = []
+        size = 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text or "") + 1
+                if size >= BLOCK_BYTES:
+                    yield row(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield row(ids, texts)
+
+    def row(ids: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
+        sizes, words, codes = numbered_texts(texts)
+        columns = [
+            pa.array([secrets.randbits(62)]), pa.array([len(codes)]), pa.array([ids], pa.list_(pa.int64())),
+            pa.array([planes(sizes.astype("<i8"))]), pa.array([packed_keys(words)]), pa.array([planes(codes.astype("<u4"))]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["block", "n", "ids", "sizes", "words", "codes"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(number, BLOCK)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -89,30 +145,28 @@ def requests(blocks: DataFrame, ranges: int) -> DataFrame:
     """Rows (range, level, block, keys, counts): what each block has in each range of hashes."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = [(r << 64) // ranges for r in range(ranges)]
-        for part, starts in runs(batches, ("block",)):
-            for start, stop in zip(starts, np.append(starts[1:], part.num_rows)):
-                own = part.slice(start, stop - start)
-                block = Block(own.column("doc_id").to_pylist(), own.column("text").to_pylist())
-                name = own.column("block")[0].as_py()
+        bounds = np.array([(r << 64) // ranges for r in range(ranges)], dtype=np.uint64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (own,) = batch.slice(i, 1).to_pylist()
+                block = Block.of_row(own)
                 for level in (0, 1):
-                    keys, counts = block.distinct[level], block.training_counts(level).astype("<u4")
-                    cuts = np.append(np.searchsorted(keys, np.array(bounds, dtype=np.uint64)), len(keys))
+                    keys, counts = block.asked(level)
+                    cuts = np.append(np.searchsorted(keys, bounds), len(keys))
                     some = np.flatnonzero(cuts[1:] > cuts[:-1])
                     spans = [slice(cuts[r], cuts[r + 1]) for r in some]
+                    counts = counts.astype("<u4")
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(some, pa.int32()), pa.array([level] * len(some), pa.int32()),
-                            pa.array([name] * len(some), pa.int64()),
+                            pa.array([own["block"]] * len(some), pa.int64()),
                             pa.array([packed_keys(keys[s]) for s in spans], pa.binary()),
                             pa.array([planes(counts[s]) for s in spans], pa.binary()),
                         ],
                         ["range", "level", "block", "keys", "counts"],
                     )
 
-    return blocks.sortWithinPartitions("block").mapInArrow(
-        ask, "range int, level int, block long, keys binary, counts binary"
-    )
+    return blocks.mapInArrow(ask, "range int, level int, block long, keys binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -152,30 +206,27 @@ def answers(asked: DataFrame) -> DataFrame:
 
 
 def slice_of(block: Block, totals: list[np.ndarray], train_tokens: int, distinct: int, mass: float = MASS) -> bytes:
-    """The trie of what the block can ask for."""
-    words, counts = block.distinct[0], totals[0]
+    """The trie of what the block can ask for; ``totals`` are in the order of the block's keys."""
+    words, counts = block.words, totals[0]
     p1 = (counts + 0.5) / (train_tokens + 0.5 * (distinct + 1))
     # the start of a text is followed once for each training document, as the end is preceded
     end = np.searchsorted(words, END)
     after = np.append(counts, counts[end] if end < len(words) and words[end] == END else 0)
-    pair_keys, first = np.unique(block.keys[1], return_index=True)
-    context = np.where(block.before[first] == START, len(words), np.searchsorted(words, block.before[first]))
-    follower = np.searchsorted(words, block.tokens[first])
-    seen = totals[1] > 0
-    context, follower, pairs = context[seen], follower[seen], totals[1][seen]
-    order = np.lexsort((follower, context))
-    context, follower, pairs = context[order], follower[order], pairs[order]
+    pairs = totals[1][block.of_key]
+    seen = pairs > 0
+    context, follower, pairs = block.context[seen], block.follower[seen], pairs[seen]
     back = np.log10(mass / (after + mass))
     log2 = np.log10((pairs + mass * p1[follower]) / (after[context] + mass))
     return Trie.build(words, counts, np.log10(p1), back, context, follower, log2)
 
 
 def scored(docs: DataFrame, mass: float = MASS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``, read from files."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
     ship(docs.sparkSession)
-    blocks = with_blocks(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    replies = staged(answers(requests(blocks, 2 * parts)), "counts")
+    blocks = staged(blocks_of(docs), "word-blocks")
+    words = int(blocks.agg(F.sum("n")).first()[0] or 0)
+    replies = staged(answers(requests(blocks, max(2 * parts, -(-words // RANGE_WORDS)))), "counts")
     stats = replies.where("block is null").agg(F.sum("distinct"), F.sum("tokens")).first()
     distinct, train_tokens = int(stats[0] or 0), int(stats[1] or 0)
 
@@ -184,37 +235,32 @@ def scored(docs: DataFrame, mass: float = MASS) -> DataFrame:
             for start, stop in zip(starts, np.append(starts[1:], part.num_rows)):
                 own = part.slice(start, stop - start)
                 level = own.column("level").to_numpy()
-                docs_at = int((level < 2).sum())
-                blobs = own.slice(0, docs_at).column("totals").to_pylist()
-                texts = own.slice(docs_at)
-                ids = texts.column("doc_id").to_pylist()
-                block = Block(ids, texts.column("text").to_pylist())
+                blobs = own.column("totals").to_pylist()
+                block = Block.of_row(own.slice(len(level) - 1).to_pylist()[0])
                 # answers come sorted by level and range, which is the order of the block's keys
                 totals = [
                     np.concatenate([from_planes(b, "<u8").astype(np.int64) for b, l in zip(blobs, level) if l == n])
                     for n in (0, 1)
                 ]
                 trie = Trie.map(anonymous_map(slice_of(block, totals, train_tokens, distinct, mass)))
-                word = trie.numbers(block.tokens)
-                context = np.where(block.before == START, trie.words.size, np.roll(word, 1))
-                counts = trie.counts.astype(np.int64)[word]
+                word = np.append(trie.numbers(block.words), trie.words.size)
+                counts = trie.counts.astype(np.int64)[word[:-1]]
                 base = np.log10((counts + 0.5) / (train_tokens + 0.5 * (distinct + 1)))
-                starts_at = np.cumsum(block.sizes) - block.sizes
+                pairs = trie.log10(word[block.context], word[block.follower])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()), pa.array(block.sizes),
-                        pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts_at)),
-                        pa.array(np.add.reduceat(base, starts_at)),
-                        pa.array(np.add.reduceat(trie.log10(context, word), starts_at)),
+                        pa.array(block.ids, pa.int64()), pa.array(block.sizes),
+                        pa.array(np.add.reduceat((counts > 0).astype(np.int64)[block.codes], block.starts)),
+                        pa.array(np.add.reduceat(base[block.codes], block.starts)),
+                        pa.array(np.add.reduceat(pairs[block.of_pair], block.starts)),
                     ],
                     ["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 
-    rows = blocks.select("block", F.lit(2).alias("level"), F.lit(0).alias("range"), "doc_id", "text", F.lit(None).cast("binary").alias("totals"))
-    counts = replies.where("block is not null").select(
-        "block", "level", "range", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "totals"
-    )
-    met = rows.unionByName(counts).repartition(parts, "block").sortWithinPartitions("block", "level", "range")
+    none = F.lit(None).cast("binary").alias("totals")
+    rows = blocks.select("block", F.lit(2).alias("level"), F.lit(0).alias("range"), "ids", "sizes", "words", "codes", none)
+    counts = replies.where("block is not null").select("block", "level", "range", "totals")
+    met = rows.unionByName(counts, allowMissingColumns=True).repartition(parts, "block").sortWithinPartitions("block", "level", "range")
     out = met.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(train_tokens).cast("long"))
 
