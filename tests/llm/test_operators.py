@@ -200,7 +200,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     """Smallest id by id, over rows that share an id or are alike."""
     nodes = sorted({i for i, _ in rows if i is not None})
     root = {i: i for i in nodes}
@@ -213,7 +213,7 @@ def brute_groups(rows):
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 low, high = sorted((find(i), find(j)))
                 root[high] = low
     return {i: find(i) for i in nodes}

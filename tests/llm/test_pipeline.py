@@ -47,7 +47,7 @@ def test_stages(spark, tmp_path):
     assert Counter(pairs(at["toxicity"])) == Counter(r for r in rows if r[0] not in toxic)
 
     rows = pairs(at["toxicity"])
-    group = brute_groups(rows)
+    group = brute_groups(rows, 80)
     kept = {r for r in rows if r[0] is None or not shingles(r[1]) or group[r[0]] == r[0]}
     assert Counter(pairs(at["near_dedup"])) == Counter({r: 1 for r in kept})
 
