@@ -19,6 +19,7 @@ import math
 import secrets
 import time
 import warnings
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from sievecraft.operators.classes import with_typed_columns
 from sievecraft.sources.csv_files import bound_rows
 from sievecraft.sources.manifest import (
     RECORD,
+    Snapshot,
     latest_version,
     live_sources,
     publish,
@@ -249,12 +251,15 @@ def read_table(spark: SparkSession, table_dir: str) -> DataFrame:
     return rows.join(stale, ["gen", "source_id"], "left_anti").select(*TABLE_SCHEMA.fieldNames())
 
 
-def compact_table(spark: SparkSession, table_dir: str) -> str | None:
-    """Rewrite what the table holds as one generation of full-size files; returns its name.
+class Rewrite(NamedTuple):
+    """A generation that holds what the table held at a snapshot."""
 
-    A source that is refreshed or retired meanwhile stays as the other writer left it: its rewritten rows are void. The old
-    generations stay on disk for readers that are still on them.
-    """
+    gen: str
+    before: Snapshot
+
+
+def rewrite_table(spark: SparkSession, table_dir: str) -> Rewrite | None:
+    """Writes what the table holds as one generation of full-size files, which nobody reads yet."""
     before = snapshot(spark, table_dir)
     total = before.live.agg(F.sum("size")).first()[0]
     if total is None:
@@ -262,9 +267,29 @@ def compact_table(spark: SparkSession, table_dir: str) -> str | None:
     gen = new_generation()
     raw = read_table(spark, table_dir).join(before.live.select("source_id", "source_path"), "source_id")
     write_generation(raw.select(*CATALOG_FIELDS, "source_path"), table_dir, gen, total)
-    held = before.live.select("source_path", "size", "mtime")
-    publish(spark, table_dir, records_of(held, table_dir, gen), before, newer_wins=False)
-    return gen
+    return Rewrite(gen, before)
+
+
+def publish_rewrite(spark: SparkSession, table_dir: str, rewrite: Rewrite) -> None:
+    """Has the table read a rewritten generation, for every source that is as it was at the snapshot.
+
+    A source that was refreshed or retired meanwhile stays as the other writer left it: its rewritten rows are void.
+    """
+    held = rewrite.before.live.select("source_path", "size", "mtime")
+    records = records_of(held, table_dir, rewrite.gen)
+    publish(spark, table_dir, records, rewrite.before, newer_wins=False)
+
+
+def compact_table(spark: SparkSession, table_dir: str) -> str | None:
+    """Rewrite what the table holds as one generation of full-size files; returns its name.
+
+    The old generations stay on disk for readers that are still on them.
+    """
+    rewrite = rewrite_table(spark, table_dir)
+    if rewrite is None:
+        return None
+    publish_rewrite(spark, table_dir, rewrite)
+    return rewrite.gen
 
 
 def catalog_id(spark: SparkSession, table_dir: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,3 +145,39 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sha2(text, 256) AS sha256",
         "sha2(CASE WHEN quality = 0 THEN concat(text, '!') ELSE text END, 256) AS content_sha256",
     )
+
+
+def catalog_in_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with a package name (line breaks and quotes in those of kind 4) and ``kind``, 0 to 4."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "sha2(concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey), 256) AS sha256",
+        "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(CAST(l_quantity AS BIGINT) - 1 AS STRING) END AS vt_detection",
+        "date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss') AS vt_scan_date",
+        "CASE l_returnflag WHEN 'A' THEN 'play.google.com' WHEN 'N' THEN 'anzhi' END AS markets",
+        "l_partkey * 1000 + l_suppkey AS apk_size",
+        """concat('org.', CASE WHEN l_linenumber % 5 = 4 THEN '"a",\n b' ELSE 'a' END, l_partkey) AS pkg_name""",
+        "l_linenumber % 5 AS kind",
+    )
+
+
+def ranked_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fetch log whose attempts name a place in a list; places repeat, and some are in no list."""
+    return retries(spark, sf_dir).withColumn("sample_rank", F.conv(F.substring("sha256", 1, 3), 16, 10).cast("long"))
+
+
+def ranked_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of places, some of them twice; every eleventh row has none."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "CASE WHEN c_custkey % 11 > 0 THEN c_custkey % 3000 END AS sample_rank",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'malware' ELSE 'cleanware' END AS class",
+        "1000 + c_custkey AS apk_size",
+    )
+
+
+def lost_tree(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Files that a listing has beside those of the tree, and that are not there: one for each German labelled text."""
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    rows = table(spark, sf_dir, "documents").where("lang = 'de'").join(labels, "doc_id").selectExpr(
+        "'malware' AS class", "sha2(concat(text, '\n'), 256) AS sha256", "CAST(octet_length(text) AS BIGINT) AS length"
+    )
+    return rows.distinct().withColumn("path", F.concat(F.lit(f"{folder}/gone/"), "sha256"))

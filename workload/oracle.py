@@ -6,8 +6,10 @@ the whole class, copies a row number over the key, audits a join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from sievecraft.spec import CollectionSpec
-from workload.registry import ALL_MARKETS, LATER, SHORT, SMALLER, SPEC, THRESHOLD_0
+from workload.registry import ALL_MARKETS, CUT, LATER, SHORT, SMALLER, SPEC, THRESHOLD_0
 
 RAW = """
 raw AS (
@@ -95,13 +97,13 @@ def _sample(
     return f"{_ranked(spec, mode, raw)} SELECT class, sample_rank, {columns} FROM sample WHERE {where}"
 
 
-def _distribution(granularity: str, spec: CollectionSpec = SPEC) -> str:
+def _distribution(granularity: str, spec: CollectionSpec = SPEC, raw: str = RAW) -> str:
     period = {
         "year": "CAST(year(scan_ts) AS BIGINT)",
         "quarter": "concat(year(scan_ts), '-Q', quarter(scan_ts))",
         "month": "strftime(scan_ts, '%Y-%m')",
     }[granularity]
-    return f"""{_base(spec, 'survey')}
+    return f"""{_base(spec, 'survey', raw)}
 SELECT {period} AS period,
        CAST(count(sha256) AS BIGINT) AS total,
        CAST(count(*) FILTER (WHERE {_mal(spec)}) AS BIGINT) AS malware,
@@ -109,7 +111,7 @@ SELECT {period} AS period,
 FROM base GROUP BY 1 ORDER BY 1"""
 
 
-def _totals(spec: CollectionSpec, mode: str) -> str:
+def _totals(spec: CollectionSpec, mode: str, raw: str = RAW) -> str:
     parts = [
         f"""SELECT '{cls}' AS class, CAST(count(*) AS BIGINT) AS available,
                    coalesce(avg(apk_size), 0.0) AS avg_bytes, CAST({n} AS BIGINT) AS wanted
@@ -119,7 +121,7 @@ def _totals(spec: CollectionSpec, mode: str) -> str:
             ("cleanware", spec.n_cleanware, _clean(spec)),
         )
     ]
-    return f"{_base(spec, mode)}, totals AS ({' UNION ALL '.join(parts)})"
+    return f"{_base(spec, mode, raw)}, totals AS ({' UNION ALL '.join(parts)})"
 
 
 _SUMMARY = """class, available, least(wanted, available) AS requested,
@@ -240,6 +242,67 @@ SELECT class, outcome, CAST(count(*) AS BIGINT) AS attempts,
 FROM attempts GROUP BY class, outcome"""
 
 
+RAW_KINDS = """
+SELECT sha256(concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)) AS sha256,
+       concat('org.', CASE WHEN l_linenumber % 5 = 4 THEN '"a",' || chr(10) || ' b' ELSE 'a' END, l_partkey) AS pkg_name,
+       CASE WHEN l_linenumber <> 7 THEN CAST(l_quantity AS BIGINT) - 1 END AS det,
+       CASE WHEN l_linenumber % 5 <> 3 THEN l_partkey * 1000 + l_suppkey END AS apk_size,
+       CASE l_returnflag WHEN 'A' THEN 'play.google.com' WHEN 'N' THEN 'anzhi' END AS markets
+FROM lineitem"""
+
+UNIQUE = f"""{_base(SHORT, 'collect', RAW_COPIES)},
+one AS (
+  SELECT * FROM base
+  QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY sha256(concat_ws('|', sha256, apk_size, vt_detection, vt_scan_date, markets))) = 1),
+cand AS (
+  SELECT 'malware' AS class, * FROM one WHERE {_mal(SHORT)}
+  UNION ALL SELECT 'cleanware' AS class, * FROM one WHERE {_clean(SHORT)}),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY class ORDER BY sha256(concat('{SHORT.random_seed}:', sha256))) AS sample_rank FROM cand)
+SELECT class, sample_rank, {PLAIN} FROM ranked
+WHERE sample_rank <= CASE class WHEN 'malware' THEN {SHORT.n_malware} ELSE {SHORT.n_cleanware} END"""
+
+BY_PLACE = """WITH log AS (
+  SELECT CAST(('0x' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 3)) AS BIGINT) AS sample_rank,
+         CASE WHEN user_id % 2 = 0 THEN 'malware' ELSE 'cleanware' END AS class,
+         CASE WHEN event_type = 'signup' THEN 'CANCELLED' WHEN event_type = 'error' THEN 'TIMEOUT'
+              WHEN CAST(trunc(value * 100) AS BIGINT) <= 0 THEN 'NO_BYTES'
+              WHEN value > 60 THEN 'VERIFIED' ELSE 'HASH_MISMATCH' END AS outcome
+  FROM events),
+plan AS (
+  SELECT CASE WHEN c_custkey % 11 > 0 THEN c_custkey % 3000 END AS sample_rank,
+         CASE WHEN c_custkey % 2 = 0 THEN 'malware' ELSE 'cleanware' END AS class, 1000 + c_custkey AS apk_size
+  FROM customer),
+a AS (SELECT class, sample_rank, outcome, count(*) AS attempts FROM log GROUP BY ALL),
+p AS (
+  SELECT class, sample_rank, max(apk_size) AS apk_size, count(*) AS plan_rows, CAST(sum(apk_size) AS BIGINT) AS plan_bytes
+  FROM plan GROUP BY ALL)
+SELECT class, sample_rank, outcome, CAST(coalesce(attempts, 0) AS BIGINT) AS attempts, apk_size, plan_rows, plan_bytes,
+       plan_rows IS NOT NULL AS planned
+FROM a FULL OUTER JOIN p USING (class, sample_rank)"""
+
+TREE = """WITH w AS (
+  SELECT CASE WHEN lang = 'en' THEN 'cleanware' ELSE 'malware' END AS class, sha256(text || chr(10)) AS sha256,
+         count(*) AS n
+  FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id) GROUP BY ALL),
+f AS (
+  SELECT CASE WHEN lang = 'en' THEN 'cleanware' ELSE 'malware' END AS class, sha256(text || chr(10)) AS sha256,
+         min(CASE WHEN quality = 0 THEN text || '!' ELSE text END) = min(text) AS good, bool_or(lang = 'de') AS lost
+  FROM documents JOIN labels USING (doc_id) GROUP BY ALL)
+SELECT coalesce(w.class, f.class) AS class, coalesce(w.sha256, f.sha256) AS sha256,
+       CAST(coalesce(w.n, 0) AS BIGINT) AS wanted_rows,
+       CAST(CASE WHEN f.class IS NULL THEN 0 WHEN f.lost THEN 2 ELSE 1 END AS BIGINT) AS files,
+       CASE WHEN w.n IS NULL THEN 'UNEXPECTED' WHEN f.class IS NULL THEN 'MISSING' WHEN NOT f.good THEN 'HASH_MISMATCH'
+            WHEN f.lost THEN 'UNREADABLE' ELSE 'VERIFIED' END AS status
+FROM w FULL OUTER JOIN f ON w.class = f.class AND w.sha256 = f.sha256"""
+
+
+def _steps(query: Callable[[str], str]) -> str:
+    """A query over the whole catalogue and over what is left of it once a source is replaced."""
+    left = RAW.rstrip()[:-1] + " WHERE (l_partkey * 1000 + l_suppkey) % 2 = 0 OR (l_partkey * 1000 + l_suppkey) % 4 = 1)"
+    return " UNION ALL ".join(f"SELECT *, '{step}' AS step FROM ({query(raw)})" for step, raw in (("a", RAW), ("b", left)))
+
+
 def oracle_sql() -> dict[str, str]:
     size_rows = """SELECT class, CAST(sum(apk_size) AS BIGINT) AS bytes FROM sample GROUP BY class
                    UNION ALL SELECT 'total', CAST(sum(apk_size) AS BIGINT) FROM sample"""
@@ -361,6 +424,24 @@ SELECT 'both' AS step, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(apk_size) AS
 SELECT suffix, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(det) AS BIGINT) AS detections,
        CAST(count(scan_ts) AS BIGINT) AS dates
 FROM typed, (VALUES ('csv'), ('parquet')) AS s(suffix) GROUP BY suffix""",
+        "columns_by_header": RAW_KINDS,
+        "refresh_in_compaction": f"""WITH {RAW}
+SELECT 'compacted' AS step, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(apk_size) AS BIGINT) AS bytes
+FROM raw WHERE apk_size % 2 = 0
+UNION ALL SELECT 'refreshed', CAST(count(*) AS BIGINT), CAST(sum(apk_size) AS BIGINT) FROM raw WHERE apk_size % 4 = 1""",
+        "streamed_changes": f"""WITH {RAW}
+SELECT 'a' AS step, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(apk_size) AS BIGINT) AS bytes FROM raw
+UNION ALL SELECT 'b', CAST(count(*) AS BIGINT), CAST(sum(apk_size) AS BIGINT)
+FROM raw WHERE apk_size % 2 = 0 OR apk_size % 4 = 1""",
+        "file_tree_unreadable": TREE,
+        "paired_by_place": BY_PLACE,
+        "sample_one_per_key": UNIQUE,
+        "survey_incremental": _steps(lambda raw: f"""{_totals(CUT, 'survey', raw)}
+SELECT {_SUMMARY}, round(avg_bytes, 4) AS avg_bytes, round({_EST}, 4) AS est_total_mb FROM totals"""),
+        "dist_incremental": _steps(lambda raw: _distribution("month", SPEC, raw)),
+        "live_verdict_changes": f"""{REPEATING}
+UNION ALL SELECT 'changes', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+FROM (SELECT DISTINCT class, sha256 FROM plan JOIN good USING (class, sha256))""",
         "file_tree_audit": """WITH w AS (
   SELECT CASE WHEN lang = 'en' THEN 'cleanware' ELSE 'malware' END AS class, sha256(text || chr(10)) AS sha256,
          count(*) AS n

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions import columns as C
 from sievecraft.operators import classes, fetch, sampling
-from sievecraft.plans import collect, reports
+from sievecraft.plans import collect, incremental, reports
 from sievecraft.scratch import scratch_dir
 from sievecraft.sources import catalog as source
 from sievecraft.sources import files, sample_store
 from sievecraft.spec import CollectionSpec
 from sievecraft.streaming.refresh import stream_refresh
-from sievecraft.streaming.rollup import live_attempts, live_rollup, live_targets
+from sievecraft.streaming.rollup import keep_totals, live_attempts, live_rollup, live_targets, totals_of, verdict_changes
 from workload import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,8 @@ ALL_MARKETS = replace(SPEC, google_play_only=False)
 SHORT = replace(SPEC, n_malware=2000, n_cleanware=1_000_000)
 # A window after the last scan.
 LATER = replace(SPEC, date_start="2030-01-01 00:00:00", date_end="2031-01-01 00:00:00")
+# A window that cuts through its first and its last day; dates are midnights.
+CUT = replace(SPEC, date_start="1996-03-01 12:00:00", date_end="1999-07-04 00:00:00")
 SMALLER = replace(SPEC, n_malware=120, n_cleanware=30)
 
 
@@ -337,7 +339,7 @@ def _split_csv(spark: SparkSession, sf: str, folder: str, where: str) -> None:
     raw = adapters.catalog(spark, sf).where(where)
     missing = [f for f in source.RAW_SCHEMA.fields if f.name not in raw.columns]
     raw = raw.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
-    raw.select(*source.CATALOG_FIELDS).write.option("header", True).option("escape", '"').option(
+    raw.select(*source.CATALOG_FIELDS).write.mode("overwrite").option("header", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(folder)
 
@@ -465,6 +467,125 @@ def live_totals_retries(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(written[-1])
 
 
+def columns_by_header(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of five kinds: fixed columns, another order, columns that nobody knows, an absent one, line breaks in quotes."""
+    folder = scratch_dir(spark)
+    rows = adapters.catalog_in_kinds(spark, sf)
+    missing = [f for f in source.RAW_SCHEMA.fields if f.name not in rows.columns]
+    rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
+    fields = list(source.CATALOG_FIELDS)
+    layouts = [fields, fields[::-1], ["before", *fields, "after"], [f for f in fields if f != "apk_size"], fields]
+    rows = rows.withColumns({"before": F.lit("x"), "after": F.col("pkg_name")})
+    for kind, layout in enumerate(layouts):
+        rows.where(F.col("kind") == kind).select(*layout).write.option("header", True).option("escape", '"').csv(f"{folder}/csv/{kind}")
+    source.refresh_table(spark, f"{folder}/csv/*", f"{folder}/table")
+    return source.read_table(spark, f"{folder}/table").select("sha256", "pkg_name", "det", "apk_size", "markets")
+
+
+def refresh_in_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    """One of two sources is replaced while the table is being compacted: the table holds the new rows, compacted or not."""
+    folder = scratch_dir(spark)
+    table = f"{folder}/table"
+    for name, where in (("a/one", "apk_size % 2 = 0"), ("a/two", "apk_size % 2 = 1"), ("b/two", "apk_size % 4 = 1")):
+        _split_csv(spark, sf, f"{folder}/{name}", where)
+    source.refresh_table(spark, f"{folder}/a/*", table)
+    rewrite = source.rewrite_table(spark, table)
+    source.refresh_table(spark, f"{folder}/{{a/one,b/two}}", table)
+    source.publish_rewrite(spark, table, rewrite)
+    compacted = source.read_table(spark, table).groupBy("gen").agg(F.count("*").alias("n_rows"), F.sum("apk_size").alias("bytes"))
+    return compacted.select(
+        F.when(F.col("gen") == rewrite.gen, "compacted").otherwise("refreshed").alias("step"), "n_rows", "bytes"
+    )
+
+
+def streamed_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The change-aware stream: two folders of files, then one whose files are replaced by others of other rows."""
+    folder = scratch_dir(spark)
+    rows = []
+    for step, odd in (("a", "apk_size % 2 = 1"), ("b", "apk_size % 4 = 1")):
+        for name, where in (("one", "apk_size % 2 = 0"), ("two", odd)):
+            if step == "a" or name == "two":
+                _split_csv(spark, sf, f"{folder}/csv/{name}", where)
+        stream_refresh(spark, f"{folder}/csv/*", f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+        rows.append(_kept(_held(spark, f"{folder}/table", step)))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def file_tree_unreadable(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree of ``file_tree_audit``, with files that were listed and cannot be read any more."""
+    folder = scratch_dir(spark)
+    adapters.file_tree(spark, sf).write.partitionBy("class", "hash").text(f"{folder}/tree")
+    listed = files.listed_files(spark, f"{folder}/tree", "class=*/hash=*/*.txt", r"class=([^/]+)/hash=([^/]+)/[^/]+$")
+    found = files.with_digests(listed.unionByName(adapters.lost_tree(spark, sf, folder)))
+    return fetch.audit_files(adapters.wanted_tree(spark, sf), found)
+
+
+def paired_by_place(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts and plan rows paired by place in the list, places that repeat and that only one side has included."""
+    log = fetch.classify_attempts(adapters.ranked_retries(spark, sf))
+    return fetch.pair_outcomes(log, adapters.ranked_plan(spark, sf))
+
+
+def sample_one_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(collect.collect_sample(adapters.catalog_with_copies(spark, sf), SHORT, one_per_key=True))
+
+
+def _replaced_table(spark: SparkSession, sf: str, report: Callable[[str], DataFrame]) -> DataFrame:
+    """A report after a first refresh, and after a second one that replaced one of two sources."""
+    folder = scratch_dir(spark)
+    for name, where in (("a/one", "apk_size % 2 = 0"), ("a/two", "apk_size % 2 = 1"), ("b/two", "apk_size % 4 = 1")):
+        _split_csv(spark, sf, f"{folder}/{name}", where)
+    rows = []
+    for step, sources in (("a", "a/*"), ("b", "{a/one,b/two}")):
+        source.refresh_table(spark, f"{folder}/{sources}", f"{folder}/table")
+        rows.append(_kept(report(f"{folder}/table")).withColumn("step", F.lit(step)))
+    return rows[0].unionByName(rows[1])
+
+
+def _kept(report: DataFrame) -> DataFrame:
+    """A report as it is now: a few rows."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
+
+
+def survey_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Overview from the summaries of generations; the window cuts through its first and its last day."""
+    out = _replaced_table(spark, sf, lambda t: incremental.survey_overview(spark, t, CUT, on_bad_date="drop"))
+    return out.withColumns({"avg_bytes": F.round("avg_bytes", 4), "est_total_mb": F.round("est_total_mb", 4)})
+
+
+def dist_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    return _replaced_table(spark, sf, lambda t: incremental.survey_distribution(spark, t, SPEC, "month", on_bad_date="drop"))
+
+
+def live_verdict_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals after a stream of eight batches that writes verdict changes only, and how many of these there were."""
+    folder = scratch_dir(spark)
+    events = adapters.table(spark, sf, "events")
+    events.repartitionByRange(8, "event_id").write.parquet(f"{folder}/events")
+    log = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    plan, batches = adapters.repeating_plan(spark, sf), []
+    keep = keep_totals(plan, folder)
+
+    def write(changes: DataFrame, batch_id: int) -> None:
+        batches.append(batch_id)
+        keep(changes, batch_id)
+
+    (
+        verdict_changes(adapters.retries_of(log), plan)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    totals = totals_of(spark.read.parquet(f"{folder}/totals/batch={max(batches)}"))
+    none = F.lit(0).cast("bigint")
+    changed = spark.read.option("basePath", f"{folder}/changes").parquet(f"{folder}/changes").agg(
+        F.lit("changes").alias("class"), F.count("*").alias("succeeded"), none.alias("failed"), none.alias("bytes")
+    )
+    return totals.unionByName(changed)
+
+
 def queries() -> dict[str, Query]:
     return {
         "dist_year": _distribution("year"),
@@ -527,4 +648,13 @@ def queries() -> dict[str, Query]:
         "stream_new_checkpoint": stream_new_checkpoint,
         "open_by_suffix": open_by_suffix,
         "file_tree_audit": file_tree_audit,
+        "columns_by_header": columns_by_header,
+        "refresh_in_compaction": refresh_in_compaction,
+        "streamed_changes": streamed_changes,
+        "file_tree_unreadable": file_tree_unreadable,
+        "paired_by_place": paired_by_place,
+        "sample_one_per_key": sample_one_per_key,
+        "survey_incremental": survey_incremental,
+        "dist_incremental": dist_incremental,
+        "live_verdict_changes": live_verdict_changes,
     }
