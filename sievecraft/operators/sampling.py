@@ -68,6 +68,7 @@ def draw(
     key: str = "sha256",
     identity: list[str] | None = None,
     keys_unique: bool = False,
+    keep_score: bool = False,
 ) -> DataFrame:
     """Draw ``wanted[class]`` rows from each class of ``candidates`` (which has a ``class`` column).
 
@@ -75,7 +76,7 @@ def draw(
 
     ``identity`` names the columns that make up a row; they only matter where a key repeats. ``keys_unique``
     states that no key repeats within a class, as after a check with ``copies.repeated_keys``, and saves the job
-    that would find out.
+    that would find out. ``keep_score`` adds each row's ``_score``.
     """
     columns = [c for c in candidates.columns if c != "class"]
     identity = identity or [c for c in CATALOG_FIELDS if c in columns] or columns
@@ -102,7 +103,7 @@ def draw(
         .where(F.col("_place") <= max(wanted.values()))
         .withColumn("sample_rank", F.col("_before") + F.col("_place"))
         .where(F.col("sample_rank") <= F.col("_wanted"))
-        .select("class", "sample_rank", *columns)
+        .select("class", "sample_rank", *columns, *(["_score"] if keep_score else []))
     )
 
 
