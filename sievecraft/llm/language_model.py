@@ -33,9 +33,9 @@ from sievecraft.scratch import staged
 from sievecraft.shipping import ship
 
 #: Weight of the base distribution after each context; bytes of text in a block; remainder of the held-out fifth.
-MASS, BLOCK_BYTES, REMAINDER = 100.0, 4 << 20, 1
+MASS, BLOCK_BYTES, REMAINDER = 100.0, 2 << 20, 1
 #: Words for one range of hashes.
-RANGE_WORDS = 2_000_000
+RANGE_WORDS = 1_000_000
 #: Hashes of the end and of the start of a text (the start is only ever a context).
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC2B2AE3D27D4EB4F)
 
