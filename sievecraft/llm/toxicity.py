@@ -5,8 +5,8 @@ beginnings, is in documents labelled toxic many times as often as in the others;
 field has a weight for each hashed feature of a token (the word, its beginnings and its end), and for each pair of
 neighbouring labels; it is fitted by gradient ascent on the likelihood, with forward-backward for the expectations.
 
-A text is scored in chains of at most ``CHAIN`` tokens, all of them; forward-backward gives each token's probability of
-being toxic, and a logistic of the largest one and of their sum gives the document's score. Spans are runs of tokens of
+A text is scored whole. It is laid out in chains of ``CHAIN`` tokens, between which forward and backward messages pass, so
+where it is cut does not matter. Forward-backward gives each token's probability of being toxic, and a logistic of the largest one and of their sum gives the document's score. Spans are runs of tokens of
 probability 1/2 or more, by character offset.
 
 Defined results: a null or empty text has the score of no evidence, and no spans; equal texts get equal scores; a document
@@ -50,46 +50,82 @@ def features_of(token: str) -> list[int]:
     return [zlib.crc32(p) % BUCKETS for p in parts]
 
 
-def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each token in a table of chains; a chain never crosses documents."""
+def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column of each token in a table of chains, and which chains open a text; a chain never crosses texts."""
     starts = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
-    rows_before = np.concatenate([[0], np.cumsum(-(-lengths // CHAIN))])[:-1]
-    return np.repeat(rows_before, lengths) + place // CHAIN, place % CHAIN
+    rows = np.cumsum(-(-lengths // CHAIN))
+    rows_before = np.concatenate([[0], rows])[:-1]
+    opens = np.zeros(rows[-1], bool)
+    opens[rows_before[lengths > 0]] = True
+    return np.repeat(rows_before, lengths) + place // CHAIN, place % CHAIN, opens
 
 
-def marginals(emission: np.ndarray, valid: np.ndarray, move: np.ndarray, first: np.ndarray):
+def marginals(
+    emission: np.ndarray, valid: np.ndarray, move: np.ndarray, first: np.ndarray, opens: np.ndarray | None = None, with_pairs: bool = True
+):
     """P(toxic) of each place, pairwise expectations summed, and the log likelihoods' normaliser.
 
-    ``emission``: log weight of label 1 against label 0, by chain and place; ``move[a, b]`` and ``first[a]`` in logs.
+    ``emission``: log weight of label 1 against label 0, by chain and place; ``move[a, b]`` and ``first[a]`` in logs. A chain
+    that does not open a text (``opens``) goes on where the chain before it ends: messages pass from one to the next in both
+    directions, so the result is that of the text as one chain.
     """
     n, width = emission.shape
+    opens = np.ones(n, bool) if opens is None else opens
     weight = np.stack([np.ones_like(emission), np.exp(np.clip(emission, -30, 30))], axis=2)
     step, begin = np.exp(move), np.exp(first)
+    enter, leave = messages(weight, valid, step, begin, opens)
     forward = np.empty((n, width, 2))
     scale = np.ones((n, width))
-    state = weight[:, 0] * begin
+    state = np.where(opens[:, None], begin, enter @ step) * weight[:, 0]
     for t in range(width):
         if t:
             state = np.where(valid[:, t, None], (forward[:, t - 1] @ step) * weight[:, t], forward[:, t - 1])
         scale[:, t] = state.sum(axis=1)
         forward[:, t] = state / scale[:, t, None]
-    backward = np.ones((n, 2))
+    backward = leave
     toxic = np.empty((n, width))
     pairs = np.zeros((2, 2))
     for t in range(width - 1, -1, -1):
         both = forward[:, t] * backward
         toxic[:, t] = both[:, 1] / both.sum(axis=1)
+        ahead = weight[:, t] * backward
+        if with_pairs:
+            counted = valid[:, t] if t else ~opens
+            joint = (forward[:, t - 1] if t else enter)[counted][:, :, None] * step * ahead[counted][:, None, :]
+            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         if t:
-            ahead = weight[:, t] * backward
-            joint = forward[:, t - 1, :, None] * step * ahead[:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            pairs += joint[valid[:, t]].sum(axis=0)
             passed = ahead @ step.T
             backward = np.where(valid[:, t, None], passed / passed.sum(axis=1, keepdims=True), backward)
     return toxic, pairs, float(np.log(scale).sum())
 
 
+def messages(weight: np.ndarray, valid: np.ndarray, step: np.ndarray, begin: np.ndarray, opens: np.ndarray):
+    """What each chain hears from the chains of its text before it (at their last place) and after it (at its own)."""
+    n, width = valid.shape
+    enter, leave = np.full((n, 2), 0.5), np.ones((n, 2))
+    if opens.all():
+        return enter, leave
+    # of each chain, from the label before it to its last label; the label before an opening chain says nothing
+    across = np.where(opens[:, None, None], begin, step) * weight[:, 0, None, :]
+    for t in range(1, width):
+        further = (across @ step) * weight[:, t, None, :]
+        further /= further.sum(axis=(1, 2), keepdims=True)
+        across = np.where(valid[:, t, None, None], further, across)
+    number = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    order = np.argsort(number, kind="stable")
+    ends = np.cumsum(np.bincount(number))
+    for low, high in zip(ends[:-1], ends[1:]):
+        rows = order[low:high]
+        passed = np.einsum("ni,nij->nj", enter[rows - 1], across[rows - 1])
+        enter[rows] = passed / passed.sum(axis=1, keepdims=True)
+    for low, high in zip(ends[-2::-1], ends[:0:-1]):
+        rows = order[low:high]
+        passed = np.einsum("nij,nj->ni", across[rows], leave[rows])
+        leave[rows - 1] = passed / passed.sum(axis=1, keepdims=True)
+    return enter, leave
+
+
 @dataclass
 class Field:
     weights: np.ndarray
@@ -105,23 +141,19 @@ class Field:
         known, weights = self._known, self.weights
         if len(known) > REMEMBERED:
             known.clear()
-        out = np.empty(len(tokens))
-        for i, token in enumerate(tokens):
-            value = known.get(token)
-            if value is None:
-                value = known[token] = float(weights[features_of(token)].sum())
-            out[i] = value
-        return out
+        for token in set(tokens).difference(known):
+            known[token] = float(weights[features_of(token)].sum())
+        return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
 
     def probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         if not lengths.sum():
             return [np.empty(0) for _ in texts]
-        row, column = chains(lengths)
-        emission, valid = np.zeros((row[-1] + 1, CHAIN)), np.zeros((row[-1] + 1, CHAIN), bool)
-        emission[row, column] = np.concatenate([self.emissions(t) for t in texts])
+        row, column, opens = chains(lengths)
+        emission, valid = np.zeros((len(opens), CHAIN)), np.zeros((len(opens), CHAIN), bool)
+        emission[row, column] = self.emissions([token for t in texts for token in t])
         valid[row, column] = True
-        toxic, _, _ = marginals(emission, valid, self.move, self.first)
+        toxic, _, _ = marginals(emission, valid, self.move, self.first, opens, with_pairs=False)
         return np.split(toxic[row, column], np.cumsum(lengths)[:-1])
 
     def scores(self, probabilities: list[np.ndarray]) -> np.ndarray:
@@ -192,22 +224,25 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 30) -> Field:
         return Field(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(2), np.array([np.log(share / (1 - share)), 0, 0]))
     token = np.concatenate(ids)
     target = marked[token] & (np.repeat(labels, lengths) == 1)
-    row, column = chains(lengths)
-    valid, gold = np.zeros((row[-1] + 1, CHAIN), bool), np.zeros((row[-1] + 1, CHAIN))
+    row, column, opens = chains(lengths)
+    valid, gold = np.zeros((len(opens), CHAIN), bool), np.zeros((len(opens), CHAIN))
     valid[row, column], gold[row, column] = True, target
     g = gold.astype(np.int64)
     both = valid[:, 1:] & valid[:, :-1]
-    gold_pairs = np.bincount((2 * g[:, :-1] + g[:, 1:])[both], minlength=4).reshape(2, 2).astype(float)
-    gold_first = np.bincount(g[:, 0], minlength=2).astype(float)
+    goes_on = np.flatnonzero(~opens)
+    gold_pairs = np.bincount((2 * g[:, :-1] + g[:, 1:])[both], minlength=4)
+    gold_pairs += np.bincount(2 * g[goes_on - 1, -1] + g[goes_on, 0], minlength=4)
+    gold_pairs = gold_pairs.reshape(2, 2).astype(float)
+    gold_first = np.bincount(g[opens, 0], minlength=2).astype(float)
     gold_types = np.bincount(token, weights=target, minlength=len(types))
     weights, move, first = np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(2)
     emission, moments = np.zeros_like(gold), [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, move, first)]
     for k in range(1, rounds + 1):
         emission[row, column] = weights[features].sum(axis=1)[token]
-        toxic, pairs, _ = marginals(emission, valid, move, first)
+        toxic, pairs, _ = marginals(emission, valid, move, first, opens)
         spread = gold_types - np.bincount(token, weights=toxic[row, column], minlength=len(types))
         slope = np.bincount(features.ravel(), weights=np.repeat(spread, N_FEATURES), minlength=BUCKETS)
-        starts = np.array([(1 - toxic[:, 0]).sum(), toxic[:, 0].sum()])
+        starts = np.array([(1 - toxic[opens, 0]).sum(), toxic[opens, 0].sum()])
         slopes = (slope - 0.05 * weights, gold_pairs - pairs - 0.05 * move, gold_first - starts - 0.05 * first)
         for p, d, m, rate in zip((weights, move, first), slopes, moments, (0.3, 0.1, 0.1)):
             m[0][:] = 0.9 * m[0] + 0.1 * d
