@@ -8,9 +8,11 @@ scorer of text statistics and byte frequencies (and their squares) minimises the
 with the logistic loss, so that its sigmoid estimates the probability of being good. Where the second part falls below 0,
 a step is taken against it, which keeps it from overfitting. The class prior is estimated: for every region, the share of
 unlabelled texts in it divided by the share of positives in it bounds the prior from above, and the least such bound over
-the upper tails of a first scorer is taken.
+the upper tails of a first scorer is taken. The shares of unlabelled texts are counted over all documents that are not held
+out.
 
-Both training sets are bounded samples; statistics, scores and the result cover all rows and whole texts.
+The weights are fitted on bounded samples of both sets (``POSITIVES``, ``UNLABELLED``); the prior, statistics, scores and
+the result cover all rows and whole texts.
 
 Defined results: null and empty texts have the statistics of an empty text and one and the same score; equal texts get
 equal scores; without trusted positives every score is 0.5; a document labelled both ways counts as a positive; null and
@@ -103,18 +105,38 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return w[:-1], float(w[-1])
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Least upper bound over tails that hold a fifth of the positives or more; one standard error is added."""
+#: Shares of the positives in the tails that are looked at.
+TAILS = np.linspace(0.2, 1.0, 41)
+
+
+def tail_cuts(positive: np.ndarray) -> np.ndarray:
+    """Margins above which these shares of the positives lie."""
+    return np.quantile(positive, 1 - TAILS)
+
+
+def estimated_prior(positive: np.ndarray, above: np.ndarray, unlabelled: int) -> float:
+    """Least upper bound over tails that hold a fifth of the positives or more; one standard error is added.
+
+    ``above``: how many of the unlabelled reach each of ``tail_cuts``.
+    """
     best = 1.0
-    for share in np.linspace(0.2, 1.0, 41):
-        cut = np.quantile(positive, 1 - share)
-        p, u = (positive >= cut).mean(), (unlabelled >= cut).mean()
-        error = np.sqrt(u * (1 - u) / len(unlabelled) + p * (1 - p) / len(positive))
+    for cut, n in zip(tail_cuts(positive), above):
+        p, u = (positive >= cut).mean(), n / unlabelled
+        error = np.sqrt(u * (1 - u) / unlabelled + p * (1 - p) / len(positive))
         best = min(best, (u + error) / max(p, 1e-9))
     return float(np.clip(best, 0.01, 0.99))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Scorer:
+def reaching(margins: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    return (margins[:, None] >= cuts).sum(axis=0)
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, counted=None) -> Scorer:
+    """A scorer from statistics of trusted and of unlabelled texts.
+
+    ``counted`` takes a first scorer and margins, and tells how many of all unlabelled texts reach each, and how many there
+    are; without it the second half of ``unlabelled`` stands for them.
+    """
     width = 2 * (N_STATISTICS + BYTES)
     if not len(positive) or not len(unlabelled):
         return Scorer(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
@@ -122,10 +144,17 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     both = np.concatenate([p, u])
     mean, spread = both.mean(axis=0), both.std(axis=0) + 1e-3
     p, u = np.clip((p - mean) / spread, -6, 6), np.clip((u - mean) / spread, -6, 6)
-    if prior is None:
+    prior = 0.5
+    if len(p) > 1 and len(u) > 1:
         # a first scorer from one half tells positives from unlabelled; the other half bounds the prior
         w, b = minimise(p[::2], u[::2], 0.5, rounds=150)
-        prior = estimated_prior(p[1::2] @ w + b, u[1::2] @ w + b) if len(p) > 1 and len(u) > 1 else 0.5
+        margins = p[1::2] @ w + b
+        cuts = tail_cuts(margins)
+        if counted is None:
+            above, n = reaching(u[1::2] @ w + b, cuts), len(u[1::2])
+        else:
+            above, n = counted(Scorer(mean, spread, w, b, 0.5), cuts)
+        prior = estimated_prior(margins, above, n)
     w, b = minimise(p, u, prior)
     return Scorer(mean, spread, w, b, prior)
 
@@ -160,7 +189,28 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         return train(np.empty((0, N_STATISTICS + BYTES)), np.empty((0, N_STATISTICS + BYTES)))
     rows = rows.sort_values("doc_id").set_index("doc_id").join(kinds)
     x = np.stack(rows["statistics"].to_numpy())
-    return train(x[rows["trusted"].to_numpy() == 1], x[rows["all_trusted"].to_numpy() == 0])
+    everything = docs.where(known).select("doc_id", "text")
+    return train(
+        x[rows["trusted"].to_numpy() == 1], x[rows["all_trusted"].to_numpy() == 0], lambda s, cuts: count_above(everything, s, cuts)
+    )
+
+
+def count_above(docs: DataFrame, scorer: Scorer, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of the texts have a margin of at least each cut, and how many there are. One row of counts for each batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([statistics(t) for t in texts_of(batch)]).astype(np.float64)
+                row = [*reaching(shared.value.margin(x), cuts).tolist(), batch.num_rows]
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in row], names)
+
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    names = [f"n{i}" for i in range(len(cuts) + 1)]
+    counts = docs.mapInArrow(count, ", ".join(f"{n} long" for n in names)).agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names])
+    *above, n = counts.first()
+    return np.array(above), max(int(n), 1)
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
