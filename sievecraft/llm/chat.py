@@ -25,8 +25,8 @@ from sievecraft.scratch import staged
 
 #: Marks of the rendered form.
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Turns in a range of a long dialogue; turn numbers in a block of ``OP7_SQL``.
-RANGE, TURNS = 512, 64
+#: Turns in a range of a long dialogue.
+RANGE = 512
 
 
 def head_of(role: Column, speaker: Column) -> Column:
@@ -117,26 +117,26 @@ def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same in DuckDB for dialogues of turn numbers 0 to ``TURNS`` - 1 and at most ``RANGE`` rows (equal ones included);
-#: this SQL still cuts others every ``TURNS`` turn numbers, so those are tested against plain Python.
+#: The same in DuckDB: ranges by row number over the whole dialogue.
 OP7_SQL = f"""
 WITH t AS (
-  SELECT conv_id, CAST(floor(coalesce(turn, -1) / {TURNS}.0) AS BIGINT) AS block, turn,
-         CASE WHEN trim(role) <> '' THEN trim(role) ELSE 'unknown' END AS role, coalesce(text, '') AS text
+  SELECT conv_id, turn, CASE WHEN trim(role) <> '' THEN trim(role) ELSE 'unknown' END AS role, coalesce(text, '') AS text
   FROM conversations),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
-s AS (SELECT DISTINCT conv_id, block, role AS speaker FROM t WHERE role <> 'system'),
+n AS (
+  SELECT *, (k - 1) // {RANGE} AS block
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t)),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 p AS (
   SELECT n.conv_id, n.block, s.speaker, n.k, n.role = s.speaker AS loss,
          CASE WHEN n.role = 'system' THEN '{START}system' || chr(10)
               WHEN n.role = s.speaker THEN '{START}assistant' || chr(10)
               ELSE '{START}user name=' || n.role || chr(10) END AS head,
          n.text || '<|im_end|>' || chr(10) AS body
-  FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id AND n.block = s.block),
+  FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
 q AS (
   SELECT *, CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, block, speaker ORDER BY k) AS BIGINT) AS stop
   FROM p)
-SELECT conv_id, block, speaker, count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS text,
+SELECT conv_id, CAST(block AS BIGINT) AS block, speaker, count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS text,
        coalesce(string_agg(CASE WHEN loss THEN (stop - length(body)) || '-' || stop END, ',' ORDER BY k), '') AS loss_ranges,
        CAST(sum(CASE WHEN loss THEN length(body) ELSE 0 END) AS BIGINT) AS n_loss_chars
 FROM q GROUP BY conv_id, block, speaker
