@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,7 +156,9 @@ def passages(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             if low + WINDOW > len(words):
                                 continue
                             passage = b" ".join(words[low : high + WINDOW])
-                            for copy in [doc % copies] if doc != shard else range(copies):
+                            # askers are spread by a hash: ids may share a factor with the number of copies
+                            own_copy = xxhash.xxh3_64_intdigest(b"%d %d" % (doc, low)) % copies
+                            for copy in [own_copy] if doc != shard else range(copies):
                                 for column, value in zip(out, (shard, copy, int(doc != shard), doc, key, low, passage)):
                                     column.append(value)
                 kinds = [pa.int64()] * 6 + [pa.binary()]
