@@ -10,7 +10,8 @@ answer and is skipped by a running sum. What is found is verified on the words t
 five-word shingles, of its question and of its answer (its last sentence), that the document has. A document is
 contaminated by an item if it has 0.8 of all shingles, or 0.8 of the question's and half of the answer's.
 
-An index holds at most ``ITEMS`` items, which bounds what is broadcast; more items make more indexes, asked in turn.
+An index holds at most ``ITEMS`` items and ``LETTERS`` of text, which bounds what is broadcast; more items make more indexes,
+asked one after the other: what one finds is written before the next is sent.
 
 Defined results: null and empty texts match nothing; an item without words cannot be found; an item of fewer than five
 words is one shingle; equal items are found each; rows with null or repeated ids are asked each, and matches are reported
@@ -31,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.llm.text import lower_ascii, table, texts_of
+from sievecraft.scratch import staged
 from sievecraft.shipping import ship
 
+LETTERS = 20_000_000
 ITEMS, BLOCK, K1, B, REMEMBERED, AT_ONCE = 20_000, 4, 1.2, 0.75, 400_000, 64
 THRESHOLD, SHARE, ANSWER_SHARE, SHINGLE = 0.6, 0.8, 0.5, 5
 MARKS = b"\"'.,;:!?()[]{}<>*#|"
@@ -194,24 +197,33 @@ MATCHES = "array<struct<item_id:long,bm25:double,overlap:double,question_overlap
 KIND = pa.list_(pa.struct([("item_id", pa.int64()), *((n, pa.float64()) for n in ("bm25", "overlap", "question_overlap", "answer_overlap"))]))
 
 
-def indexes(benchmark: DataFrame, items: int = ITEMS) -> Iterator[Index]:
-    """One index for each ``items`` of the benchmark, by ranges of its order; only one is held at a time."""
+def indexes(benchmark: DataFrame, items: int = ITEMS, letters: int = LETTERS) -> Iterator[Index]:
+    """Indexes of at most ``items`` items and ``letters`` of text each (or one item), by ranges of their order.
+
+    Only one is held at a time, here and by those who stage what they find before they go on.
+    """
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
     part: list[tuple[int, str]] = []
+    size = 0
     for row in rows.toLocalIterator():
-        part.append((row["item_id"], row["text"]))
-        if len(part) == items:
+        if part and (len(part) == items or size + len(row["text"]) > letters):
             yield Index(part)
-            part = []
+            part, size = [], 0
+        part.append((row["item_id"], row["text"]))
+        size += len(row["text"])
     if part:
         yield Index(part)
 
 
-def with_matches(docs: DataFrame, index: Index, threshold: float = THRESHOLD, column: str = "contaminated_by") -> DataFrame:
-    """``docs`` with what contaminates them."""
+def with_matches(
+    docs: DataFrame, index: Index, threshold: float = THRESHOLD, column: str = "contaminated_by", sent: list | None = None
+) -> DataFrame:
+    """``docs`` with what contaminates them; what the index is broadcast as is added to ``sent``."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast([(i.item_id, i.whole, i.question, i.answer) for i in index.items])
     rest = docs.sparkSession.sparkContext.broadcast({k: v for k, v in vars(index).items() if k != "items"})
+    if sent is not None:
+        sent += [shared, rest]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Index.__new__(Index)
@@ -227,13 +239,13 @@ def with_matches(docs: DataFrame, index: Index, threshold: float = THRESHOLD, co
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and item of every verified match."""
-    parts = [
-        with_matches(docs.select("doc_id", "text"), index, threshold)
-        .where(F.size("contaminated_by") > 0)
-        .select("doc_id", F.explode("contaminated_by").alias("m"))
-        .select("doc_id", "m.*")
-        for index in indexes(benchmark)
-    ]
+    parts = []
+    for index in indexes(benchmark):
+        sent: list = []
+        found = with_matches(docs.select("doc_id", "text"), index, threshold, sent=sent).where(F.size("contaminated_by") > 0)
+        parts.append(staged(found.select("doc_id", F.explode("contaminated_by").alias("m")).select("doc_id", "m.*"), "matches"))
+        for part in sent:
+            part.destroy()
     if not parts:
         return docs.limit(0).select(F.col("doc_id"), F.explode(F.lit(None).cast(MATCHES)).alias("m")).select("doc_id", "m.*")
     both = reduce(DataFrame.unionByName, parts)
@@ -242,10 +254,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that hold an item."""
+    """``docs`` without those that hold an item; written once for each index but the last."""
     column = "_sievecraft_matches"
+    sent: list = []
     for index in indexes(benchmark):
-        docs = with_matches(docs, index, threshold, column).where(F.size(column) == 0).drop(column)
+        if sent:
+            docs = staged(docs, "clean")
+            while sent:
+                sent.pop().destroy()
+        docs = with_matches(docs, index, threshold, column, sent).where(F.size(column) == 0).drop(column)
     return docs
 
 
