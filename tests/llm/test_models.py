@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievecraft.llm import chat, quality, sharding, toxicity
+from sievecraft.llm import chat, decontamination, quality, sharding, toxicity
 
 
 @pytest.mark.parametrize("lengths", [[200], [64], [65, 0, 1, 128, 300, 64, 2], [0, 0, 5]])
@@ -95,3 +95,22 @@ def test_op7_equals_its_sql_beyond_a_range(spark, tmp_path):
         (tuple(r[at[n]] for n in names) for r in want.fetchall()), key=key
     )
     assert {r.block for r in got.where("conv_id = 'long'").collect()} == {0, 1, 2}
+
+
+def test_many_indexes_find_what_one_finds(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    item = lambda: " ".join(f"q{x}" for x in rng.integers(0, 4000, 25)) + ". " + " ".join(f"a{x}" for x in rng.integers(0, 4000, 8))
+    items = [item() for _ in range(23)]
+    texts = [" ".join(f"t{x}" for x in rng.integers(0, 4000, 60)) for _ in range(60)]
+    texts = [t + " " + items[i // 2] + " " + t if i % 2 else t for i, t in enumerate(texts[:46])] + texts[46:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = decontamination.contamination(docs, benchmark).select("doc_id", "item_id", "overlap").collect()
+    assert {(r.doc_id, r.item_id) for r in whole} == {(2 * n + 1, n) for n in range(23)}
+    real = decontamination.indexes
+    for limits in ({"items": 5}, {"letters": 600}):
+        monkeypatch.setattr(decontamination, "indexes", lambda b, how=limits: real(b, **how))
+        assert len(list(decontamination.indexes(benchmark))) > 3
+        assert sorted(decontamination.contamination(docs, benchmark).select("doc_id", "item_id", "overlap").collect()) == sorted(whole)
+        kept = decontamination.decontaminated(docs, benchmark)
+        assert {r.doc_id for r in kept.collect()} == set(range(60)) - {2 * n + 1 for n in range(23)}
