@@ -6,11 +6,13 @@ the true cosine by at most ``|e_a| + |s_a q_a| |e_b|``, so a candidate whose upp
 bound of its query in the tile cannot be among the k nearest. The others are recomputed in double precision on the
 original vectors, and heaps of k merge them, within the tile and then over all tiles.
 
-Query blocks are dealt to the candidate parts, one row for each pair of blocks; no pair of vectors is ever a row.
+Blocks meet in groups of ``C_GROUP`` candidate blocks and ``Q_GROUP`` query blocks, and every pair of groups is a task's
+work of bounded size: a block is copied once for each group of the other side and not for each of its blocks. No pair of
+vectors is ever a row.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
 whose length differs from the queries' (each length is searched on its own); equal vectors tie, and ties go to the smaller
-id; repeated ids are candidates each, a query's own id is none; rows without an id take no part; an empty table gives no rows.
+id; repeated ids are candidates each, a query's own id is none; vectors that are queries under one id share one ranking; rows without an id take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from sievecraft.llm.text import table
 from sievecraft.scratch import staged
 from sievecraft.shipping import ship
 
-#: Candidates and queries in a block.
-CANDIDATES, QUERIES = 4096, 512
+#: Candidates and queries in a block, blocks of either in a group.
+CANDIDATES, QUERIES, C_GROUP, Q_GROUP = 4096, 512, 8, 32
 
 
 def usable(vector: Column) -> Column:
@@ -49,6 +51,9 @@ def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def cosine(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """In double precision, by the same sums for every row, so that equal vectors get equal values."""
+    # powers of two, which change no digit, keep squares from overflowing
+    query = np.ldexp(query, -np.frexp(np.abs(query).max())[1])
+    candidates = np.ldexp(candidates, -np.frexp(np.abs(candidates).max(axis=1, keepdims=True))[1])
     dots = (candidates * query).sum(axis=1)
     return dots / (np.sqrt((candidates * candidates).sum(axis=1)) * np.sqrt((query * query).sum()))
 
@@ -107,35 +112,55 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ship(vectors.sparkSession)
     pick = (F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
-    candidates = staged(
-        blocks(vectors.select(*pick).where(good), CANDIDATES, "c").withColumn("part", F.monotonically_increasing_id()),
-        "candidate-blocks",
-    )
-    asked = queries.select(*pick).where(good).dropDuplicates()
-    asked = staged(blocks(asked, QUERIES, "q"), "query-blocks")
-    # each pair of blocks of one width once: the smaller side's rows are copied to the parts of the other
-    parts = candidates.select(F.col("width"), F.col("part"))
-    tiles = asked.join(parts, "width").join(candidates, ["width", "part"])
+    candidates = staged(blocks(vectors.select(*pick).where(good), CANDIDATES, "c"), "candidate-blocks")
+    asked = staged(blocks(queries.select(*pick).where(good).dropDuplicates(), QUERIES, "q"), "query-blocks")
+
+    def groups(rows: DataFrame, size: int, name: str) -> DataFrame:
+        """One row for each length of vectors (at most as many as a vector is long): the number of groups."""
+        return rows.groupBy("width").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+
+    numbers = staged(groups(candidates, C_GROUP, "cs").join(groups(asked, Q_GROUP, "qs"), "width"), "group-numbers")
+
+    def dealt(rows: DataFrame, own: str, other: str, role: int, name: str) -> DataFrame:
+        ids, values = f"{name}_ids", f"{name}_values"
+        rows = rows.join(F.broadcast(numbers), "width").withColumn(f"{own}_at", F.pmod(F.xxhash64(ids), F.col(own)).cast("int"))
+        rows = rows.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return rows.select("width", "cs_at", "qs_at", F.lit(role).alias("role"), F.col(ids).alias("ids"), F.col(values).alias("values"))
+
+    tiles = dealt(candidates, "cs", "qs", 0, "c").unionByName(dealt(asked, "qs", "cs", 1, "q"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                width = row["width"]
-                q_ids, c_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["c_ids"], "<i8")
-                q = np.frombuffer(row["q_values"], "<f8").reshape(-1, width)
-                c = np.frombuffer(row["c_values"], "<f8").reshape(-1, width)
-                out: tuple[list, list, list] = ([], [], [])
-                for query_id, best in nearest_in_tile(q_ids, q, c_ids, c, k):
-                    for score, vec_id in best:
-                        for column, value in zip(out, (query_id, vec_id, score)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    n = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = tiles.repartition(n, "part", F.xxhash64("q_ids")).mapInArrow(search, "query_id long, vec_id long, score double")
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("width", "cs_at", "qs_at", "role"))))
+            for i, (*own, role) in enumerate(keys):
+                if own != tile:
+                    tile, held = own, []
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i8")
+                values = np.frombuffer(batch.column("values")[i].as_py(), "<f8").reshape(-1, own[0])
+                if not role:
+                    held.append((ids, values))
+                elif held:
+                    yield merged_nearest(ids, values, held)
+
+    def merged_nearest(ids: np.ndarray, values: np.ndarray, held: list) -> pa.RecordBatch:
+        heaps: dict[int, list] = {}
+        for c_ids, c_values in held:
+            for query_id, best in nearest_in_tile(ids, values, c_ids, c_values, k):
+                heaps.setdefault(query_id, []).extend(best)
+        rows = [
+            (query_id, vec_id, score)
+            for query_id, found in heaps.items()
+            for score, vec_id in heapq.nlargest(k, found, key=lambda p: (p[0], -p[1]))
+        ]
+        kinds = (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
+    # as many partitions as tiles, so that what a task holds does not grow with the tables
+    tile_count = int(numbers.agg(F.sum(F.col("cs").cast("long") * F.col("qs"))).first()[0] or 0)
+    n = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), tile_count)
+    at = ("width", "cs_at", "qs_at")
+    found = tiles.repartition(n, *at).sortWithinPartitions(*at, "role").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievecraft.llm import chat, decontamination, quality, sharding, toxicity
+from sievecraft.llm import chat, decontamination, neighbours, quality, sharding, toxicity
 
 
 @pytest.mark.parametrize("lengths", [[200], [64], [65, 0, 1, 128, 300, 64, 2], [0, 0, 5]])
@@ -114,3 +114,26 @@ def test_many_indexes_find_what_one_finds(spark, monkeypatch):
         assert sorted(decontamination.contamination(docs, benchmark).select("doc_id", "item_id", "overlap").collect()) == sorted(whole)
         kept = decontamination.decontaminated(docs, benchmark)
         assert {r.doc_id for r in kept.collect()} == set(range(60)) - {2 * n + 1 for n in range(23)}
+
+
+@pytest.mark.parametrize(("candidates", "queries", "c_group", "q_group"), [(7, 3, 2, 2), (50, 2, 1, 5), (4096, 512, 8, 32)])
+def test_neighbours_do_not_depend_on_blocks_and_groups(spark, monkeypatch, candidates, queries, c_group, q_group):
+    for name, value in zip(("CANDIDATES", "QUERIES", "C_GROUP", "Q_GROUP"), (candidates, queries, c_group, q_group)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(300, 12)).round(1)
+    vectors[10:40] = vectors[0]
+    vectors[50] *= 1e200
+    vectors[51] *= 1e-160
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000 + i, [float(i), 1.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 10 = 0"), 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for query in [*range(0, 300, 10), 1000, 1010]:
+        own = [(i, np.array(v)) for i, v in rows if i != query and (i >= 1000) == (query >= 1000)]
+        q = np.array(dict(rows)[query])
+        scores = neighbours.cosine(q, np.stack([v for _, v in own]))
+        want = sorted(zip(-scores, [i for i, _ in own]))[:5]
+        assert got[query] == {n: (i, -s) for n, (s, i) in enumerate(want, 1)}
+    assert len(got) == 32
