@@ -5,9 +5,11 @@
    Registers of a union are the larger ones of both, so sketches merge; equal registers are as likely as sets are alike.
 2. Equal sets are one class from here on, stood for by its smallest document.
 3. Bands of ``ROWS`` registers are bucket keys, as many that sets that are just alike miss every one with a probability
-   below 1e-6: (1 - 0.85^5)^25 for 85 %, (1 - 0.8^5)^35 for 80 %. Within a bucket, classes whose registers agree often enough hang together; a bucket of many
-   classes is dealt into tiles of two blocks each. The components of all this are the candidate groups.
-4. In a candidate group (again in tiles), pairs are ordered by the number of equal registers; the joint likelihood of the
+   below 1e-6: (1 - 0.85^5)^25 for 85 %, (1 - 0.8^5)^35 for 80 %. Within a bucket, classes whose registers agree often
+   enough hang together. In a bucket of more classes than a block, each is first compared with one of them, the hub, in as
+   many tasks as there are blocks; what the hub reaches is connected, and only the rest is compared with all others, in tiles
+   of a block each. The components of all this are the candidate groups.
+4. In a candidate group (again by way of a hub and tiles if it is large), pairs are ordered by the number of equal registers; the joint likelihood of the
    three counts (larger, smaller, equal), given both set sizes, estimates the similarity, and pairs more than 4.5 standard
    errors below the bound are left out. Each other pair whose ends are not yet connected is checked on its full sets. So
    a group of copies takes about one check for each member, and no pair is ever a row.
@@ -144,15 +146,34 @@ def sketches(docs: DataFrame, registers_each: int) -> DataFrame:
     )
 
 
-def tiled(rows: DataFrame, key: str, counts: DataFrame, block: int, by: str) -> DataFrame:
-    """``rows`` with ``mine``, ``t1`` and ``t2``: each pair of blocks of a key's rows is a tile, and rows go to all their tiles."""
-    # one plan at every size: without the hint, small tables are broadcast and larger ones shuffled
-    rows = rows.join(counts.hint("merge"), key)
-    n = F.ceil(F.col("n") / block).cast("int")
-    rows = rows.withColumns({"_n": n, "_block": F.pmod(F.xxhash64(by), n).cast("int")})
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    tiles = {"t1": F.least("_block", "_other"), "t2": F.greatest("_block", "_other")}
-    return rows.withColumns(tiles).withColumnRenamed("_block", "mine").drop("_n", "_other", "n")
+def spokes(members: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows (key, t1, t2, hub, rep): members of large groups (key, rep, n) in blocks, each with its group's hub.
+
+    The hub is the least member; it goes to every block of its group.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    hubs = members.groupBy(key).agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
+    hubs = hubs.select(key, "rep", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("t1"), F.lit(True).alias("hub"))
+    own = members.select(key, "rep", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("t1"), F.lit(False).alias("hub"))
+    return own.unionByName(hubs).withColumn("t2", F.lit(-1))
+
+
+def tiles(members: DataFrame, rest: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows (key, t1, t2, hub, rep): every block of ``rest`` (key, rep) with every block of its group's members (key, rep, n).
+
+    ``hub`` marks the rows of ``rest``.
+    """
+    left = rest.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("r"))
+    sizes = members.groupBy(key).agg(F.max(F.ceil(F.col("n") / block)).cast("int").alias("m")).join(left, key)
+    sizes = staged(sizes, "tile-numbers").hint("merge")
+
+    def dealt(rows: DataFrame, own: str, other: str, hub: bool) -> DataFrame:
+        rows = rows.select(key, "rep").join(sizes, key).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"))
+        rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        t1, t2 = ("_other", "_own") if hub else ("_own", "_other")
+        return rows.select(key, "rep", F.col(t1).alias("t1"), F.col(t2).alias("t2"), F.lit(hub).alias("hub"))
+
+    return dealt(members, "m", "r", False).unionByName(dealt(rest, "r", "m", True))
 
 
 def alike_groups(low: np.ndarray, least_equal: int) -> np.ndarray:
@@ -195,13 +216,39 @@ def candidate_edges(classes: DataFrame, alike: Similarity) -> DataFrame:
             pairs = pa.Table.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
             yield from pairs.to_batches()
 
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, starts in runs(batches, ("key", "t1")):
+            reps, key = part.column("rep").to_numpy(), part.column("key").to_numpy()
+            hub = part.column("hub").to_numpy()
+            low = np.frombuffer(b"".join(part.column("low").to_pylist()), np.uint8).reshape(-1, width)
+            of_hub = np.maximum.accumulate(np.where(hub, np.arange(len(hub)), 0))
+            near = (low == low[of_hub]).sum(axis=1) >= least_equal
+            columns = [key, reps[of_hub], reps, near]
+            yield from pa.Table.from_arrays([pa.array(c[~hub]) for c in columns], ["key", "a", "b", "near"]).to_batches()
+
+    # only classes that share a bucket need their low bytes; one plan at every size: without the hint, small tables are
+    # broadcast and larger ones shuffled
+    members = keys.join(counts.hint("merge"), "key")
+    low = classes.select("rep", "low").hint("merge")
+
+    def dealt(rows: DataFrame, *by: str) -> DataFrame:
+        rows = rows.join(low, "rep").repartition(parts, *by)
+        # the hub comes first
+        return rows.select("key", "t1", "t2", "hub", "rep", "low").sortWithinPartitions(*by, F.desc("hub"))
+
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # only classes that share a bucket need their low bytes
-    rows = tiled(keys, "key", counts, BUCKET_BLOCK, "rep").join(classes.select("rep", "low").hint("merge"), "rep")
-    rows = rows.repartition(parts, "key", "t1", "t2")
-    return rows.select("key", "t1", "t2", "rep", "low").sortWithinPartitions("key", "t1", "t2").mapInArrow(
-        compare, "a long, b long"
+    large = staged(members.where(F.col("n") > BUCKET_BLOCK), "large-buckets")
+    reached = staged(
+        dealt(spokes(large, "key", BUCKET_BLOCK), "key", "t1").mapInArrow(reach, "key long, a long, b long, near boolean"),
+        "hub-reach",
+    )
+    rest = reached.where(~F.col("near")).select("key", F.col("b").alias("rep"))
+    small = members.where(F.col("n") <= BUCKET_BLOCK).select(
+        "key", "rep", F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(False).alias("hub")
     )
+    rows = small.unionByName(tiles(large, rest, "key", BUCKET_BLOCK))
+    edges = dealt(rows, "key", "t1", "t2").mapInArrow(compare, "a long, b long")
+    return edges.unionByName(reached.where("near and a <> b").select("a", "b"))
 
 
 def confirmed(
@@ -249,28 +296,69 @@ def confirmed(
 def confirmed_edges(members: DataFrame, texts: DataFrame, alike: Similarity) -> DataFrame:
     """Confirmed links (a, b) within candidate groups; ``members``: rep, component."""
     counts = staged(members.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
-    members = tiled(members, "component", counts, GROUP_BLOCK, "rep")
-    rows = texts.join(members.hint("merge"), texts["doc_id"] == members["rep"])
+    members = members.join(counts.hint("merge"), "component")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, starts in runs(batches, ("component", "t1", "t2")):
             links = []
             for start, stop in zip(starts, np.append(starts[1:], part.num_rows)):
                 own = part.slice(start, stop - start)
-                ids, t1, t2 = own.column("rep").to_numpy(), own.column("t1")[0].as_py(), own.column("t2")[0].as_py()
-                sets = [shingle_set(lower_ascii(t), SHINGLE) for t in own.column("text").to_pylist()]
+                ids = own.column("rep").to_numpy()
+                sets = [shingle_set(lower_ascii(t or ""), SHINGLE) for t in own.column("text").to_pylist()]
                 # rows that share an id may have other texts than their registers' one
                 width = alike.registers
                 registers = np.stack([registers_of(s, width) if len(s) else np.zeros(width, "<u2") for s in sets])
-                blocks = None if t1 == t2 else own.column("mine").to_numpy()
-                links += confirmed(ids, sets, registers, blocks, alike)
+                side = own.column("hub").to_numpy()
+                links += confirmed(ids, sets, registers, side if side.any() else None, alike)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"]
             )
 
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, hubs = None, []
+        for batch in batches:
+            names = ("component", "t1", "hub", "rep", "text")
+            out: list[list] = [[], [], [], []]
+            for component, t1, is_hub, rep, text in zip(*(batch.column(c).to_pylist() for c in names)):
+                own = shingle_set(lower_ascii(text or ""), SHINGLE)
+                if group != (component, t1):
+                    group, hubs = (component, t1), []
+                if is_hub:
+                    hubs.append((rep, own))
+                    continue
+                near = any(alike_sets(own, h, alike) for _, h in hubs)
+                for column, value in zip(out, (component, hubs[0][0] if hubs else rep, rep, near)):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["component", "a", "b", "near"])
+
+    def dealt(rows: DataFrame, *by: str) -> DataFrame:
+        rows = texts.join(rows.hint("merge"), texts["doc_id"] == rows["rep"]).repartition(parts, *by)
+        return rows.select("component", "t1", "t2", "hub", "rep", "text").sortWithinPartitions(*by, F.desc("hub"), "rep")
+
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "component", "t1", "t2").sortWithinPartitions("component", "t1", "t2", "rep")
-    return rows.select("component", "t1", "t2", "mine", "rep", "text").mapInArrow(check, "a long, b long")
+    large = staged(members.where(F.col("n") > GROUP_BLOCK), "large-groups")
+    reached = staged(
+        dealt(spokes(large, "component", GROUP_BLOCK), "component", "t1").mapInArrow(
+            reach, "component long, a long, b long, near boolean"
+        ),
+        "hub-links",
+    )
+    # a member with several texts (of an id that repeats) is done only if the hub has reached them all
+    rest = reached.groupBy("component", F.col("b").alias("rep")).agg(F.bool_and("near").alias("near")).where("not near").drop("near")
+    small = members.where(F.col("n") <= GROUP_BLOCK).select(
+        "component", "rep", F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(False).alias("hub")
+    )
+    rows = small.unionByName(tiles(large, rest, "component", GROUP_BLOCK))
+    links = dealt(rows, "component", "t1", "t2").mapInArrow(check, "a long, b long")
+    return links.unionByName(reached.where("near and a <> b").select("a", "b"))
+
+
+def alike_sets(a: np.ndarray, b: np.ndarray, alike: Similarity) -> bool:
+    if not len(a) or not len(b) or min(len(a), len(b)) * alike.denominator < alike.numerator * max(len(a), len(b)):
+        return False
+    common = np.intersect1d(a, b, assume_unique=True).size
+    return alike.denominator * common >= alike.numerator * (len(a) + len(b) - common)
 
 
 def near_duplicates(docs: DataFrame, alike: Similarity = OP4) -> DataFrame:
