@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievecraft.llm import chat, decontamination, neighbours, quality, sharding, toxicity
+from sievecraft.llm import chat, decontamination, neardup, neighbours, quality, sharding, toxicity
+from tests.llm.test_operators import brute_groups
 
 
 @pytest.mark.parametrize("lengths", [[200], [64], [65, 0, 1, 128, 300, 64, 2], [0, 0, 5]])
@@ -137,3 +138,25 @@ def test_neighbours_do_not_depend_on_blocks_and_groups(spark, monkeypatch, candi
         want = sorted(zip(-scores, [i for i, _ in own]))[:5]
         assert got[query] == {n: (i, -s) for n, (s, i) in enumerate(want, 1)}
     assert len(got) == 32
+
+
+@pytest.mark.parametrize("block", [3, 10])
+def test_large_groups_lose_no_link(spark, monkeypatch, block):
+    """Groups of near copies far above a block, some of whose links no hub has, against brute force."""
+    monkeypatch.setattr(neardup, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(neardup, "GROUP_BLOCK", block)
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    texts = []
+    for k in range(60):  # a chain that drifts away from its beginning, and copies with a word or two changed
+        near = list(base)
+        for at in range(0, 5 * (k // 6), 5):
+            near[at] = f"drift{at}"
+        near[399 - k] = "changed"
+        texts.append(" ".join(near))
+    texts += [" ".join([*base[:200], *(f"z{x}" for x in rng.integers(0, 10**6, 200))]) for _ in range(5)]
+    rows = list(enumerate(texts)) + [(7, texts[61]), (7, texts[7]), (500, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for alike, percent in ((neardup.OP4, 85), (neardup.GENERAL, 80)):
+        got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, alike).collect()}
+        assert got == set(brute_groups(rows, percent).items())
