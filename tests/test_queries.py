@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 WRITES = {
     "typed_table", "refresh_twice", "streamed_table", "stored_sample", "hash_export", "live_totals", "live_totals_retries",
     "stored_sample_by_key", "store_damaged", "refresh_replaced", "refresh_failed", "stream_new_checkpoint",
-    "open_by_suffix", "file_tree_audit", "survey_bad_date",
+    "open_by_suffix", "file_tree_audit", "survey_bad_date", "columns_by_header", "refresh_in_compaction",
+    "streamed_changes", "file_tree_unreadable", "survey_incremental", "dist_incremental", "live_verdict_changes",
 }
 
 
