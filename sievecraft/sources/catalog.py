@@ -34,6 +34,7 @@ from sievecraft.sources.manifest import (
     publish,
     read_manifest,
     snapshot,
+    version_files,
 )
 from sievecraft.sources.schema import CATALOG_FIELDS, RAW_SCHEMA, TABLE_SCHEMA, require_utc  # noqa: F401
 
@@ -219,8 +220,9 @@ def refresh_table(
     )
 
 
-# Generations of tables by version, which never change: (generation, whether it holds rows that are not to be read).
-_generations: dict[tuple[str, str, int], list[tuple[str, bool]]] = {}
+# The files of the last version that was read of each table, which never changes, and its generations: (name, whether it
+# holds rows that are not to be read).
+_generations: dict[tuple[str, str], tuple[tuple[str, ...], list[tuple[str, bool]]]] = {}
 
 
 def _pairs(spark: SparkSession, table_dir: str, version: int) -> DataFrame:
@@ -234,11 +236,11 @@ def read_table(spark: SparkSession, table_dir: str) -> DataFrame:
     """The catalogue as the manifest has it now. The manifest is read once for each version."""
     require_utc(spark)
     version = latest_version(spark, table_dir)
-    key = (spark.sparkContext.applicationId, table_dir, version)
-    if key not in _generations:
+    key, files = (spark.sparkContext.applicationId, table_dir), version_files(spark, table_dir, version)
+    if key not in _generations or _generations[key][0] != files:
         by_gen = _pairs(spark, table_dir, version).groupBy("gen").agg(F.bool_or("live").alias("any"), F.bool_and("live").alias("all"))
-        _generations[key] = [(r.gen, not r["all"]) for r in by_gen.where("any").collect()]
-    gens = _generations[key]
+        _generations[key] = files, [(r.gen, not r["all"]) for r in by_gen.where("any").collect()]
+    gens = _generations[key][1]
     if not gens:
         return spark.createDataFrame([], TABLE_SCHEMA)
     data = f"{table_dir}/data"

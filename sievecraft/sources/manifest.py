@@ -47,6 +47,14 @@ def latest_version(spark: SparkSession, table_dir: str) -> int:
     return max((int(n.split("=")[1]) for n in names if n.startswith("version=")), default=0)
 
 
+def version_files(spark: SparkSession, table_dir: str, version: int) -> tuple[str, ...]:
+    """The names of a version's files, which no other version of any table shares."""
+    if not version:
+        return ()
+    path, store = folder(spark, f"{table_dir}/manifest/version={version}")
+    return tuple(sorted(s.getPath().getName() for s in store.listStatus(path)))
+
+
 def renamed(spark: SparkSession, old: str, new: str) -> bool:
     """Whether the folder now has the new name; false where that is taken."""
     jvm = spark._jvm

@@ -355,3 +355,13 @@ def test_fingerprint_tells_pairs_of_equal_rows_apart(spark, folder):
     assert refresh(spark, folder) == (0, 0)  # size and time are as recorded
     assert refresh(spark, folder, check_content=True) == (1, 3)
     assert keys(spark, folder) == [2, 2, 3]
+
+
+def test_table_that_is_made_anew(spark, folder):
+    """Another table under the name and version of one that was read."""
+    refresh(spark, folder)
+    assert keys(spark, folder) == list(range(1, 11))
+    (folder / "table").rename(folder / "old")
+    write(folder / "csv" / "a.csv", [row(77)])
+    refresh(spark, folder)
+    assert manifest.latest_version(spark, f"{folder}/table") == 1 and keys(spark, folder) == [77]

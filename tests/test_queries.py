@@ -12,6 +12,7 @@ WRITES = {
     "stored_sample_by_key", "store_damaged", "refresh_replaced", "refresh_failed", "stream_new_checkpoint",
     "open_by_suffix", "file_tree_audit", "survey_bad_date", "columns_by_header", "refresh_in_compaction",
     "streamed_changes", "file_tree_unreadable", "survey_incremental", "dist_incremental", "live_verdict_changes",
+    "sample_from_summaries",
 }
 
 

@@ -439,6 +439,7 @@ FROM raw WHERE apk_size % 2 = 0 OR apk_size % 4 = 1""",
         "survey_incremental": _steps(lambda raw: f"""{_totals(CUT, 'survey', raw)}
 SELECT {_SUMMARY}, round(avg_bytes, 4) AS avg_bytes, round({_EST}, 4) AS est_total_mb FROM totals"""),
         "dist_incremental": _steps(lambda raw: _distribution("month", SPEC, raw)),
+        "sample_from_summaries": _steps(lambda raw: _sample(SPEC, raw=raw, columns="sha256, apk_size")),
         "live_verdict_changes": f"""{REPEATING}
 UNION ALL SELECT 'changes', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
 FROM (SELECT DISTINCT class, sha256 FROM plan JOIN good USING (class, sha256))""",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions import columns as C
 from sievecraft.operators import classes, fetch, sampling
-from sievecraft.plans import collect, incremental, reports
+from sievecraft.plans import collect, incremental, reports, summaries
 from sievecraft.scratch import scratch_dir
 from sievecraft.sources import catalog as source
 from sievecraft.sources import files, sample_store
@@ -557,6 +557,18 @@ def dist_incremental(spark: SparkSession, sf: str) -> DataFrame:
     return _replaced_table(spark, sf, lambda t: incremental.survey_distribution(spark, t, SPEC, "month", on_bad_date="drop"))
 
 
+def sample_from_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples merged from the summaries of generations, of which the second refresh adds one."""
+
+    def draw(table: str) -> DataFrame:
+        sample = summaries.sample_from_summaries(spark, table, f"{table}-samples", SPEC, on_bad_date="drop")
+        if sample is None:
+            raise ValueError("the summaries cannot tell")
+        return sample.select("class", "sample_rank", "sha256", "apk_size")
+
+    return _replaced_table(spark, sf, draw)
+
+
 def live_verdict_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Totals after a stream of eight batches that writes verdict changes only, and how many of these there were."""
     folder = scratch_dir(spark)
@@ -656,5 +668,6 @@ def queries() -> dict[str, Query]:
         "sample_one_per_key": sample_one_per_key,
         "survey_incremental": survey_incremental,
         "dist_incremental": dist_incremental,
+        "sample_from_summaries": sample_from_summaries,
         "live_verdict_changes": live_verdict_changes,
     }
