@@ -53,14 +53,14 @@ def test_cells_equal_the_full_scan_after_refreshes(spark, folder):
     table = f"{folder}/table"
     source.refresh_table(spark, f"{folder}/csv", table)
     assert len(incremental.summarise(spark, table)) == 1
-    compare(spark, table)
+    compare(spark, table, SPECS[::2])
     (folder / "csv" / "1.csv").write_text(csv_text(rows_of(7, 30)))
     (folder / "csv" / "2.csv").unlink()
     source.refresh_table(spark, f"{folder}/csv", table)
     first = {p.name for p in (folder / "table" / "survey").glob("gen=*")}
     (gen,) = incremental.summarise(spark, table)
     assert f"gen={gen}" not in first and incremental.summarise(spark, table) == []
-    compare(spark, table, SPECS[1:2])
+    compare(spark, table, SPECS[1::2])
     source.compact_table(spark, table)
     compare(spark, table, SPECS[:1])
 
