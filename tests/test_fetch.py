@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sievecraft.operators import fetch
@@ -250,3 +251,28 @@ def test_inventory_is_not_shuffled_for_a_short_list(spark, sample, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_tasks_list_the_folders_of_a_tree(spark, tmp_path, monkeypatch):
+    """One folder for each file: neither the driver's listing nor Spark's writer goes through them one by one."""
+    tree = f"{tmp_path}/tree"
+    rows = [(f"class={c}/hash={h}/part-0.txt", h.encode()) for c in ("a", "b") for h in ("AB", "cd", "__HIVE_DEFAULT_PARTITION__")]
+    rows += [("class=a/hash=ab/_hidden.txt", b""), ("class=a/hash=ab/other.csv", b""), ("class=a/part-0.txt", b""), ("x/hash=ab/part-0.txt", b"")]
+    rows += [("class=b/hash=ef/folder.txt/part-0.bin", b"four"), ("class=b/hash=ef/folder.txt/below/part-0.bin", b"")]
+    files.write_files(spark.createDataFrame(rows, "path string, content binary"), tree)
+    how = (spark, tree, "class=*/hash=*/*.txt", r"class=([^/]+)/hash=([^/]+)/")
+    by_spark = files._files(*how).select("class", "sha256", "length", "path").collect()
+
+    def refuse(*_):
+        raise AssertionError("listed by the driver")
+
+    monkeypatch.setattr(files, "_files", refuse)
+    got = files.listed_files(*how)
+    assert sorted(got.collect()) == sorted(by_spark) and got.count() == 7
+    assert {r.content_sha256 for r in files.hashed_files(*how).collect()} >= {sha("AB"), sha("four")}
+
+
+def test_a_tree_without_files_is_refused_as_before(spark, tmp_path):
+    (tmp_path / "malware").mkdir()
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        files.listed_files(spark, str(tmp_path))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievecraft.sources import files as files_on_disk
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -117,6 +119,20 @@ def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("class", "hash").agg({"value": "min"}).withColumnRenamed("min(value)", "value")
 
 
+def write_tree(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The files of ``file_tree`` in folders by class and hash; each ends in a line break."""
+    tree = file_tree(spark, sf_dir)
+    if not files_on_disk.tasks_open(spark, folder):
+        tree.write.partitionBy("class", "hash").text(folder)
+        return
+    line = F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).cast("binary")
+    name = F.concat_ws(
+        "/", F.concat(F.lit("class="), "class"),
+        F.concat(F.lit("hash="), F.coalesce("hash", F.lit("__HIVE_DEFAULT_PARTITION__"))), F.lit("part-0.txt"),
+    )
+    files_on_disk.write_files(tree.select(name.alias("path"), line.alias("content")), folder)
+
+
 def wanted_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted files of the tree: every document that is not labelled toxic."""
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")

@@ -406,7 +406,7 @@ def open_by_suffix(spark: SparkSession, sf: str) -> DataFrame:
 def file_tree_audit(spark: SparkSession, sf: str) -> DataFrame:
     """``documents`` as files in folders by class and hash, read back, hashed and compared with the wanted ones."""
     folder = scratch_dir(spark)
-    adapters.file_tree(spark, sf).write.partitionBy("class", "hash").text(f"{folder}/tree")
+    adapters.write_tree(spark, sf, f"{folder}/tree")
     found = files.hashed_files(spark, f"{folder}/tree", "class=*/hash=*/*.txt", r"class=([^/]+)/hash=([^/]+)/[^/]+$")
     return fetch.audit_files(adapters.wanted_tree(spark, sf), found)
 
@@ -514,7 +514,7 @@ def streamed_changes(spark: SparkSession, sf: str) -> DataFrame:
 def file_tree_unreadable(spark: SparkSession, sf: str) -> DataFrame:
     """The tree of ``file_tree_audit``, with files that were listed and cannot be read any more."""
     folder = scratch_dir(spark)
-    adapters.file_tree(spark, sf).write.partitionBy("class", "hash").text(f"{folder}/tree")
+    adapters.write_tree(spark, sf, f"{folder}/tree")
     listed = files.listed_files(spark, f"{folder}/tree", "class=*/hash=*/*.txt", r"class=([^/]+)/hash=([^/]+)/[^/]+$")
     found = files.with_digests(listed.unionByName(adapters.lost_tree(spark, sf, folder)))
     return fetch.audit_files(adapters.wanted_tree(spark, sf), found)
