@@ -16,14 +16,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import secrets
 import time
 import warnings
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievecraft.functions.columns import SCAN_DATE_PATTERN
 from sievecraft.operators.classes import with_typed_columns
 from sievecraft.sources.csv_files import bound_rows
 from sievecraft.sources.manifest import (
@@ -41,10 +44,17 @@ from sievecraft.sources.schema import CATALOG_FIELDS, RAW_SCHEMA, TABLE_SCHEMA,
 # Fixed value: two modification times closer than this (in seconds) are the same.
 MTIME_TOLERANCE = 0.1
 
-# Catalogue bytes behind one write task: some 100 MB of Parquet.
-TARGET_BYTES = 256 * 1024 * 1024
+# Catalogue bytes (as plain text) behind one write task, which sorts them: some 50 MB of Parquet.
+TARGET_BYTES = 128 * 1024 * 1024
 _SMALL_BYTES = 16 * 1024 * 1024
 
+# Names of compressed files, and about how much text one of their bytes stands for.
+COMPRESSED = r"\.(gz|bz2|deflate|zst|xz)$"
+TEXT_OF_COMPRESSED = 3
+
+# Columns of hex digits, which travel as bytes.
+_HEX = ("sha256", "sha1", "md5")
+
 
 def read_csv(spark: SparkSession, paths: str | list[str], mode: str = "FAILFAST") -> DataFrame:
     """Catalogue CSV files under the fixed schema, columns by header; empty fields are NULL.
@@ -92,12 +102,35 @@ def is_current(spark: SparkSession, path: str, table_dir: str) -> bool:
     return changed_sources(listing, live).isEmpty() and gone.isEmpty()
 
 
+def text_size(path: str, size: int) -> int:
+    """About how many bytes of text a source file holds."""
+    return size * (TEXT_OF_COMPRESSED if re.search(COMPRESSED, path) else 1)
+
+
+def _kind(name: str) -> Column:
+    """What a text is: 1 and 2 for hex digits in lower and in upper case, else 0."""
+    digits = F.hex(F.unhex(name))
+    return F.when(F.lower(digits) == F.col(name), 1).when(digits == F.col(name), 2).otherwise(0)
+
+
+def _packed(name: str) -> Column:
+    """Hex digits as half as many bytes, any other text as it is."""
+    return F.when(_kind(name) > 0, F.unhex(name)).otherwise(F.col(name).cast("binary")).alias(name)
+
+
+def _unpacked(name: str) -> Column:
+    kind = F.shiftright("_kinds", 2 * _HEX.index(name)).bitwiseAND(3)
+    text = F.when(kind == 1, F.lower(F.hex(name))).when(kind == 2, F.hex(name))
+    return text.otherwise(F.col(name).cast("string")).alias(name)
+
+
 def write_generation(raw: DataFrame, table_dir: str, gen: str, n_bytes: int) -> None:
-    """Write raw rows (with ``source_path``) as one generation of typed, time-ordered Parquet.
+    """Write raw rows (with ``source_path``; ``n_bytes`` as plain text) as one generation of typed, time-ordered Parquet.
 
     Ranges over year and time give every task one stretch of time, so that there are no more files than years and
     tasks together, and row groups can be skipped by time. The row id as last key lets a year, or a pile of equal dates (all the
-    never-scanned rows), spread over as many tasks as it fills. Hex hashes are most of a row, and zstd halves them.
+    never-scanned rows), spread over as many tasks as it fills. Rows travel narrow: hex hashes, most of a row, and the source's
+    id as bytes, no scan date that its time gives back, and no detections, which are parsed again. Zstd halves what is written.
     """
     spark = raw.sparkSession
     n_tasks = max(
@@ -105,12 +138,30 @@ def write_generation(raw: DataFrame, table_dir: str, gen: str, n_bytes: int) ->
         min(spark.sparkContext.defaultParallelism, math.ceil(n_bytes / _SMALL_BYTES)),
         1,
     )
-    typed = with_typed_columns(raw).withColumns(
-        {"source_id": source_id(), "scan_year": F.year("scan_ts"), "_row": F.monotonically_increasing_id()}
+    text_of_time = F.date_format("scan_ts", SCAN_DATE_PATTERN)
+    typed = with_typed_columns(raw.select(*CATALOG_FIELDS, "source_path")).withColumns(
+        {"source_id": F.unhex(F.sha2("source_path", 256)), "scan_year": F.year("scan_ts"), "_row": F.monotonically_increasing_id()}
     )
-    (
-        typed.repartitionByRange(n_tasks, "scan_year", "scan_ts", "_row")
+    kinds = reduce(Column.__add__, [F.shiftleft(_kind(c), 2 * i) for i, c in enumerate(_HEX)])
+    date = F.when(~F.col("vt_scan_date").eqNullSafe(text_of_time), F.col("vt_scan_date"))
+    # what is often alike in neighbouring rows comes first and together: it compresses to next to nothing
+    narrow = typed.select(
+        "source_id", *[_packed(c) for c in _HEX], kinds.alias("_kinds"), "scan_year", "dex_size", "vercode", "dex_date",
+        date.alias("vt_scan_date"), "pkg_name", "scan_ts", "apk_size", "_row", "vt_detection", "markets",
+    )
+    rows = (
+        narrow.repartitionByRange(n_tasks, "scan_year", "scan_ts", "_row")
         .sortWithinPartitions("scan_year", "scan_ts")
+        .withColumns({c: _unpacked(c) for c in _HEX})
+        .withColumns(
+            {
+                "vt_scan_date": F.coalesce("vt_scan_date", text_of_time),
+                "source_id": F.concat(F.lit("s"), F.lower(F.hex("source_id"))),
+            }
+        )
+    )
+    (
+        with_typed_columns(rows)
         .select(*CATALOG_FIELDS, "det", "scan_ts", "source_id", "scan_year")
         .write.mode("overwrite")
         .option("compression", "zstd")
@@ -136,8 +187,11 @@ def records_of(sources: DataFrame, table_dir: str, gen: str, fingerprint: bool =
     spark = sources.sparkSession
     schema = [f for f in TABLE_SCHEMA.fields if f.name != "gen"]
     written = spark.read.schema(type(TABLE_SCHEMA)(schema)).parquet(f"{table_dir}/data/gen={gen}")
-    content = row_fingerprint() if fingerprint else F.first(F.lit(None).cast("string"))
-    counts = written.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"), content.alias("content_hash"))
+    content = [row_fingerprint().alias("content_hash")] if fingerprint else []
+    counts = written.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"), *content)
+    if not fingerprint:
+        # not a text in the aggregate: Spark would sort all rows for it
+        counts = counts.withColumn("content_hash", F.lit(None).cast("string"))
     return (
         sources.withColumn("source_id", source_id())
         .join(counts, "source_id", "left")
@@ -209,7 +263,7 @@ def refresh_table(
         return spark.createDataFrame([(0, 0)], "files bigint, n_rows bigint")
     gen = new_generation()
     raw = bound_rows(spark, [r.source_path for r in todo], csv_mode)
-    write_generation(raw, table_dir, gen, sum(r.size for r in todo))
+    write_generation(raw, table_dir, gen, sum(text_size(r.source_path, r.size) for r in todo))
     sources = spark.createDataFrame(todo, listing.schema)
     records = records_of(sources, table_dir, gen, fingerprint or check_content).unionByName(retired(gone))
     publish(spark, table_dir, records, before)
@@ -263,7 +317,8 @@ class Rewrite(NamedTuple):
 def rewrite_table(spark: SparkSession, table_dir: str) -> Rewrite | None:
     """Writes what the table holds as one generation of full-size files, which nobody reads yet."""
     before = snapshot(spark, table_dir)
-    total = before.live.agg(F.sum("size")).first()[0]
+    text = F.col("size") * F.when(F.col("source_path").rlike(COMPRESSED), TEXT_OF_COMPRESSED).otherwise(1)
+    total = before.live.agg(F.sum(text)).first()[0]
     if total is None:
         return None
     gen = new_generation()

@@ -48,9 +48,9 @@ def headers(spark: SparkSession, urls: list[str]) -> DataFrame:
     # within a partition the lines of a block are in order
     at = F.when((F.col("_block") == 0) & (F.trim("value") != ""), F.col("_row"))
     odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return lines.groupBy("source_path").agg(
-        F.min_by("value", at).alias("header"), F.bool_or(odd % 2 == 1).alias("breaks")
-    )
+    # a set of one value at most, and not bool_or: with a set Spark aggregates in a map of files, and without sorts all lines
+    broken = F.collect_set(F.when(odd % 2 == 1, F.lit(True)))
+    return lines.groupBy("source_path").agg(F.min_by("value", at).alias("header"), (F.size(broken) > 0).alias("breaks"))
 
 
 def columns_of(header: str, source: str) -> tuple[str, ...]:

@@ -91,7 +91,7 @@ def apply_changes(spark: SparkSession, changes: DataFrame, csv_dir: str, table_d
     records = manifest.read_manifest(spark, table_dir, 0).select(*manifest.RECORD)
     if todo:
         raw = catalog.bound_rows(spark, [r.source_path for r in todo], csv_mode)
-        catalog.write_generation(raw, table_dir, gen, sum(r["size"] for r in todo))
+        catalog.write_generation(raw, table_dir, gen, sum(catalog.text_size(r.source_path, r["size"]) for r in todo))
         sources = spark.createDataFrame(todo, "source_path string, size long, mtime timestamp")
         records = catalog.records_of(sources, table_dir, gen)
     elif gone.isEmpty():

@@ -9,7 +9,7 @@ from sievecraft.operators import classes
 from sievecraft.plans import reports
 from sievecraft.sources import catalog as source
 from sievecraft.sources import csv_files, manifest
-from tests.fixtures import TEN, csv_text, row, tuples
+from tests.fixtures import TEN, catalog, csv_text, row, tuples
 
 ROWS = [row(i, *values) for i, values in enumerate(TEN, 1)]
 SPEC = CollectionSpec("2014-01-01 00:00:00", "2025-12-31 23:59:59", malware_threshold=1)
@@ -365,3 +365,34 @@ def test_table_that_is_made_anew(spark, folder):
     write(folder / "csv" / "a.csv", [row(77)])
     refresh(spark, folder)
     assert manifest.latest_version(spark, f"{folder}/table") == 1 and keys(spark, folder) == [77]
+
+
+def test_no_scan_of_lines_or_rows_sorts_them(spark, tmp_path):
+    """Headers of files and counts of sources come from maps of a few keys, whatever the files hold."""
+    (tmp_path / "a.csv").write_text(csv_text([row(1), row(2, name='two\nlines')]))
+    url = f"file:{tmp_path}/a.csv"
+    found = csv_files.headers(spark, [url])
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.header.split(",")[0], r.breaks) for r in found.collect()] == [("sha256", True)]
+    raw = catalog(spark, [row(1), row(2)]).withColumn("source_path", F.lit(url))
+    source.write_generation(raw, f"{tmp_path}/table", "one", 1)
+    sources = spark.createDataFrame([(url, 1, None)], "source_path string, size long, mtime timestamp")
+    records = source.records_of(sources, f"{tmp_path}/table", "one")
+    assert "SortAggregate" not in records._jdf.queryExecution().executedPlan().toString()
+    assert [(r.n_rows, r.content_hash) for r in records.collect()] == [(2, None)]
+
+
+def test_rows_travel_narrow_and_come_back_as_they_were(spark, tmp_path):
+    hashes = ["AB" * 32, "ab" * 32, "aB" * 32, "abc", "", "xyz", "é", None]
+    dates = ["2023-01-01 00:00:00", "2023-1-1 0:0:0", "0000-01-01 00:00:00", "bad", "", None, "9999-12-31 23:59:59", "2023-02-30 00:00:00"]
+    rows = [(h, g, *row(1, date=d)[2:]) for h, g, d in zip(hashes, hashes[1:] + hashes[:1], dates, strict=True)]
+    raw = catalog(spark, rows).withColumn("source_path", F.lit("file:/x.csv"))
+    source.write_generation(raw, f"{tmp_path}/table", "one", 1)
+    held = spark.read.schema(source.TABLE_SCHEMA).option("basePath", f"{tmp_path}/table/data").parquet(f"{tmp_path}/table/data/gen=one")
+    got = held.select(*source.CATALOG_FIELDS, "det", "scan_ts", "source_id", "scan_year")
+    want = classes.with_typed_columns(raw).withColumns({"source_id": source.source_id(), "scan_year": F.year("scan_ts")})
+    assert got.exceptAll(want.select(got.columns)).isEmpty() and got.count() == len(rows)
+    # what is shuffled, and sorted in memory, holds hex digits as bytes
+    packed = raw.select(source._packed("sha256"))
+    assert [len(r[0]) for r in packed.limit(2).collect()] == [32, 32]
+    assert source.text_size("file:/x.csv.gz", 10) == 30 and source.text_size("file:/x.csv", 10) == 10

@@ -16,7 +16,7 @@ from sievecraft.operators import classes, fetch, sampling
 from sievecraft.plans import collect, incremental, reports, summaries
 from sievecraft.scratch import scratch_dir
 from sievecraft.sources import catalog as source
-from sievecraft.sources import files, sample_store
+from sievecraft.sources import files, manifest, sample_store
 from sievecraft.spec import CollectionSpec
 from sievecraft.streaming.refresh import stream_refresh
 from sievecraft.streaming.rollup import keep_totals, live_attempts, live_rollup, live_targets, totals_of, verdict_changes
@@ -255,7 +255,7 @@ def _write_csv(spark: SparkSession, sf: str, folder: str) -> None:
     raw = raw.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
     raw.select(*source.CATALOG_FIELDS).write.option("header", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False
-    ).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    ).option("ignoreTrailingWhiteSpace", False).option("compression", "gzip").csv(folder)
 
 
 def typed_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,17 +341,18 @@ def _split_csv(spark: SparkSession, sf: str, folder: str, where: str) -> None:
     raw = raw.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
     raw.select(*source.CATALOG_FIELDS).write.mode("overwrite").option("header", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False
-    ).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    ).option("ignoreTrailingWhiteSpace", False).option("compression", "gzip").csv(folder)
 
 
 def refresh_replaced(spark: SparkSession, sf: str) -> DataFrame:
     """Two sources; one is then renamed and the other replaced by other rows: what the table holds before and after."""
     folder, table = scratch_dir(spark), "table"
-    even, odd = "apk_size % 2 = 0", "apk_size % 2 = 1"
-    for name, where in (("a/one", even), ("a/two", odd), ("b/renamed", even), ("b/two", "apk_size % 4 = 1")):
+    for name, where in (("a/one", "apk_size % 2 = 0"), ("a/two", "apk_size % 2 = 1"), ("b/two", "apk_size % 4 = 1")):
         _split_csv(spark, sf, f"{folder}/{name}", where)
     rows = []
     for step in ("a", "b"):
+        if step == "b" and not manifest.renamed(spark, f"{folder}/a/one", f"{folder}/b/renamed"):
+            raise ValueError("the new name is taken")
         source.refresh_table(spark, f"{folder}/{step}/*", f"{folder}/{table}")
         rows.append(_held(spark, f"{folder}/{table}", step))
     source.compact_table(spark, f"{folder}/{table}")
@@ -477,7 +478,7 @@ def columns_by_header(spark: SparkSession, sf: str) -> DataFrame:
     layouts = [fields, fields[::-1], ["before", *fields, "after"], [f for f in fields if f != "apk_size"], fields]
     rows = rows.withColumns({"before": F.lit("x"), "after": F.col("pkg_name")})
     for kind, layout in enumerate(layouts):
-        rows.where(F.col("kind") == kind).select(*layout).write.option("header", True).option("escape", '"').csv(f"{folder}/csv/{kind}")
+        rows.where(F.col("kind") == kind).select(*layout).write.option("header", True).option("escape", '"').option("compression", "gzip").csv(f"{folder}/csv/{kind}")
     source.refresh_table(spark, f"{folder}/csv/*", f"{folder}/table")
     return source.read_table(spark, f"{folder}/table").select("sha256", "pkg_name", "det", "apk_size", "markets")
 
