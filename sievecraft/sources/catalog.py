@@ -55,6 +55,12 @@ TEXT_OF_COMPRESSED = 3
 # Columns of hex digits, which travel as bytes.
 _HEX = ("sha256", "sha1", "md5")
 
+# Place of a row in a table: its time in seconds above 8 bits of its task's number and 16 of its own; rows without a time
+# come first.
+_TASK_BITS, _ROW_BITS = 8, 16
+_PLACE_BITS = _TASK_BITS + _ROW_BITS
+_NEVER = -(1 << 62)
+
 
 def read_csv(spark: SparkSession, paths: str | list[str], mode: str = "FAILFAST") -> DataFrame:
     """Catalogue CSV files under the fixed schema, columns by header; empty fields are NULL.
@@ -124,45 +130,67 @@ def _unpacked(name: str) -> Column:
     return text.otherwise(F.col(name).cast("string")).alias(name)
 
 
-def write_generation(raw: DataFrame, table_dir: str, gen: str, n_bytes: int) -> None:
-    """Write raw rows (with ``source_path``; ``n_bytes`` as plain text) as one generation of typed, time-ordered Parquet.
+def write_tasks(spark: SparkSession, n_bytes: int) -> int:
+    """How many tasks write so many bytes of text.
 
-    Ranges over year and time give every task one stretch of time, so that there are no more files than years and
-    tasks together, and row groups can be skipped by time. The row id as last key lets a year, or a pile of equal dates (all the
-    never-scanned rows), spread over as many tasks as it fills. Rows travel narrow: hex hashes, most of a row, and the source's
-    id as bytes, no scan date that its time gives back, and no detections, which are parsed again. Zstd halves what is written.
+    A task that reads rows into more shuffle partitions than Spark's ``bypassMergeThreshold`` holds them all in memory (or
+    spills them), however large its file; up to that number it holds none. So up to twice the share goes to a task before
+    there are more.
     """
-    spark = raw.sparkSession
-    n_tasks = max(
+    n = max(
         math.ceil(n_bytes / TARGET_BYTES),
         min(spark.sparkContext.defaultParallelism, math.ceil(n_bytes / _SMALL_BYTES)),
         1,
     )
+    unheld = int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return unheld if unheld < n <= 2 * unheld else n
+
+
+def write_generation(raw: DataFrame, table_dir: str, gen: str, n_bytes: int) -> None:
+    """Write raw rows (with ``source_path``; ``n_bytes`` as plain text) as one generation of typed, time-ordered Parquet.
+
+    Ranges over time give every task one stretch of it, so that there are no more files than years and tasks together, and
+    row groups can be skipped by time. The last bits of a row's place let a year, or a pile of equal dates (all the
+    never-scanned rows), spread over as many tasks as it fills, and keep rows of one file together. Rows travel narrow: hex hashes, most of a row,
+    and the source's id as bytes, time and number as one long, and no date or detections that can be told from the parsed
+    ones. Zstd halves what is written.
+    """
+    spark = raw.sparkSession
+    typed = with_typed_columns(raw.select(*CATALOG_FIELDS, "source_path"))
     text_of_time = F.date_format("scan_ts", SCAN_DATE_PATTERN)
-    typed = with_typed_columns(raw.select(*CATALOG_FIELDS, "source_path")).withColumns(
-        {"source_id": F.unhex(F.sha2("source_path", 256)), "scan_year": F.year("scan_ts"), "_row": F.monotonically_increasing_id()}
-    )
+    text_of_det = F.col("det").cast("string")
+    time_bits = F.coalesce(F.shiftleft(F.unix_seconds("scan_ts"), _PLACE_BITS), F.lit(_NEVER))
+    task = F.spark_partition_id().cast("long").bitwiseAND((1 << _TASK_BITS) - 1)
+    row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
+    place = time_bits + F.shiftleft(task, _ROW_BITS) + row
     kinds = reduce(Column.__add__, [F.shiftleft(_kind(c), 2 * i) for i, c in enumerate(_HEX)])
     date = F.when(~F.col("vt_scan_date").eqNullSafe(text_of_time), F.col("vt_scan_date"))
-    # what is often alike in neighbouring rows comes first and together: it compresses to next to nothing
+    detection = F.when(~F.col("vt_detection").eqNullSafe(text_of_det), F.col("vt_detection"))
+    # what is often alike in neighbouring rows stands together, and so does what never is: the last columns and, after them, the
+    # first hash, where Spark puts a row's texts; the one compresses to next to nothing, and there are few changes to the other
     narrow = typed.select(
-        "source_id", *[_packed(c) for c in _HEX], kinds.alias("_kinds"), "scan_year", "dex_size", "vercode", "dex_date",
-        date.alias("vt_scan_date"), "pkg_name", "scan_ts", "apk_size", "_row", "vt_detection", "markets",
+        *[_packed(c) for c in _HEX], F.unhex(F.sha2("source_path", 256)).alias("source_id"), kinds.alias("_kinds"), "dex_size",
+        "vercode", "dex_date", date.alias("vt_scan_date"), "pkg_name", detection.alias("vt_detection"), "markets", "det",
+        "apk_size", place.alias("_place"),
     )
+    n_tasks = write_tasks(spark, n_bytes)
+    time = F.when(F.col("_place") >= _NEVER // 2, F.timestamp_seconds(F.shiftright("_place", _PLACE_BITS)))
     rows = (
-        narrow.repartitionByRange(n_tasks, "scan_year", "scan_ts", "_row")
+        narrow.repartitionByRange(n_tasks, "_place")
+        .withColumn("scan_ts", time)
+        .withColumn("scan_year", F.year("scan_ts"))
         .sortWithinPartitions("scan_year", "scan_ts")
         .withColumns({c: _unpacked(c) for c in _HEX})
         .withColumns(
             {
                 "vt_scan_date": F.coalesce("vt_scan_date", text_of_time),
+                "vt_detection": F.coalesce("vt_detection", text_of_det),
                 "source_id": F.concat(F.lit("s"), F.lower(F.hex("source_id"))),
             }
         )
     )
     (
-        with_typed_columns(rows)
-        .select(*CATALOG_FIELDS, "det", "scan_ts", "source_id", "scan_year")
+        rows.select(*CATALOG_FIELDS, "det", "scan_ts", "source_id", "scan_year")
         .write.mode("overwrite")
         .option("compression", "zstd")
         .partitionBy("scan_year")

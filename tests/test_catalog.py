@@ -396,3 +396,31 @@ def test_rows_travel_narrow_and_come_back_as_they_were(spark, tmp_path):
     packed = raw.select(source._packed("sha256"))
     assert [len(r[0]) for r in packed.limit(2).collect()] == [32, 32]
     assert source.text_size("file:/x.csv.gz", 10) == 30 and source.text_size("file:/x.csv", 10) == 10
+
+
+def test_rows_of_odd_detections_and_dates_come_back_and_travel_in_few_columns(spark, tmp_path, monkeypatch):
+    dates = ["0000-01-01 00:00:00", "1969-12-31 23:59:59", "1970-01-01 00:00:00", "9999-12-31 23:59:59", "2023-02-30 00:00:00", None]
+    detections = ["7", "07", " 7", "+7", "-7", "x", "", None, "9223372036854775807", "9223372036854775808", "1.0"]
+    rows = [row(i, det=d, date=t) for i, (d, t) in enumerate([(d, t) for d in detections for t in dates], 1)]
+    raw = catalog(spark, rows).withColumn("source_path", F.lit("file:/x.csv"))
+    kind, shuffled = type(raw), []
+    real = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *by: shuffled.append((n, self)) or real(self, n, *by))
+    # of 245 shares: a task that reads would hold all its rows for more than 200 parts
+    source.write_generation(raw, f"{tmp_path}/table", "one", 245 * source.TARGET_BYTES)
+    held = spark.read.schema(source.TABLE_SCHEMA).option("basePath", f"{tmp_path}/table/data").parquet(f"{tmp_path}/table/data/gen=one")
+    got = held.select(*source.CATALOG_FIELDS, "det", "scan_ts", "source_id", "scan_year")
+    want = classes.with_typed_columns(raw).withColumns({"source_id": source.source_id(), "scan_year": F.year("scan_ts")})
+    assert got.exceptAll(want.select(got.columns)).isEmpty() and got.count() == len(rows)
+    ((n, travels),) = shuffled
+    assert n == 200 and "scan_year" not in travels.columns
+    kept = {r[0] for r in travels.select("vt_detection").collect()}
+    assert kept == {None, "07", " 7", "+7", "x", "", "9223372036854775808", "1.0"}
+    # rows of one time, or of none, have places of their own
+    assert travels.select("_place").distinct().count() == len(rows)
+    assert travels.where(F.col("_place") < source._NEVER // 2).count() == 2 * len(detections)
+
+
+def test_tasks_that_write_a_table(spark):
+    share = source.TARGET_BYTES
+    assert [source.write_tasks(spark, n * share) for n in (100, 200, 201, 400, 401, 1000)] == [100, 200, 200, 200, 401, 1000]
